@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, substring
+from tapeframe.llm import decontaminate, simhash, substring
 from tapeframe.llm.common import read
 
 
@@ -15,12 +15,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.phrase_matches(spark, index, read(spark, sf_dir, "benchmark")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(spark, read(spark, sf_dir, "documents")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark, read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
