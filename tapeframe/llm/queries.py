@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, simhash, substring
+from tapeframe.llm import decontaminate, maxent, simhash, substring
 from tapeframe.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.phrase_matches(spark, index, read(spark, sf_dir, "benchmark")))
 
 
+def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(spark, read(spark, sf_dir, "documents")))
 
@@ -25,6 +29,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op6_maxent": op6_maxent,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
