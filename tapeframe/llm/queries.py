@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, maxent, simhash, substring
+from tapeframe.llm import decontaminate, lines, maxent, sharding, simhash, substring
 from tapeframe.llm.common import read
 
 
@@ -15,6 +15,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.phrase_matches(spark, index, read(spark, sf_dir, "benchmark")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read(spark, sf_dir, "documents"), sharding.lookup_table(spark))
+
+
 def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(spark, read(spark, sf_dir, "documents"))
 
@@ -29,9 +37,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_sharding": op5_sharding,
     "op6_maxent": op6_maxent,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": lines.oracle(),
+    "op5_sharding": sharding.oracle(),
+}
