@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, lines, maxent, sharding, simhash, substring
+from tapeframe.llm import decontaminate, lines, maxent, sharding, simhash, substring, toxicity
 from tapeframe.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.digest(spark, docs, toxicity.learn(spark, docs, read(spark, sf_dir, "labels")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(spark, read(spark, sf_dir, "documents"))
     return decontaminate.digest(decontaminate.phrase_matches(spark, index, read(spark, sf_dir, "benchmark")))
@@ -36,6 +41,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
