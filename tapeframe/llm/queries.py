@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, lines, maxent, sharding, simhash, substring, toxicity
+from tapeframe.llm import decontaminate, lines, maxent, progressive, sharding, simhash, substring, toxicity
 from tapeframe.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive.read_back(progressive.store_texts(read(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(spark, read(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_maxent": op6_maxent,
+    "op7_progressive_jpeg": op7_progressive_jpeg,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
