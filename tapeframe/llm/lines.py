@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeframe.llm.common import stored
+
 RATIO, MIN_PAGES = 0.05, 20
 
 
@@ -45,7 +47,8 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 
 def without_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with the text's boilerplate lines dropped, and n_lines and n_dropped."""
-    found = boilerplate(docs, ratio, min_pages, text, source).select(F.col("host").alias("__host"), F.col("lines").alias("__boilerplate"))
+    # Stored first: its size is known when the join is planned, so that a small table is broadcast and pages stay where they are.
+    found = stored(docs.sparkSession, boilerplate(docs, ratio, min_pages, text, source), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__boilerplate"))
     joined = docs.withColumn("__host", _host(source)).join(found, "__host", "left")
     split = F.split(F.col(text), "\n")
     kept = F.when(F.col("__boilerplate").isNull(), split).otherwise(F.filter(split, lambda x: _blank(x) | ~F.array_contains("__boilerplate", F.xxhash64(x))))
