@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeframe.llm import decontaminate, lines, maxent, progressive, sharding, simhash, substring, toxicity
+from tapeframe.llm import decontaminate, lines, maxent, pieces, progressive, sharding, simhash, substring, toxicity
 from tapeframe.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.phrase_matches(spark, index, read(spark, sf_dir, "benchmark")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(spark, read(spark, sf_dir, "documents"), pieces.Model.load(spark))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -47,6 +51,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_maxent": op6_maxent,
