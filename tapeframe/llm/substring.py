@@ -190,24 +190,27 @@ class FingerprintIndex:
         rows = fresh if not old else fresh.unionByName(self._read(old).withColumn("fresh", F.lit(False)))
         ranges = lambda start, n: (F.col(start).alias("begin"), (F.col(start) + n + (WINDOW - 1)).alias("end"))
         # Fingerprints of more than one document, one of them new.
+        # Stored, like all small sides here: a join of two exchanges lets Spark split the frequent fingerprints.
         shared = (
             rows.groupBy("fp")
             .agg(F.min("doc").alias("owner"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"), (F.min("rh") != F.max("rh")).alias("varies"))
             .where("owner < last")
+            .select("fp", "owner", "varies")
         )
-        found = stored(self.spark, rows.hint("merge").join(shared.select("fp", "owner", "varies"), "fp"), "shared")
+        shared = stored(self.spark, shared, "owners")
+        found = stored(self.spark, rows.hint("merge").join(shared, "fp"), "shared")
         whole = found.where("not varies and fresh and doc > owner").select("doc", "k", *ranges("start", F.col("n")))
         varied = found.where("varies")
         # Of each distinct region the smallest document stands for all; any larger one loses it whole.
-        distinct = varied.groupBy("fp", "rh").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        owned = varied.hint("merge").join(distinct.where("first < last").select("fp", "rh", "first"), ["fp", "rh"]).where("fresh and doc > first")
+        distinct = varied.groupBy("fp", "rh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("fp", "rh", "first")
+        owned = varied.hint("merge").join(stored(self.spark, distinct, "owners"), ["fp", "rh"]).where("fresh and doc > first")
         owned = owned.select("doc", "k", *ranges("start", F.col("n")))
         need = varied.groupBy("fp", "rh").agg(F.min(F.struct("doc", "k", "start", "n", "fresh")).alias("s")).select("s.*")
         need = need.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "n")).alias("s"), F.max("fresh").alias("fresh")).select("doc", "k", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes"), "fresh")
         known = keyed(batch if history is None else history.select("doc_id", "text").unionByName(batch.select("doc_id", "text")))
         windows = stored(self.spark, known.select("doc", "k", "text").join(need, ["doc", "k"]).mapInArrow(_windows, "wh long, doc long, k long, at int, fresh boolean"), "windows")
         earlier = windows.groupBy("wh").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("wh", "owner")
-        single = windows.where("fresh").hint("merge").join(earlier, "wh").where("doc > owner").select("doc", "k", *ranges("at", F.lit(1)))
+        single = windows.where("fresh").hint("merge").join(stored(self.spark, earlier, "owners"), "wh").where("doc > owner").select("doc", "k", *ranges("at", F.lit(1)))
         spans = whole.unionByName(owned).unionByName(single)
         self.compact()
         return spans.groupBy("doc", "k").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("doc", "k", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
