@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import new_path, texts
+from tapeframe.llm.common import new_path, stored, texts
 
 WINDOW = 10
 #: Bytes of text of a segment (a longer document is a segment of its own).
@@ -281,3 +281,11 @@ def digest(matches: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) without an occurrence of a window."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    index = build_index(spark, docs.select(key.alias("doc_id"), "text"))
+    hit = stored(spark, phrase_matches(spark, index, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").drop("__key")

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
@@ -87,9 +87,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(batch.column(c) for c in batch.schema.names if c != "text")], names=["fp", *(c for c in batch.schema.names if c != "text")])
 
 
+def row_key() -> Column:
+    """What tells rows of documents apart; rows that agree in id and text are copies of one row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(fp, doc_id) of every row."""
-    return texts(docs).select("text", "doc_id").mapInArrow(_fingerprints, "fp long, doc_id long")
+    """(fp, doc_id, key) of every row."""
+    return texts(docs).select("text", "doc_id", row_key().alias("key")).mapInArrow(_fingerprints, "fp long, doc_id long, key long")
 
 
 # BK-trees
@@ -237,15 +242,22 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) and component_id of every row."""
+    """doc_id, key, fp (signed 64 bits), centre (a fingerprint of its component) and component_id of every row."""
     rows = stored(spark, fingerprints(docs), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     centre = components(spark, links(spark, values.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
     of = values.join(centre, "fp", "left").select("fp", "doc_id", F.coalesce("centre", "fp").alias("centre"))
     of = stored(spark, of, "vertices")
     least = of.groupBy("centre").agg(F.min("doc_id").alias("component_id"))
-    classes = of.join(least, "centre").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = of.join(least, "centre").select("fp", "centre", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "key", "fp", "centre", "component_id")
+
+
+def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) that stay: one of each component, the smallest doc_id."""
+    found = near_duplicates(spark, docs)
+    stay = found.groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.key").alias("__key"))
+    return docs.withColumn("__key", row_key()).join(stored(spark, stay, "stay"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def digest(found: DataFrame) -> DataFrame:
