@@ -1,0 +1,6 @@
+"""Registered queries; importing the modules below fills the registry."""
+
+from tapeframe.plans import link_queries
+from tapeframe.plans.registry import COVERS, ORACLE_SQL, QUERIES
+
+__all__ = ["COVERS", "ORACLE_SQL", "QUERIES", "link_queries"]
