@@ -41,7 +41,7 @@ GIANT, CHUNK, LONG = 4 << 20, 1 << 18, 256
 LONG_CHUNK = 4096
 SPACE = "▁"
 #: Units that go through the lattice together, units kept per process, and slots for pairs of pieces.
-UNITS, KEPT, PAIR_SLOTS = 1 << 14, 1 << 19, 1 << 21
+UNITS, KEPT, PAIR_SLOTS = 1 << 13, 1 << 20, 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 NEVER = float("-inf")
 
@@ -250,7 +250,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where their ids are
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
@@ -463,8 +463,11 @@ class Encoder:
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEPT:
             self._forget()
-        known = self.known
-        index = np.array([known.get(h, -1) for h in unique.tolist()])
+        place = np.searchsorted(self.known, unique)
+        index = np.full(len(unique), -1)
+        met = np.flatnonzero(place < len(self.known))
+        met = met[self.known[place[met]] == unique[met]]
+        index[met] = self.index[place[met]]
         new = np.flatnonzero(index < 0)
         if len(new):
             raw = data.tobytes()
@@ -475,7 +478,7 @@ class Encoder:
             self.length = np.concatenate([self.length, length])
             self.pool = np.concatenate([self.pool, *ids])
             index[new] = base + np.arange(len(new))
-            known.update(zip(unique[new].tolist(), index[new].tolist()))
+            self.known, self.index = np.insert(self.known, place[new], unique[new]), np.insert(self.index, place[new], index[new])
         own = index[inverse]
         size, first = self.length[own], self.first[own]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -593,8 +596,8 @@ def _schema(docs: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *more])
 
 
-def encode(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the array of ids of the text."""
+def encode(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the array of ids of the text, and what they decode to if ``decoded`` names a column for it."""
     shared = _Shared(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -606,10 +609,14 @@ def encode(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text
                 part = batch.slice(i, j - i)
                 values, first = own.encode(*prepared(part.column(text), own.m.prefix))
                 null = part.column(text).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*part.columns, _list(values, first, null if null.any() else None)], names=[*part.schema.names, ids])
+                lists = _list(values, first, null if null.any() else None)
+                more = [] if decoded is None else [_texts(own.m, lists)]
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, ids, *[decoded] * len(more)])
 
-    small = docs.where(F.col(text).isNull() | (F.octet_length(text) <= GIANT)).mapInArrow(run, _schema(docs, f"`{ids}` array<int>"))
-    return small.unionByName(_giant(spark, docs.where(F.octet_length(text) > GIANT), shared, text, ids))
+    more = [f"`{decoded}` string"] if decoded else []
+    small = docs.where(F.col(text).isNull() | (F.octet_length(text) <= GIANT)).mapInArrow(run, _schema(docs, f"`{ids}` array<int>", *more))
+    giant = _giant(spark, docs.where(F.octet_length(text) > GIANT), shared, text, ids)
+    return small.unionByName(decode(spark, giant, model, ids, decoded) if decoded else giant)
 
 
 def _giant(spark: SparkSession, docs: DataFrame, shared: _Shared, text: str, ids: str) -> DataFrame:
@@ -668,33 +675,36 @@ def _giant(spark: SparkSession, docs: DataFrame, shared: _Shared, text: str, ids
     return rows.join(whole, rows["__rid"] == whole["rid"]).select(*(rows[c] for c in names), F.col("__ids").alias(ids))
 
 
+def _texts(m: Model, lists: pa.ListArray) -> pa.Array:
+    """What lists of ids stand for."""
+    size = np.array([len(t) for t in m.text])
+    first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(m.text), np.uint8)
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False)
+    own = size[values]
+    place = np.concatenate([[0], np.cumsum(own)])
+    raw = pool[np.repeat(first[values] - place[:-1], own) + np.arange(place[-1])].tobytes()
+    cut = place[offsets - offsets[0]].tolist()
+    null = lists.is_null().to_pylist()
+    return pa.array([None if x else raw[a + (m.prefix and a < b and raw[a : a + 1] == b" ") : b].decode(errors="replace") for x, a, b in zip(null, cut, cut[1:])], pa.string())
+
+
 def decode(spark: SparkSession, rows: DataFrame, model: Model, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``rows`` with the text that the ids stand for; broken byte sequences become U+FFFD."""
     shared = _Shared(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _encoder(shared).m
-        size = np.array([len(t) for t in m.text])
-        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(m.text), np.uint8)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                lists = part.column(ids)
-                offsets = lists.offsets.to_numpy()
-                values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False)
-                own = size[values]
-                place = np.concatenate([[0], np.cumsum(own)])
-                raw = pool[np.repeat(first[values] - place[:-1], own) + np.arange(place[-1])].tobytes()
-                cut = place[offsets - offsets[0]].tolist()
-                null = lists.is_null().to_pylist()
-                texts = [None if x else raw[a + (m.prefix and a < b and raw[a : a + 1] == b" ") : b].decode(errors="replace") for x, a, b in zip(null, cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(m, part.column(ids))], names=[*part.schema.names, decoded])
 
     return rows.mapInArrow(run, _schema(rows, f"`{decoded}` string"))
 
 
 def digest(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, number of ids, a hash of them, and whether they read back as the text."""
-    rows = decode(spark, encode(spark, docs.select("doc_id", "text"), model), model)
+    rows = encode(spark, docs.select("doc_id", "text"), model, decoded="decoded")
     same = F.col("decoded").eqNullSafe(F.translate("text", SPACE, " "))
     return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
