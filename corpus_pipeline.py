@@ -38,9 +38,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode; the text that is returned is decoded from the ids."""
-    model = pieces.Model.load(spark)
-    rows = pieces.decode(spark, pieces.encode(spark, docs.select("doc_id", "text", "lang", "source"), model), model)
-    return rows.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"))
+    rows = pieces.encode(spark, docs.select("doc_id", "text", "lang", "source"), pieces.Model.load(spark), decoded="__decoded")
+    return rows.select("doc_id", F.col("__decoded").alias("text"), "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"))
 
 
 STAGES = [
