@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Odd multipliers of the prefix hashes (odd numbers have an inverse modulo 2**64).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes handled at once: a batch is cut into row ranges of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 SETTING = "spark.checkpoint.dir"
 
 
+#: Bytes of rows that go to a Python process at once; the process works on slices of them.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keep the batches that Python processes get small, whatever the rows' sizes: larger settings are lowered."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_SETTING))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -50,17 +61,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def texts(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the columns an operator reads, under fixed names, so that others cannot clash."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
 
 
 def held_out(doc_id: str, modulus: int):
     """crc32 of the id as text has remainder 1; a row without an id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == 1, F.lit(False))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def package_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -72,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
         _, offsets = B.column(text)
-        for i, j in B.row_slices(offsets, 8 << 20):
+        for i, j in B.row_slices(offsets, 4 << 20):
             token, shape, _ = tokens(text.slice(i, j - i))
             value, at, count = np.unique(token, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(count)], names=["token", "shape", "c"])

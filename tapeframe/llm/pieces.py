@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import stored
+from tapeframe.llm.common import bounded, stored
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a document that goes by chunks, of a chunk, and of a unit that goes by chunks inside its task.
@@ -598,6 +598,7 @@ def _schema(docs: DataFrame, *more: str) -> str:
 
 def encode(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the array of ids of the text, and what they decode to if ``decoded`` names a column for it."""
+    bounded(spark)
     shared = _Shared(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -691,6 +692,7 @@ def _texts(m: Model, lists: pa.ListArray) -> pa.Array:
 
 def decode(spark: SparkSession, rows: DataFrame, model: Model, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``rows`` with the text that the ids stand for; broken byte sequences become U+FFFD."""
+    bounded(spark)
     shared = _Shared(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.llm.common import stored
+from tapeframe.llm.common import bounded, stored
 
 #: Pages a host needs for template text; share of pages of a valid class; share of varying text in a container.
 PAGES, SUPPORT, MOST = 10, 0.5, 0.7
@@ -313,6 +313,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
+    bounded(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), _host(url).alias("host"), F.col(html).cast("string").alias("html"))
     joined = rows.join(templates(spark, pages, url, html).select("host", "container", "constant", "menus"), "host", "left")
     return joined.select("page_id", "url", "host", "html", "container", "constant", "menus").mapInArrow(_extract, "page_id long, url string, text string")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import held_out, texts
+from tapeframe.llm.common import bounded, held_out, texts
 
 SAMPLE = 10_000
 #: An entry needs this many different words before it in toxic texts, and this share of all of them.
@@ -330,6 +330,7 @@ class Scorer:
 
 def scored(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, name: str = "toxicity", text: str = "text") -> DataFrame:
     """``docs`` with a score column."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +345,7 @@ def scored(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, name: str = "
 
 def matched_clauses(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, start, end, clause, log_odds) of every clause that the grammar matches."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(lexicon)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("clause", pa.string()), ("log_odds", pa.float64())])
 
