@@ -200,7 +200,7 @@ def block_motion(grid: DataFrame, size: int = 9, reach: int = 4) -> DataFrame:
     def best(rows: DataFrame) -> DataFrame:
         moved = rows.select("frame", "br", "bc", "dr", "dcol", "dc", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dcol")).alias("c"))
         sums = moved.join(next_frame(grid), ["frame", "r", "c"]).groupBy("frame", "br", "bc", "dr", "dcol").agg(F.avg(F.abs(F.col("dc") - F.col("dc2"))).alias("sad"), F.count("*").alias("n"))
-        whole = sums.where(F.col("n") == size * size)
+        whole = sums.where(F.col("n") >= size * size / 2)
         return whole.groupBy("frame", "br", "bc").agg(F.min_by(F.struct("dr", "dcol", "sad"), F.struct(F.round("sad", 9), "dr", "dcol")).alias("b")).select("frame", "br", "bc", "b.*")
 
     coarse = best(own.select("*", F.explode(shifts(reach, reach, 2)).alias("s")).select("frame", "br", "bc", "r", "c", "dc", "s.dr", "s.dcol"))
