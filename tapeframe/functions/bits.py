@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the format: shifts by quantizer step and area, offsets by class, ends of the areas in zigzag order.
+QUANTIZER_SHIFTS = [
+    [3, 3, 4, 4], [3, 3, 4, 4], [2, 3, 3, 4], [2, 3, 3, 4], [2, 2, 3, 3], [2, 2, 3, 3], [1, 2, 2, 3], [1, 2, 2, 3], [1, 1, 2, 2], [1, 1, 2, 2], [0, 1, 1, 2],
+    [0, 1, 1, 2], [0, 0, 1, 1], [0, 0, 1, 1], [0, 0, 0, 1], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0],
+]
+QUANTIZER_OFFSETS = [6, 3, 0, 1]
+AREA_ENDS = [6, 21, 43, 64]
 #: Blocks of a sequence: six of headers, then one of audio before every fifteen of video.
 SEQUENCE, HEADERS, AUDIO_EVERY, AUDIO = 150, 6, 16, 9
 #: Sequences, width and height of the two profiles.
@@ -100,6 +107,13 @@ def run_levels(levels_: str) -> Column:
     return F.transform(at, lambda i, k: F.struct((i - F.get(before, k) - 1).alias("run"), F.get(F.col(levels_), i).alias("level")))
 
 
+def split_runs(runs: str, longest: int = 61) -> Column:
+    """Runs of more than ``longest`` zeros as skips (level 0) and a rest that is short enough; a skip stands for its run alone."""
+    part = lambda x: F.concat(F.transform(F.sequence(F.lit(1), F.floor(x["run"] / longest).cast("int")), lambda _: F.struct(F.lit(longest).alias("run"), F.lit(0).alias("level"))), F.array(F.struct((x["run"] % longest).alias("run"), x["level"].alias("level"))))
+    short = lambda x: F.array(F.struct(x["run"].alias("run"), x["level"].alias("level")))
+    return F.flatten(F.transform(runs, lambda x: F.when(x["run"] >= longest, part(x)).otherwise(short(x))))
+
+
 def expand_runs(runs: str, size: int = 64) -> Column:
     """The levels that runs stand for."""
     filled = F.aggregate(runs, F.expr("cast(array() as array<int>)"), lambda t, x: F.concat(t, F.array_repeat(F.lit(0), x["run"]), F.array(x["level"])))

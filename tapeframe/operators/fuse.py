@@ -156,3 +156,11 @@ def reference_rescue(concealed: DataFrame, reference: DataFrame, gate: float = 3
     r = concealed.join(reference.select("cap", "f", F.col("value").alias("ref")), ["cap", "f"], "left")
     use = F.col("how").isin("none", "rejected") & F.col("ref").isNotNull() & (F.abs(F.col("ref") - F.col("value")) <= gate)
     return r.select("cap", "f", F.when(use, "reference").otherwise(F.col("how")).alias("how"), F.when(use, F.col("ref")).otherwise(F.col("value")).alias("value"))
+
+
+def write_back(merged: DataFrame, segment: int = 5) -> DataFrame:
+    """Segments whose slots come from one read are copied whole, others are packed again; what was unresolved stays marked."""
+    rows = merged.withColumn("segment", F.floor(F.col("slot") / segment).cast("long"))
+    s = rows.groupBy("frame", "segment").agg(F.countDistinct("read").alias("reads"), F.count_if(F.col("how") == "unresolved").alias("marked"), F.count("*").alias("slots"))
+    how = F.when((F.col("reads") == 1) & (F.col("marked") == 0), "whole").when(F.col("marked") == F.col("slots"), "untouched").otherwise("packed")
+    return s.withColumn("written", how)

@@ -212,3 +212,33 @@ def block_motion(grid: DataFrame, size: int = 9, reach: int = 4) -> DataFrame:
 def signatures(grid: DataFrame) -> DataFrame:
     """Health, mean and spread of each frame, whose cells in order are its signature."""
     return grid.groupBy("frame").agg(F.avg(F.col("ok").cast("double")).alias("health"), F.avg("dc").alias("mean"), F.stddev_pop("dc").alias("spread"), F.count("*").alias("cells"))
+
+
+def chroma_planes(grid: DataFrame) -> DataFrame:
+    """Two planes in swapped order, each row the mean of it and the row above; the frame after stands for the second plane."""
+    above = W.partitionBy("frame", "c").orderBy("r")
+    mid = grid.select("frame", "r", "c", (0.5 * (F.col("dc") + F.lag("dc").over(above))).alias("v")).where("r > 0")
+    second = mid.select((F.col("frame") - 1).alias("frame"), "r", "c", F.col("v").alias("cr"))
+    return mid.select("frame", "r", "c", F.col("v").alias("cb")).join(second, ["frame", "r", "c"]).select("frame", "r", "c", "cr", "cb")
+
+
+def feather(grid: DataFrame, size: int = 9, strength: float = 0.6, decay: float = 6.0) -> DataFrame:
+    """Blocks eased into their neighbours: the jump at each border, faded over ``decay`` cells, weighted by the fades."""
+    at = lambda c: (F.col(c) % size).cast("long")
+    ramp = lambda d: F.greatest(F.lit(0.0), 1.0 - d / decay)
+    by_r, by_c = W.partitionBy("frame", "r").orderBy("c"), W.partitionBy("frame", "c").orderBy("r")
+    # The cell across each border, and the cell at the border, seen from every cell of the block.
+    lines = {"left": (by_r, "c", 0, F.lag), "right": (by_r, "c", size - 1, F.lead), "top": (by_c, "r", 0, F.lag), "bottom": (by_c, "r", size - 1, F.lead)}
+    rows = grid
+    for name, (w, axis, edge, step) in lines.items():
+        rows = rows.withColumn(f"jump_{name}", F.when(at(axis) == edge, step("dc").over(w) - F.col("dc")))
+    block = {"r": F.floor(F.col("r") / size), "c": F.floor(F.col("c") / size)}
+    rows = rows.withColumn("br", block["r"]).withColumn("bc", block["c"])
+    for name, (_, axis, _, _) in lines.items():
+        line = W.partitionBy("frame", "br", "bc", "r" if axis == "c" else "c")
+        rows = rows.withColumn(f"jump_{name}", F.max(f"jump_{name}").over(line))
+    away = {"left": at("c"), "top": at("r"), "right": size - 1 - at("c"), "bottom": size - 1 - at("r")}
+    weight = sum((F.when(F.col(f"jump_{n}").isNotNull(), ramp(away[n])).otherwise(0.0) for n in lines), F.lit(0.0))
+    corr = sum((F.coalesce(F.col(f"jump_{n}") * ramp(away[n]), F.lit(0.0)) for n in lines), F.lit(0.0))
+    rows = rows.withColumn("weight", weight).withColumn("corr", corr)
+    return rows.select("frame", "r", "c", F.when(F.col("weight") > 0, F.col("dc") + strength * F.col("corr") / F.col("weight")).otherwise(F.col("dc")).alias("dc"))

@@ -240,3 +240,24 @@ def screen_permutation(spark, d):
     """Group testing: bit planes in which a block shows spell its place (a known permutation stands for the picture)."""
     b = spark.range(1620).select(F.col("id").alias("blk"), ((F.col("id") * 7 + 3) % 1620).alias("place"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("plane"))
     return b.withColumn("shown", F.expr("shiftright(place, plane) & 1")).groupBy("blk").agg(F.sum(F.expr("shiftleft(shown, plane)")).alias("found"))
+
+
+SHIFTS = "[" + ", ".join(str(row) for row in bits.QUANTIZER_SHIFTS) + "]"
+AREAS = [sum(k >= e for e in bits.AREA_ENDS) for k in range(64)]
+
+
+@query(
+    "P10",
+    f"SELECT q AS qno, c AS cls, k, (1::BIGINT << ({SHIFTS}[greatest(least(q + {bits.QUANTIZER_OFFSETS}[c + 1], 21), 0) + 1][{AREAS}[k + 1] + 1] + 1 + CASE WHEN c = 3 THEN 1 ELSE 0 END)) AS factor FROM range(16) a(q), range(4) b(c), range(64) d(k)",
+)
+def factor_table(spark, d):
+    """Factors of all quantizers and classes over flat weights (weights are a parameter)."""
+    return bits.factor_table(spark, [1] * 64, AREAS, bits.QUANTIZER_SHIFTS, bits.QUANTIZER_OFFSETS)
+
+
+@query("P15", f"WITH {LEVELS}, p AS (SELECT vec_id, list_filter(list_transform(l, lambda v, i: CASE WHEN v <> 0 THEN i END), lambda i: i IS NOT NULL) AS places FROM x), g AS (SELECT vec_id, unnest(list_transform(places, lambda i, k: i - CASE WHEN k > 1 THEN places[k - 1] ELSE 0 END - 1)) AS run FROM p) SELECT vec_id, count(*) + sum(run // 3)::BIGINT AS words, sum(run // 3)::BIGINT AS skips FROM g GROUP BY vec_id")
+def run_split(spark, d):
+    """Words of quantized signatures when runs of three zeros and more are split."""
+    x = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e")).withColumn("l", bits.levels("e", 0.125)).withColumn("r", bits.run_levels("l"))
+    x = x.where(F.size("r") > 0).withColumn("s", bits.split_runs("r", 3))
+    return x.select("vec_id", F.size("s").alias("words"), F.size(F.filter("s", lambda w: w["level"] == 0)).alias("skips"))

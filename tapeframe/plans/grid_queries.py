@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeframe.operators import grid, link, quality
-from tapeframe.plans.link_queries import AROUND, BY, READS, TIMELINE, _reads, _timeline
+from tapeframe.operators import fuse, grid, link, quality
+from tapeframe.plans.link_queries import AROUND, BY, MERGED, READS, TIMELINE, _reads, _timeline
 from tapeframe.plans.registry import query, read
 
 STATES = f"{READS}, seg AS (SELECT *, slot // 5 AS segment FROM reads), states AS (SELECT frame, slot, read, segment, CASE WHEN bad THEN 1 WHEN max(bad) OVER (PARTITION BY frame, segment) THEN 3 WHEN false_ok THEN 2 ELSE 0 END::BIGINT AS state FROM seg)"
@@ -206,3 +207,33 @@ def damage_overlay(spark, d):
 @query("A15 P24", f"WITH {GRID} SELECT frame, round(avg(ok::INT), 6) AS health, round(avg(dc), 6) AS mean, round(stddev_pop(dc), 6) AS spread, count(*) AS cells FROM g GROUP BY frame")
 def frame_signatures(spark, d):
     return grid.signatures(_grid(spark, d))
+
+
+@query("S6", f"WITH {GRID}, m AS (SELECT frame, r, c, 0.5 * (dc + lag(dc) OVER (PARTITION BY frame, c ORDER BY r)) AS v FROM g) SELECT a.frame, a.r, a.c, round(b.v, 6) AS cr, round(a.v, 6) AS cb FROM m a JOIN m b ON b.frame = a.frame + 1 AND b.r = a.r AND b.c = a.c WHERE a.r > 0")
+def chroma_planes(spark, d):
+    return grid.chroma_planes(_grid(spark, d))
+
+
+@query(
+    "P23",
+    f"""WITH {GRID}, n AS (SELECT frame, r, c, dc, r // 9 AS br, c // 9 AS bc, CASE WHEN c % 9 = 0 THEN lag(dc) OVER h - dc END AS jl, CASE WHEN c % 9 = 8 THEN lead(dc) OVER h - dc END AS jr, CASE WHEN r % 9 = 0 THEN lag(dc) OVER v - dc END AS jt, CASE WHEN r % 9 = 8 THEN lead(dc) OVER v - dc END AS jb FROM g WINDOW h AS (PARTITION BY frame, r ORDER BY c), v AS (PARTITION BY frame, c ORDER BY r)),
+    s AS (SELECT frame, r, c, dc, max(jl) OVER x AS jl, max(jr) OVER x AS jr, max(jt) OVER y AS jt, max(jb) OVER y AS jb, greatest(0, 1 - c % 9 / 6.0::DOUBLE) AS wl, greatest(0, 1 - (8 - c % 9) / 6.0::DOUBLE) AS wr, greatest(0, 1 - r % 9 / 6.0::DOUBLE) AS wt, greatest(0, 1 - (8 - r % 9) / 6.0::DOUBLE) AS wb FROM n WINDOW x AS (PARTITION BY frame, br, bc, r), y AS (PARTITION BY frame, br, bc, c)),
+    z AS (SELECT frame, r, c, dc, CASE WHEN jl IS NULL THEN 0 ELSE wl END + CASE WHEN jr IS NULL THEN 0 ELSE wr END + CASE WHEN jt IS NULL THEN 0 ELSE wt END + CASE WHEN jb IS NULL THEN 0 ELSE wb END AS w, coalesce(jl * wl, 0) + coalesce(jr * wr, 0) + coalesce(jt * wt, 0) + coalesce(jb * wb, 0) AS k FROM s)
+    SELECT frame, r, c, round(CASE WHEN w > 0 THEN dc + 0.6 * k / w ELSE dc END + 1e-9, 6) AS dc FROM z""",
+)
+def feather(spark, d):
+    return grid.feather(_grid(spark, d)).withColumn("dc", F.col("dc") + 1e-9)
+
+
+@query("M7", f"WITH {MERGED}, s AS (SELECT frame, slot // 5 AS segment, count(DISTINCT read) AS reads, count(*) FILTER (how = 'unresolved') AS marked, count(*) AS slots FROM merged GROUP BY ALL) SELECT *, CASE WHEN reads = 1 AND marked = 0 THEN 'whole' WHEN marked = slots THEN 'untouched' ELSE 'packed' END AS written FROM s")
+def segment_write_back(spark, d):
+    return fuse.write_back(fuse.merge_frames(_reads(spark, d)))
+
+
+@query("K3", f"WITH {TIMELINE}, s AS (SELECT cap, max(f) + 1 AS n FROM t GROUP BY cap), b AS (SELECT cap, coalesce(sum(n) OVER (ORDER BY cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM s) SELECT t.event_id, (base + f)::BIGINT AS pos FROM t JOIN b USING (cap)")
+def ordered_concat(spark, d):
+    """Captures one after the other on one axis: only their sizes meet in one place."""
+    t = _timeline(spark, d)
+    sizes = t.groupBy("cap").agg((F.max("f") + 1).alias("n"))
+    base = F.coalesce(F.sum("n").over(W.orderBy("cap").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return t.join(sizes.withColumn("base", base), "cap").select("event_id", (F.col("base") + F.col("f")).alias("pos"))
