@@ -38,6 +38,8 @@ from tapeframe.llm.common import held_out, stored, texts
 BITS, GROUPS, MEMBERS = 14, 16, 16
 ROWS, OWN_CLASSES = 1 << BITS, 128
 ROUNDS, STEP, BATCH = 4, 0.25, 1 << 15
+#: Largest weight: six of them stay below the largest exponent of a float.
+CLIP = 12.0
 HEAVY = 1 << 20
 #: Rows of a table that travel together.
 BLOCK = 1024
@@ -89,6 +91,7 @@ class Vocabulary:
     own: np.ndarray  # sorted tokens that are classes of their own
     own_class: np.ndarray
     class_log: np.ndarray  # log10 of what a class's counts are divided by
+    slots: tuple[np.ndarray, np.ndarray] | None = None  # made on first use
 
     def classes(self, token: np.ndarray, shape: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.own, token), len(self.own) - 1)
@@ -98,8 +101,35 @@ class Vocabulary:
         """Counts of frequent tokens; -1 for others."""
         if not len(self.heavy):
             return np.full(len(token), -1)
-        at = np.minimum(np.searchsorted(self.heavy, token), len(self.heavy) - 1)
-        return np.where(self.heavy[at] == token, self.count[at], -1)
+        if self.slots is None:
+            self._fill()
+        keys, values = self.slots
+        mask = U64(len(keys) - 1)
+        at = (token & mask).astype(np.int64)
+        out = values[at]
+        look = np.flatnonzero((keys[at] != token) & (out >= 0))
+        while len(look):
+            at[look] = (at[look] + 1) & int(mask)
+            out[look] = values[at[look]]
+            look = look[(keys[at[look]] != token[look]) & (out[look] >= 0)]
+        return out
+
+    def _fill(self) -> None:
+        """An open table at most half full: a token stands at its low bits or in the next free slot."""
+        size = 1 << int(2 * len(self.heavy)).bit_length()
+        keys, values = np.zeros(size, U64), np.full(size, -1, np.int64)
+        left, at = np.arange(len(self.heavy)), (self.heavy & U64(size - 1)).astype(np.int64)
+        while len(left):
+            free = left[values[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            keys[at[own]], values[at[own]] = self.heavy[own], self.count[own]
+            left = left[keys[at[left]] != self.heavy[left]]
+            at[left] = (at[left] + 1) & (size - 1)
+        self.slots = keys, values
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"slots": None}
 
 
 def count_tokens(spark: SparkSession, train: DataFrame) -> tuple[DataFrame, Vocabulary]:
@@ -158,15 +188,15 @@ class Weights:
         return [self.first, self.second, self.first_bias, self.second_bias]
 
 
-def _softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of their sum before division, per token)."""
+def _logits(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights; weights are clipped so that their exponential is a float."""
     z = bias + table[rows[0]]
     for r in rows[1:]:
         z += table[r]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, z - np.log(s)
+    return z
+
+
+_ONES = np.ones(GROUPS, np.float32)
 
 
 def class_log10(w: Weights, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -176,8 +206,12 @@ def class_log10(w: Weights, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -
     for i in range(0, len(cls), BATCH):
         s = slice(i, i + BATCH)
         at = np.arange(len(cls[s]))
-        out[s] = _softmax(w.first, w.first_bias, one[:, s])[1][at, group[s]]
-        out[s] += _softmax(w.second, w.second_bias[group[s]], two[:, s])[1][at, member[s]]
+        z = _logits(w.first, w.first_bias, one[:, s])
+        own = z[at, group[s]].astype(float)
+        out[s] = own - np.log(np.exp(z, out=z) @ _ONES)
+        z = _logits(w.second, w.second_bias[group[s]], two[:, s])
+        own = z[at, member[s]].astype(float)
+        out[s] += own - np.log(np.exp(z, out=z) @ _ONES)
     return out / np.log(10)
 
 
@@ -190,28 +224,38 @@ class Trainer:
         self.uses = [np.zeros(len(t)) for t in self.w.tables()]
         self.step = step
 
-    def _descend(self, k: int, rows: np.ndarray, error: np.ndarray) -> None:
+    def _step(self, k: int, gradient: np.ndarray, uses: np.ndarray) -> None:
         table = self.w.tables()[k]
-        flat, copies = rows.ravel(), rows.shape[0]
-        columns = [np.bincount(flat, np.tile(error[:, c], copies), len(table)) for c in range(error.shape[1])]
-        gradient = np.stack(columns, axis=1).astype(np.float32)
         self.squares[k] += gradient * gradient
         table -= self.step * gradient / np.sqrt(self.squares[k])
-        self.uses[k] += np.bincount(flat, minlength=len(table))
+        np.clip(table, -CLIP, CLIP, out=table)
+        self.uses[k] += uses
+
+    def _descend(self, k: int, rows: np.ndarray, error: np.ndarray) -> None:
+        """One step of table ``k`` for the errors of tokens (classes x tokens) that use its rows."""
+        flat, copies, n = rows.ravel(), rows.shape[0], len(self.uses[k])
+        gradient = np.empty((n, len(error)), np.float32)
+        for c, e in enumerate(error):
+            gradient[:, c] = np.bincount(flat, np.tile(e, copies), n)
+        self._step(k, gradient, np.bincount(flat, minlength=n))
 
     def learn(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> None:
         group, member = cls // MEMBERS, cls % MEMBERS
+
+        def error(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+            e = np.exp(z, out=z)
+            e /= (e @ _ONES)[:, None]
+            e[np.arange(len(own)), own] -= 1
+            return np.ascontiguousarray(e.T)
+
         for i in range(0, len(cls), BATCH):
             s = slice(i, i + BATCH)
-            at, zero = np.arange(len(cls[s])), np.zeros((1, len(cls[s])), np.int32)
-            error = _softmax(self.w.first, self.w.first_bias, one[:, s])[0]
-            error[at, group[s]] -= 1
-            self._descend(0, one[:, s], error)
-            self._descend(2, zero, error)
-            error = _softmax(self.w.second, self.w.second_bias[group[s]], two[:, s])[0]
-            error[at, member[s]] -= 1
-            self._descend(1, two[:, s], error)
-            self._descend(3, group[None, s], error)
+            e = error(_logits(self.w.first, self.w.first_bias, one[:, s]), group[s])
+            self._descend(0, one[:, s], e)
+            self._step(2, e.sum(axis=1)[None, :], np.array([e.shape[1]]))
+            e = error(_logits(self.w.second, self.w.second_bias[group[s]], two[:, s]), member[s])
+            self._descend(1, two[:, s], e)
+            self._descend(3, group[None, s], e)
 
 
 CHANGES = "part int, block int, uses binary, change binary"
