@@ -12,6 +12,10 @@ the node.  All trees of a task are built and searched together, level by level,
 yields no pairs but a star for each component inside it, so its output is at most its input.  Stars
 are joined to components with alternating large-star and small-star steps, checkpointed each round.
 
+Groups for filtering (``similar_groups``) go further than two bits: SimHash over the distinct words of a
+text proposes pairs within six bits, by the same trees, and a pair is linked if its five-word shingles
+have a Jaccard similarity of 0.8 or more.
+
 Defined cases: null and empty texts have fingerprint zero and link with each other; a text of one or
 two words is one shingle; repeated rows each give a row; a null doc_id has a component like any other
 row, and is the smallest id only of nothing (the component_id is null where all ids are); an empty
@@ -93,8 +97,8 @@ def row_key() -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(fp, doc_id, key) of every row."""
-    return texts(docs).select("text", "doc_id", row_key().alias("key")).mapInArrow(_fingerprints, "fp long, doc_id long, key long")
+    """(fp, doc_id) of every row."""
+    return texts(docs).select("text", "doc_id").mapInArrow(_fingerprints, "fp long, doc_id long")
 
 
 # BK-trees
@@ -242,21 +246,155 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp (signed 64 bits), centre (a fingerprint of its component) and component_id of every row."""
+    """doc_id, fp (signed 64 bits) and component_id of every row."""
     rows = stored(spark, fingerprints(docs), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     centre = components(spark, links(spark, values.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
     of = values.join(centre, "fp", "left").select("fp", "doc_id", F.coalesce("centre", "fp").alias("centre"))
     of = stored(spark, of, "vertices")
     least = of.groupBy("centre").agg(F.min("doc_id").alias("component_id"))
-    classes = of.join(least, "centre").select("fp", "centre", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "key", "fp", "centre", "component_id")
+    classes = of.join(least, "centre").select("fp", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# Groups of similar texts: SimHash proposes, five-word shingles decide
+
+NEAR_RADIUS, COMPARED, SIMILAR = 6, 5, 0.8
+
+
+def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints over the distinct words of each text."""
+    for batch in batches:
+        text = batch.column("text")
+        _, offsets = B.column(text)
+        out = [np.zeros(0, np.uint64)]
+        for i, j in B.row_slices(offsets):
+            data, own = B.column(text.slice(i, j - i))
+            data = B.lower_ascii(data)
+            words = B.find_words(data, own, _SPACE)
+            out.append(majority(*distinct(B.span_hash(data, words.start, words.end), words.first)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(batch.column(c) for c in ("t", "doc_id", "key"))], names=["fp", "t", "doc_id", "key"])
+
+
+def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's hashes once, in order, and the index of each row's first one."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    hashes = hashes[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]) if len(hashes) else np.zeros(0, bool)
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(first) - 1))]).astype(np.int64)
+
+
+def spanning(group: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices that connect what is within the radius in each group: a forest, the nearest pairs first."""
+    trees, label = Forest(group, value), np.arange(len(value))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in range(radius + 1):
+        for a, b in trees.within(np.arange(len(value)), r):
+            while True:
+                x, y = label[a], label[b]
+                differ = x != y
+                if not differ.any():
+                    break
+                a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+                high, take = np.unique(np.maximum(x, y), return_index=True)
+                out_a.append(a[take])
+                out_b.append(b[take])
+                label[high] = np.minimum(x, y)[take]
+                while (label[label] != label).any():
+                    label = label[label]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning pairs of shards; rows come sorted by shard, and a shard may go on in the next batch."""
+    shard, rest = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def answer(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        alone = np.concatenate([[True], shard[1:] != shard[:-1], [True]])
+        several = ~(alone[:-1] & alone[1:])
+        shard, value = shard[several], value[several]
+        a, b = spanning(shard, value, NEAR_RADIUS)
+        low, high = np.minimum(value[a].view(np.int64), value[b].view(np.int64)), np.maximum(value[a].view(np.int64), value[b].view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=_STARS)
+
+    for batch in batches:
+        if batch.num_rows:
+            shard = np.concatenate([shard, batch.column("shard").to_numpy()])
+            rest = np.concatenate([rest, batch.column("fp").to_numpy().view(np.uint64)])
+            cut = int(np.searchsorted(shard, shard[-1]))
+            if cut:
+                yield answer(shard[:cut], rest[:cut])
+                shard, rest = shard[cut:], rest[cut:]
+    if len(rest):
+        yield answer(shard, rest)
+
+
+def near_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints within NEAR_RADIUS bits that connect all which are.
+
+    Of eight 8-bit blocks two agree at least, so a fingerprint goes to the shards of its 28 pairs of blocks.
+    """
+    block = lambda i: f"(shiftrightunsigned(fp, {8 * i}) & 255L)"
+    keys = ", ".join(f"{k}L * 65536L + {block(i)} * 256L + {block(j)}" for k, (i, j) in enumerate(combinations(range(8), 2)))
+    dealt = values.select(F.explode(F.expr(f"array({keys})")).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+    return stored(spark, dealt.mapInArrow(_span, "a long, b long").distinct(), "near")
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32-bit hashes of the distinct five-word shingles of each text, in order."""
+    for batch in batches:
+        text = batch.column("text")
+        _, offsets = B.column(text)
+        for i, j in B.row_slices(offsets):
+            data, own = B.column(text.slice(i, j - i))
+            data = B.lower_ascii(data)
+            words = B.find_words(data, own, _SPACE)
+            hashes = B.span_hash(data, words.start, words.end)
+            out = []
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                size = min(COMPARED, b - a)
+                out.append(np.unique((B.window_hash(hashes[a:b], size) >> np.uint64(32)).astype(np.uint32)).tobytes() if size else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("t").slice(i, j - i), pa.array(out, pa.binary())], names=["t", "s"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, key, centre) of every row: rows with one centre are a group of similar texts.
+
+    Texts are linked if their five-word shingles are similar (SIMILAR, Jaccard) and SimHash proposes the
+    pair; equal texts always are.  Groups are what links connect.
+    """
+    own = texts(docs).select("text", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), row_key().alias("key"))
+    rows = stored(spark, own.mapInArrow(_word_fingerprints, "fp long, t long, doc_id long, key long"), "words")
+    vertex = rows.groupBy("fp", "t").agg(F.min("key").alias("key"))
+    head = vertex.groupBy("fp").agg(F.min("t").alias("head"))
+    far = near_pairs(spark, head.select("fp"))
+    across = far.join(head.select(F.col("fp").alias("a"), F.col("head").alias("ta")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("tb")), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    within = vertex.join(head, "fp").where("t <> head").select(F.col("t").alias("a"), F.col("head").alias("b"))
+    pairs = stored(spark, across.unionByName(within), "pairs")
+    used = pairs.select("a").union(pairs.select("b")).distinct()
+    need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select("t", "key"), "used")
+    sets = own.select("text", "key").join(need, "key").select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
+    sets = stored(spark, sets, "shingles")
+    met = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    links_ = stored(spark, met.mapInArrow(_similar, "a long, b long"), "similar")
+    centre = components(spark, links_).select(F.col("a").alias("t"), F.col("b").alias("centre"))
+    return rows.join(centre, "t", "left").select("doc_id", "key", F.coalesce("centre", "t").alias("centre"))
 
 
 def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more) that stay: one of each component, the smallest doc_id."""
-    found = near_duplicates(spark, docs)
-    stay = found.groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.key").alias("__key"))
+    """The rows of ``docs`` (doc_id, text and more) that stay: one of each group, the smallest doc_id."""
+    stay = similar_groups(spark, docs).groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.key").alias("__key"))
     return docs.withColumn("__key", row_key()).join(stored(spark, stay, "stay"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 

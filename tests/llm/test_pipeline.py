@@ -38,7 +38,7 @@ def brute(spark, docs, labels, items):
     for row in test_lines_sharding.brute_lines([(k, d[1], d[3], 0) for k, d in enumerate(kept)], 0.05, 20):
         cut[row[0]] = row[1]
     kept = [(d[0], cut[k], *d[2:4]) for k, d in enumerate(kept)]
-    label = test_simhash.classes([test_simhash.fingerprint(t) for _, t, _, _ in kept])
+    label = test_simhash.similar_classes([t for _, t, _, _ in kept])
     one = {}
     for c, d in zip(label, kept):
         one[c] = min(one.get(c, d), d, key=lambda x: (x[0] is None, x[0]))

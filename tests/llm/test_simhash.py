@@ -100,3 +100,56 @@ def test_links_connect_what_pairs_connect(spark, monkeypatch, shard, frontier):
     for i in range(len(values)):
         for j in range(i):
             assert (label[i] == label[j]) == (found.get(signed[i], signed[i]) == found.get(signed[j], signed[j]))
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def similar_classes(texts):
+    """Smallest index reachable over pairs of five-word similarity 0.8, by comparing all pairs."""
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if label[j] < label[i] and len(x & y) >= 0.8 * len(x | y):
+                    label[i], changed = label[j], True
+    return label
+
+
+def test_similar_groups(spark):
+    r = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 3, 30, 200])))) for i in range(60)]
+    for i in range(60, 120):
+        x = rows[r.randrange(40)][1].split()
+        for _ in range(len(x) // 150):
+            x[r.randrange(len(x))] = "changed"
+        rows.append((i, " ".join(x)))
+    rows += [(200, None), (201, ""), (202, " "), (None, rows[3][1]), (None, "alone of all"), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    label = similar_classes([t for _, t in rows])
+    want = {}
+    for c, (i, _) in zip(label, rows):
+        want.setdefault(c, []).append(i)
+    got = {}
+    for x in S.similar_groups(spark, docs).collect():
+        got.setdefault(x.centre, []).append(x.doc_id)
+    parts = lambda groups: sorted((sorted(v, key=repr) for v in groups.values()), key=repr)
+    assert parts(got) == parts(want)
+    kept = [x.doc_id for x in S.representatives(spark, docs).collect()]
+    assert sorted(kept, key=repr) == sorted((min(v, key=lambda i: (i is None, i)) for v in want.values()), key=repr)
+
+
+def test_spanning_pairs_connect_what_is_near():
+    values = np.array(cluster(7, 80, 5), np.uint64)
+    group = np.zeros(len(values), np.int64)
+    a, b = S.spanning(group, values, 6)
+    near = [[j for j in range(len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= 6] for i in range(len(values))]
+    want = S.smallest_reachable(len(values), iter([(np.array([i for i, v in enumerate(near) for _ in v]), np.array([j for v in near for j in v]))]))
+    got = S.smallest_reachable(len(values), iter([(a, b)]))
+    assert (want == got).all() and len(a) == len(values) - len(np.unique(want))
