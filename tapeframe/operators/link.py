@@ -138,9 +138,9 @@ def offset_scan(timeline: DataFrame, reach: int = 4) -> DataFrame:
     return base.join(donor, ["cap", "f2"]).groupBy("cap", "offset").agg(F.count("*").alias("both"), F.count_if(F.col("kind") == F.col("kind2")).alias("same"))
 
 
-def diagnosis(timeline: DataFrame, offset: int = 14, step: int = 10) -> DataFrame:
-    """Every ``step``-th donor frame beside the base at a fixed offset, with totals for each capture (f2 null)."""
-    donor = timeline.where(F.col("f") % step == 0).select((F.col("cap") - 1).alias("cap"), F.col("f").alias("f2"), F.col("bad").alias("bad2"), F.col("kind").alias("kind2"))
+def diagnosis(timeline: DataFrame, offset: int = 14) -> DataFrame:
+    """Donor frames beside the base at a fixed offset, with totals for each capture (f2 null)."""
+    donor = timeline.select((F.col("cap") - 1).alias("cap"), F.col("f").alias("f2"), F.col("bad").alias("bad2"), F.col("kind").alias("kind2"))
     base = timeline.withColumn("f2", F.col("f") - offset)
     joined = base.join(donor, ["cap", "f2"])
     both = ~F.col("bad") & ~F.col("bad2")

@@ -116,11 +116,11 @@ def sliding_windows(timeline: DataFrame, width: int = 30, step: int = 24) -> Dat
 
 def core_ranges(timeline: DataFrame, step: int = 24) -> DataFrame:
     """Where each window's core begins and ends: the first healthy frame at or after its boundary."""
-    ends = timeline.groupBy("cap").agg((F.max("f") + 1).alias("n"))
-    windows = ends.select("cap", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step).cast("long"))).alias("window"))
-    good = timeline.where(~F.col("bad")).select("cap", "f")
-    at = lambda k: F.min(F.when(F.col("f") >= (F.col("window") + k) * step, F.col("f")))
-    return windows.join(good, "cap").groupBy("cap", "window", "n").agg(at(0).alias("k0"), at(1).alias("k1")).select("cap", "window", F.coalesce("k0", "n").alias("k0"), F.coalesce("k1", "n").alias("k1"))
+    good = F.when(~F.col("bad"), F.col("f"))
+    at = timeline.select("cap", "f", F.first(good, True).over(_by().rowsBetween(0, W.unboundedFollowing)).alias("k"), (F.max("f").over(W.partitionBy("cap")) + 1).alias("n")).where(F.col("f") % step == 0)
+    # A window's end is the next one's beginning; the last one ends with the capture.
+    following = F.lead("k").over(_by())
+    return at.select("cap", (F.col("f") / step).cast("long").alias("window"), F.coalesce("k", "n").alias("k0"), F.coalesce(following, "n").alias("k1"))
 
 
 def rebased(timeline: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from tapeframe.plans.registry import query, read
 
 SIG = """sig AS (SELECT label::BIGINT AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, embedding::DOUBLE[] AS s FROM embeddings),
 norm AS (SELECT seq, f, list_avg(s) AS mean, list_transform(s, lambda x: x - list_avg(s)) AS c FROM sig), ref AS (SELECT seq, f, mean, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-6) AS norm, c FROM norm)"""
-CORR = f"""{SIG}, qs AS (SELECT seq, f // 2 AS f, list_transform(s, lambda x: x * 0.95::DOUBLE + 4) AS s FROM sig WHERE f % 2 = 0), qc AS (SELECT seq, f, list_transform(s, lambda x: x - list_avg(s)) AS c FROM qs),
+CORR = f"""{SIG}, qs AS (SELECT seq, f, list_transform(s, lambda x: x * 0.95::DOUBLE + 4) AS s FROM sig), qc AS (SELECT seq, f, list_transform(s, lambda x: x - list_avg(s)) AS c FROM qs),
 qn AS (SELECT seq, f, c, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-6) AS norm FROM qc),
-corr AS (SELECT q.seq, q.f, r.f AS v, list_dot_product(q.c, r.c) / (q.norm * r.norm) AS corr FROM qn q JOIN ref r ON r.seq = q.seq AND r.f BETWEEN q.f * 2 - 6 AND q.f * 2 + 6),
+corr AS (SELECT q.seq, q.f, r.f AS v, list_dot_product(q.c, r.c) / (q.norm * r.norm) AS corr FROM qn q JOIN ref r ON r.seq = q.seq AND r.f BETWEEN q.f - 6 AND q.f + 6),
 cut AS (SELECT seq, f, quantile_cont(1 - corr, 0.9) AS cut FROM corr GROUP BY ALL), cost AS (SELECT seq, f, v, least(1 - corr, cut) AS cost FROM corr JOIN cut USING (seq, f))"""
 
 

@@ -139,7 +139,7 @@ def offset_comparison(spark, d):
     return link.offset_scan(_timeline(spark, d))
 
 
-@query("J19", f"WITH {TIMELINE} SELECT a.cap, b.f AS f2, count(*) FILTER (NOT a.bad) AS healthy_a, count(*) FILTER (NOT b.bad) AS healthy_b, count(*) FILTER (NOT a.bad AND NOT b.bad) AS both, count(*) FILTER (NOT a.bad AND NOT b.bad AND a.kind = b.kind) AS equal FROM t a JOIN t b ON b.cap = a.cap + 1 AND b.f = a.f - 14 AND b.f % 10 = 0 GROUP BY ROLLUP (a.cap, b.f) HAVING a.cap IS NOT NULL")
+@query("J19", f"WITH {TIMELINE} SELECT a.cap, b.f AS f2, count(*) FILTER (NOT a.bad) AS healthy_a, count(*) FILTER (NOT b.bad) AS healthy_b, count(*) FILTER (NOT a.bad AND NOT b.bad) AS both, count(*) FILTER (NOT a.bad AND NOT b.bad AND a.kind = b.kind) AS equal FROM t a JOIN t b ON b.cap = a.cap + 1 AND b.f = a.f - 14 GROUP BY ROLLUP (a.cap, b.f) HAVING a.cap IS NOT NULL")
 def fixed_offset_report(spark, d):
     return link.diagnosis(_timeline(spark, d))
 

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tapeframe.functions.bits import frame_bytes, profile_of
+from tapeframe.functions.bits import BLOCK_BYTES, byte_at, frame_bytes, profile_of
 
 #: Frames of one task.
 RANGE = 256
@@ -135,17 +136,14 @@ def concat(parts: list[DataFrame]) -> DataFrame:
     for k, p in enumerate(parts):
         own = p.select(F.lit(k).alias("window"), "pos", "payload")
         whole = own if whole is None else whole.unionByName(own)
-    from pyspark.sql import Window as W
-
     sizes = whole.groupBy("window").agg((F.max("pos") + 1).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("window").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return whole.join(F.broadcast(sizes), "window").select((F.col("base") + F.col("pos")).alias("pos"), "payload")
 
 
 def blocks(frames: DataFrame, dim: DataFrame, frame: str = "frame") -> DataFrame:
     """(frame, blk, ordinal, segment, sta, qno, data) of the video blocks; ``dim`` is ``bits.blocks_of_profile``."""
-    from tapeframe.functions.bits import byte_at
-
     video = F.broadcast(dim.where("kind = 'video'"))
-    rows = frames.crossJoin(video).select(frame, "blk", "ordinal", "segment", F.expr("substring(payload, int(offset) + 1, 80)").alias("data"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("payload") / BLOCK_BYTES) - 1))
+    rows = frames.select(frame, "payload", each.alias("blk")).join(video, "blk").select(frame, "blk", "ordinal", "segment", F.expr("substring(payload, int(offset) + 1, 80)").alias("data"))
     head = byte_at("data", 3)
     return rows.select(frame, "blk", "ordinal", "segment", F.shiftright(head, 4).alias("sta"), head.bitwiseAND(15).alias("qno"), "data")
