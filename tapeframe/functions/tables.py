@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,17 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}  # by application, where the cluster names no folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tapeframe-")
-        spark.conf.set(SETTING, path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="tapeframe-")
+        atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), ignore_errors=True)
+    return _own[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
