@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from tapeframe.functions.tables import new_path, shared_dir, stored
+
+__all__ = ["bounded", "held_out", "new_path", "read", "shared_dir", "stored", "texts"]
 
 
 #: Bytes of rows that go to a Python process at once; the process works on slices of them.
@@ -23,38 +23,6 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a folder is made, and the setting is set to it.
-    """
-    path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tapeframe-")
-        spark.conf.set(SETTING, path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
