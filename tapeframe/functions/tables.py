@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+#: Where this package lies.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def visible(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started; executors need it at the same path."""
+    environment = spark.sparkContext.environment
+    known = [environment.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
+    if ROOT not in os.pathsep.join(known).split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known[0]) if x)
+
+
 _own: dict[str, str] = {}  # by application, where the cluster names no folder
 
 

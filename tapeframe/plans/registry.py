@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeframe.functions.tables import visible
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +40,7 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            visible(spark)
             return plain(f(spark, sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
