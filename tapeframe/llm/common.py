@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.functions.tables import new_path, shared_dir, stored
+from tapeframe.functions.tables import new_path, shared_dir, stored, visible
 
 __all__ = ["bounded", "held_out", "new_path", "read", "shared_dir", "stored", "texts"]
 
@@ -17,13 +17,15 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 <<
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keep the batches that Python processes get small, whatever the rows' sizes: larger settings are lowered."""
+    """Keep the batches that Python processes get small, whatever the rows' sizes (larger settings are lowered), and let them import this package."""
+    visible(spark)
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_SETTING))
     if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
