@@ -148,10 +148,24 @@ def diagnosis(timeline: DataFrame, offset: int = 14) -> DataFrame:
 
 
 def refine_candidates(timeline: DataFrame, window: int = 40) -> DataFrame:
-    """For each bad frame, the other capture's healthy frames strictly between its known neighbours in time."""
+    """For each bad frame, the other capture's healthy frames strictly between its known neighbours in time.
+
+    Both ends of every gap are sorted in among the other capture's frames, so that a gap's candidates
+    follow from the frame after its beginning and the one before its end; gaps and frames never multiply.
+    """
     w = W.partitionBy("cap").orderBy("f")
     known = F.when(~F.col("bad"), F.col("ts"))
     gaps = timeline.select("cap", "f", "bad", F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("lo"), F.first(known, True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("hi")).where("bad and lo is not null and hi is not null")
-    donor = timeline.where(~F.col("bad")).select((F.col("cap") - 1).alias("cap"), F.col("f").alias("g"), "ts")
-    near = gaps.join(donor, "cap").where("ts > lo and ts < hi")
-    return near.groupBy("cap", "f").agg(F.count("*").alias("candidates"), F.min("g").alias("first"), F.max("g").alias("last")).where(F.col("last") - F.col("first") <= window)
+    healthy_frames = timeline.where(~F.col("bad")).withColumn("r", F.row_number().over(w))
+    # At one time an end stands before the frames, and a beginning after them: both are excluded.
+    ends = gaps.select("cap", "f", F.explode(F.array(F.struct(F.col("hi").alias("t"), F.lit(0).alias("order")), F.struct(F.col("lo").alias("t"), F.lit(2).alias("order")))).alias("e")).select("cap", "f", "e.*", F.lit(None).cast("struct<g: bigint, r: int>").alias("donor"))
+    donor = healthy_frames.select((F.col("cap") - 1).alias("cap"), F.lit(None).cast("long").alias("f"), F.col("ts").alias("t"), F.lit(1).alias("order"), F.struct(F.col("f").alias("g"), "r").alias("donor"))
+    along = W.partitionBy("cap").orderBy("t", "order")
+    met = ends.unionByName(donor).select(
+        "cap", "f", "order",
+        F.last("donor", True).over(along.rowsBetween(W.unboundedPreceding, 0)).alias("before"),
+        F.first("donor", True).over(along.rowsBetween(0, W.unboundedFollowing)).alias("after"),
+    ).where("f is not null")
+    found = met.groupBy("cap", "f").agg(F.max(F.when(F.col("order") == 2, F.col("after"))).alias("a"), F.max(F.when(F.col("order") == 0, F.col("before"))).alias("z"))
+    found = found.select("cap", "f", (F.col("z.r") - F.col("a.r") + 1).cast("long").alias("candidates"), F.col("a.g").alias("first"), F.col("z.g").alias("last"))
+    return found.where((F.col("candidates") > 0) & (F.col("last") - F.col("first") <= window))

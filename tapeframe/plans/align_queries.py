@@ -102,10 +102,11 @@ def canvas_hysteresis(spark, d):
     return sequence.canvas_hysteresis(rows)
 
 
-def _candidates(spark, d):
-    t = _timeline(spark, d).where("not bad")
-    donor = t.select((F.col("cap") - 1).alias("cap"), F.col("f").alias("g"), "kind")
-    return t.select("cap", "f", "kind").join(donor, ["cap", "kind"]).where(F.abs(F.col("f") - F.col("g")) <= 6).select("cap", "f", "g", F.abs(F.col("f") - F.col("g")).alias("away"))
+def _candidates(spark, d, reach=6):
+    """Healthy frames of one kind at most ``reach`` frames apart; buckets of that width make the range an equality."""
+    t = _timeline(spark, d).where("not bad").withColumn("bucket", F.floor(F.col("f") / (reach + 1)).cast("long"))
+    donor = t.select((F.col("cap") - 1).alias("cap"), F.col("f").alias("g"), "kind", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    return t.select("cap", "f", "kind", "bucket").join(donor, ["cap", "kind", "bucket"]).where(F.abs(F.col("f") - F.col("g")) <= reach).select("cap", "f", "g", F.abs(F.col("f") - F.col("g")).alias("away"))
 
 
 @query("J8")
