@@ -18,6 +18,8 @@ U64 = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes handled at once: a batch is cut into row ranges of about this many bytes.
 SLICE_BYTES = 1 << 20
+#: Bytes or words hashed with one prefix sum; longer rows are hashed part by part.
+PART = 4 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -131,7 +133,19 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand."""
+    """64-bit hashes of byte spans (in the order of their starts); equal bytes have equal hashes wherever they stand."""
+    if len(data) > PART and len(start):
+        out = np.empty(len(start), U64)
+        cuts = np.searchsorted(start, np.arange(0, len(data) + PART, PART))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            if a < b:
+                low = start[a]
+                out[a:b] = _span_hash(data[low : end[a:b].max()], start[a:b] - low, end[a:b] - low, base)
+        return out
+    return _span_hash(data, start, end, base)
+
+
+def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     power, inverse = powers(base, len(data) + 1)
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=prefix[1:])
@@ -143,6 +157,8 @@ def window_hash(words: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarr
     n = len(words)
     if n < size:
         return np.zeros(0, U64)
+    if n > PART + size:
+        return np.concatenate([window_hash(words[i : i + PART + size - 1], size, base) for i in range(0, n - size + 1, PART)])
     power, inverse = powers(base, n + 1)
     prefix = np.zeros(n + 1, U64)
     np.cumsum(words * power[:n], out=prefix[1:])
