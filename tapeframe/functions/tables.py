@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new table's place: all of an application's tables lie in one folder, which can go when it has ended."""
+    return f"{shared_dir(spark).rstrip('/')}/tapeframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
