@@ -9,8 +9,8 @@ The index is a list of immutable runs: Parquet tables whose files are sorted by
 batch becomes a run, is merge-joined with the runs of history on the fingerprint, and is verified:
 
 * a region whose words stand in a smaller document as a whole is removed by its word hash;
-* where one fingerprint has regions with different words, the windows of each distinct region (its
-  smallest document only) are hashed from the text and compared one by one.
+* where one fingerprint has regions with different words, the windows of each distinct region (at every
+  place in its smallest document) are hashed from the text and compared one by one.
 
 When there are more than ``MAX_RUNS`` runs the smaller ones are merged into one.  Words are compared
 by 64-bit hashes, regions and windows by a second 64-bit hash of those, on top of the fingerprint.
@@ -201,12 +201,14 @@ class FingerprintIndex:
         found = stored(self.spark, rows.hint("merge").join(shared, "fp"), "shared")
         whole = found.where("not varies and fresh and doc > owner").select("doc", "k", *ranges("start", F.col("n")))
         varied = found.where("varies")
-        # Of each distinct region the smallest document stands for all; any larger one loses it whole.
-        distinct = varied.groupBy("fp", "rh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("fp", "rh", "first")
-        owned = varied.hint("merge").join(stored(self.spark, distinct, "owners"), ["fp", "rh"]).where("fresh and doc > first")
-        owned = owned.select("doc", "k", *ranges("start", F.col("n")))
-        need = varied.groupBy("fp", "rh").agg(F.min(F.struct("doc", "k", "start", "n", "fresh")).alias("s")).select("s.*")
-        need = need.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "n")).alias("s"), F.max("fresh").alias("fresh")).select("doc", "k", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes"), "fresh")
+        # Of each distinct region the smallest document stands for all; any larger one loses it whole.  What a
+        # region's smallest document holds of it more than once is judged at every place, in each of its rows.
+        groups = varied.groupBy("fp", "rh").agg(F.min("doc").alias("first"), F.count("*").alias("places"), F.min(F.struct("doc", "k", "start", "n", "fresh")).alias("s"))
+        several = stored(self.spark, groups.where("places > 1").select("fp", "rh", "first"), "owners")
+        met = varied.where("fresh").hint("merge").join(several, ["fp", "rh"])
+        owned = met.where("doc > first").select("doc", "k", *ranges("start", F.col("n")))
+        need = groups.select("s.*").unionByName(met.where("doc = first").select("doc", "k", "start", "n", "fresh"))
+        need = need.groupBy("doc", "k").agg(F.collect_set(F.struct("start", "n")).alias("s"), F.max("fresh").alias("fresh")).select("doc", "k", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes"), "fresh")
         known = keyed(batch if history is None else history.select("doc_id", "text").unionByName(batch.select("doc_id", "text")))
         windows = stored(self.spark, known.select("doc", "k", "text").join(need, ["doc", "k"]).mapInArrow(_windows, "wh long, doc long, k long, at int, fresh boolean"), "windows")
         earlier = windows.groupBy("wh").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("wh", "owner")

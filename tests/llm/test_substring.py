@@ -89,3 +89,20 @@ def test_compaction_keeps_the_result(spark, monkeypatch):
         history = batch if history is None else history.unionByName(batch)
         assert len(index.runs) == 1
     assert sorted(got, key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_passage_repeated_inside_the_smallest_document(spark, batches):
+    """Regions whose words differ between documents, at several places and in several rows of their smallest one."""
+    rows = []
+    for c in range(6):
+        core = [f"c{c}.{i}" for i in range(60)]
+        alone = lambda name, n=30: [f"{name}{c}.{i}" for i in range(n)]  # noqa: B023, E731
+        again = alone("x") + core + alone("y")
+        rows.append((10 * c, " ".join(alone("b") + core + alone("d"))))
+        rows.append((10 * c + 5, " ".join(again + alone("z") + again)))
+        rows.append((10 * c + 5, " ".join(alone("q") + again + again)))
+        rows.append((10 * c + 7, " ".join(again)))
+    rows += [(None, rows[1][1]), (None, rows[2][1]), rows[1], (99, "la " * 300), (98, "la " * 60 + "le " + "la " * 200)]
+    got = sorted(map(tuple, S.dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), batches=batches).collect()), key=repr)
+    assert got == brute(rows)
