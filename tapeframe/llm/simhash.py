@@ -14,7 +14,8 @@ are joined to components with alternating large-star and small-star steps, check
 
 Groups for filtering (``similar_groups``) go further than two bits: SimHash over the distinct words of a
 text proposes pairs within six bits, by the same trees, and a pair is linked if its five-word shingles
-have a Jaccard similarity of 0.8 or more.
+have a Jaccard similarity of 0.8 or more.  Pairs that span what is near are decided first; then all other
+pairs within six bits whose texts these links leave in different groups.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; a text of one or
 two words is one shingle; repeated rows each give a row; a null doc_id has a component like any other
@@ -330,17 +331,88 @@ def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(shard, rest)
 
 
+def shards_of(fp: str) -> Column:
+    """The 28 shards of a fingerprint, one for each pair of its 8-bit blocks; which pair it is stands above 16 bits."""
+    block = lambda i: f"(shiftrightunsigned({fp}, {8 * i}) & 255L)"
+    keys = ", ".join(f"{k}L * 65536L + {block(i)} * 256L + {block(j)}" for k, (i, j) in enumerate(combinations(range(8), 2)))
+    return F.expr(f"array({keys})")
+
+
 def near_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within NEAR_RADIUS bits that connect all which are.
 
     Of eight 8-bit blocks two agree at least, so a fingerprint goes to the shards of its 28 pairs of blocks.
     """
-    block = lambda i: f"(shiftrightunsigned(fp, {8 * i}) & 255L)"
-    keys = ", ".join(f"{k}L * 65536L + {block(i)} * 256L + {block(j)}" for k, (i, j) in enumerate(combinations(range(8), 2)))
-    dealt = values.select(F.explode(F.expr(f"array({keys})")).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = values.select(F.explode(shards_of("fp")).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
     return stored(spark, dealt.mapInArrow(_span, "a long, b long").distinct(), "near")
 
 
+def crossing(shard: np.ndarray, fp: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by shard, fp, group) of different groups within NEAR_RADIUS, in parts.
+
+    A pair comes in the first shard that its fingerprints share.  Pairs whose numbers of shingles alone
+    rule similarity out are left away.
+    """
+    changes = (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])
+    ends = lambda new: np.append(np.flatnonzero(new) + 1, len(fp))
+    last = ends(changes)
+    first = np.concatenate([[0], last[:-1]])
+    runs = ends(changes | (group[1:] != group[:-1]))
+    run_end = np.repeat(runs, np.diff(runs, prepend=0))
+    value, kind = fp[first], shard[first] >> 16
+    second = np.array([j for _, j in combinations(range(8), 2)])[kind]
+    for a, b in Forest(shard[first], value).within(np.arange(len(value)), NEAR_RADIUS):
+        a, b = a[a <= b], b[a <= b]
+        same = (value[a] ^ value[b]).astype("<u8").view(np.uint8).reshape(-1, 8) == 0
+        once = (same & (np.arange(8) < second[a][:, None])).sum(axis=1) == 1
+        a, b = a[once], b[once]
+        rows = last[a] - first[a]
+        i = np.repeat(first[a], rows) + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        a, b = np.repeat(a, rows), np.repeat(b, rows)
+        begin = np.where(a == b, run_end[i], first[b])
+        many = last[b] - begin
+        upto, start = np.cumsum(many), 0
+        while start < len(i):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + FRONTIER, "right")))
+            own = many[start:stop]
+            x = np.repeat(i[start:stop], own)
+            y = np.repeat(begin[start:stop] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            keep = (group[x] != group[y]) & (low >= SIMILAR * high)
+            yield x[keep], y[keep]
+            start = stop
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of texts and their groups (ca, cb); rows come sorted by shard, and a shard may go on in the next batch."""
+    names = ("shard", "fp", "centre", "n", "t")
+    held = [np.zeros(0, np.int64) for _ in names]
+
+    def answer(shard, fp, centre, n, t) -> Iterator[pa.RecordBatch]:
+        alone = np.concatenate([[True], shard[1:] != shard[:-1], [True]])
+        several = ~(alone[:-1] & alone[1:])
+        shard, fp, centre, n, t = (x[several] for x in (shard, fp, centre, n, t))
+        if len(shard):
+            for i, j in crossing(shard, fp.view(np.uint64), centre, n):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[i], t[j], centre[i], centre[j])], names=["a", "b", "ca", "cb"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from answer(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+    yield from answer(*held)
+
+
+def crossing_pairs(spark: SparkSession, labelled: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): all pairs of texts within NEAR_RADIUS bits that are in different groups so far, from (t, fp, centre, n)."""
+    dealt = labelled.select(F.explode(shards_of("fp")).alias("shard"), "fp", "centre", "n", "t")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "fp", "centre")
+    return stored(spark, dealt.mapInArrow(_cross, "a long, b long, ca long, cb long"), "crossing")
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """32-bit hashes of the distinct five-word shingles of each text, in order."""
     for batch in batches:
@@ -365,7 +437,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -383,12 +455,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     within = vertex.join(head, "fp").where("t <> head").select(F.col("t").alias("a"), F.col("head").alias("b"))
     pairs = stored(spark, across.unionByName(within), "pairs")
     used = pairs.select("a").union(pairs.select("b")).distinct()
-    need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select("t", "key"), "used")
-    sets = own.select("text", "key").join(need, "key").select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
+    need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select("t", "key", "fp"), "used")
+    sets = own.select("text", "key").join(need.select("t", "key"), "key").select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
     sets = stored(spark, sets, "shingles")
-    met = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    links_ = stored(spark, met.mapInArrow(_similar, "a long, b long"), "similar")
+    with_sets = lambda p: p.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b").select(*p.columns, "x", "y")
+    links_ = stored(spark, with_sets(pairs).mapInArrow(_similar, "a long, b long"), "similar")
     centre = components(spark, links_).select(F.col("a").alias("t"), F.col("b").alias("centre"))
+    # Every text with another within the radius is in ``used``; its pairs that the spanning ones left out are tried now.
+    sizes = sets.select("t", F.expr("length(s) div 4").cast("long").alias("n"))
+    labelled = stored(spark, need.select("t", "fp").join(sizes, "t").join(centre, "t", "left").select("t", "fp", F.coalesce("centre", "t").alias("centre"), "n"), "labelled")
+    more = with_sets(crossing_pairs(spark, labelled)).mapInArrow(_similar, "a long, b long, ca long, cb long")
+    more = stored(spark, more.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "similar")
+    joined = components(spark, more).select(F.col("a").alias("centre"), F.col("b").alias("least"))
+    centre = labelled.join(joined, "centre", "left").select("t", F.coalesce("least", "centre").alias("centre"))
     return rows.join(centre, "t", "left").select("doc_id", "key", F.coalesce("centre", "t").alias("centre"))
 
 

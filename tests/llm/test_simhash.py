@@ -153,3 +153,35 @@ def test_spanning_pairs_connect_what_is_near():
     want = S.smallest_reachable(len(values), iter([(np.array([i for i, v in enumerate(near) for _ in v]), np.array([j for v in near for j in v]))]))
     got = S.smallest_reachable(len(values), iter([(a, b)]))
     assert (want == got).all() and len(a) == len(values) - len(np.unique(want))
+
+
+def test_similar_groups_of_texts_with_one_vocabulary(spark):
+    """Nearer texts in another order stand between two copies; both copies are still one group."""
+    r = random.Random(12)
+    rows = []
+    for g in range(10):
+        copy = [f"w{g}.{i}" for i in range(150)]
+        again = list(copy)
+        again[70], again[71] = again[71], again[70]
+        late = [*copy[:140], "new", *copy[141:]]
+        group = [copy, again, late] + [r.sample(copy, len(copy)) for _ in range(4)]
+        rows += [(10 * g + k, " ".join(x)) for k, x in enumerate(group)]
+    rows += [(500, ""), (501, " "), (502, "\n\n")]
+    got = {x.doc_id: x.centre for x in S.similar_groups(spark, spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    label = similar_classes([t for _, t in rows])
+    for i in range(len(rows)):
+        for j in range(i):
+            assert (label[i] == label[j]) == (got[rows[i][0]] == got[rows[j][0]])
+
+
+@pytest.mark.parametrize("frontier", [1 << 20, 5])
+def test_crossing_pairs_are_all_pairs_between_groups(monkeypatch, frontier):
+    monkeypatch.setattr(S, "FRONTIER", frontier)
+    r = random.Random(6)
+    values = cluster(7, 40, 4) * 2 + [77] * 5
+    rows = [(v, r.randrange(12), r.choice([90, 95, 100, 130]), t) for t, v in enumerate(values)]
+    dealt = sorted((k * 65536 + (v >> 8 * i & 255) * 256 + (v >> 8 * j & 255), v, c, n, t) for v, c, n, t in rows for k, (i, j) in enumerate(S.combinations(range(8), 2)))
+    shard, fp, c, n, t = (np.array([x[m] for x in dealt], np.uint64 if m == 1 else np.int64) for m in range(5))
+    got = [tuple(sorted(p)) for i, j in S.crossing(shard, fp, c, n) for p in zip(t[i].tolist(), t[j].tolist())]
+    want = {(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[1] != y[1] and (x[0] ^ y[0]).bit_count() <= 6 and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])}
+    assert sorted(got) == sorted(want)
