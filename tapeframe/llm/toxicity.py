@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -239,9 +240,39 @@ def fit(rows: list[tuple], least: int = 20) -> tuple[float, ...]:
 
 # Scoring
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[0x61:0x7B] = True
-_LETTERS[0x80:] = True
+_ASCII = np.zeros(256, bool)
+_ASCII[0x61:0x7B] = True
+
+
+@cache
+def _unicode() -> tuple[np.ndarray, str]:
+    """Which code points are letters to ``_WORD``, and those that Arrow and Python may turn into lower case differently."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    letters = np.zeros(0x110000, bool)
+    for m in re.finditer(r"[^\W\d_]+", every):
+        letters[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
+    letters[0xD800:0xE000] = False
+    lower = pc.utf8_lower(pa.array([every]))[0].as_py()
+    odd = {c for c, x in zip(every, lower) if c.lower() != x} if len(lower) == len(every) else {c for c in every if c.lower() != c}
+    return letters, "".join(sorted(odd | {"\u03a3"}))
+
+
+def _inside(data: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-case UTF-8 belong to letters."""
+    inside = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        head = data[lead].astype(np.int64)
+        size = 2 + (head >= 0xE0) + (head >= 0xF0)
+        point = head & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = (point[more] << 6) | (data[lead[more] + k] & 0x3F)
+        letter = _unicode()[0][point]
+        for k in range(4):
+            inside[lead[letter & (size > k)] + k] = True
+    return inside
 
 
 class Scorer:
@@ -273,20 +304,35 @@ class Scorer:
         return maybe[table[0][at] == hashes[maybe]]
 
     def rows(self, text) -> np.ndarray:
-        """Rows of a string array that hold an entry."""
+        """Rows of a string array that may hold an entry: all that do, and few others."""
         lower = pc.utf8_lower(text)
         data, offsets = B.column(lower)
-        w = B.find_words(data, offsets, _LETTERS)
+        w = B.find_words(_inside(data).view(np.uint8), offsets, np.arange(256) == 1)
+        start, end = self._joined(data, w)
         power, inverse = B.powers(B.BYTE_BASE, len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
         span = lambda a, b: B.mix((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64))
-        found = [self._hits(span(w.start, w.end), self.whole)]
+        found = [start[self._hits(span(start, end), self.whole)]]
         for n, table in self.stems.items():
-            long = np.flatnonzero(w.end - w.start >= n)
-            found.append(long[self._hits(span(w.start[long], w.start[long] + n), table)])
+            long = start[end - start >= n]
+            found.append(long[self._hits(span(long, long + n), table)])
         hit = np.unique(np.concatenate(found))
-        return np.unique(np.searchsorted(w.first, hit, "right") - 1)
+        odd = pc.match_substring_regex(text, f"[{re.escape(_unicode()[1])}]").fill_null(False).to_numpy(zero_copy_only=False)
+        return np.union1d(np.searchsorted(offsets, hit, "right") - 1, np.flatnonzero(odd))
+
+    @staticmethod
+    def _joined(data: np.ndarray, w: B.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of all words, and of all two words of a row with an apostrophe between them."""
+        gap = w.start[1:] - w.end[:-1]
+        at = np.flatnonzero(((gap == 1) | (gap == 3)) & (w.row[1:] == w.row[:-1]))
+        place = w.end[at]
+        plain = (gap[at] == 1) & (data[place] == 0x27)
+        curly = gap[at] == 3
+        for k, byte in enumerate("’".encode()):
+            curly &= data[np.minimum(place + k, len(data) - 1)] == byte
+        at = at[plain | curly]
+        return np.concatenate([w.start, w.start[at]]), np.concatenate([w.end, w.end[at + 1]])
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, log odds) of every clause that holds an insult, or a threat against a target."""

@@ -108,3 +108,16 @@ def test_held_out_accuracy(spark):
 
     got = QUERIES["op1_toxicity"](spark, SF01).join(read(spark, SF01, "labels"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.93 * len(got)
+
+
+def test_fast_search_splits_words_like_the_grammar():
+    lex = T.Lexicon({"idiot": 4.0, "idiota": 4.0, "l'âne": 3.0, "d’oie": 3.0, "σας": 3.0, "i": 3.0}, {"scumm": 4.0, "räud": 3.5, "qu'a": 3.0})
+    s, r = T.Scorer(lex), random.Random(4)
+    words = ["idiot", "IDIOTA", "l'âne", "L'ÂNE", "d’oie", "scummy", "RÄUDIGER", "qu'anon", "ΣΑΣ", "İ", "kill", "you", "the", "é", "日本", "x²", "7"]
+    marks = ["“", "”", "¡", "¿", "«", "»", "\u00a0", "—", "…", "'", "’", "‘", "_", "3", "😀", "\u0301", "·", "。", " ", ""]
+    one = [a + w + b for a in marks for w in words for b in marks]
+    many = [" ".join(r.choice(marks) + r.choice(words) + r.choice(marks) for _ in range(r.randint(0, 4))) for _ in range(3000)]
+    texts = [*one, *many, "", "¡idiota!", "“idiot”"]
+    found = set(s.rows(pa.array(texts)).tolist())
+    assert not [t for i, t in enumerate(texts) if s.clauses(t) and i not in found]
+    assert s.scores(pa.array([*texts, None])).tolist() == [*map(s.score, texts), T.QUIET]
