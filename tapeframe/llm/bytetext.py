@@ -98,6 +98,32 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         i = j
 
 
+#: Bytes of a row that goes through part by part.
+LONG = 4 << 20
+
+
+def pieces(data: np.ndarray, table: np.ndarray, limit: int = SLICE_BYTES, overlap: int = 0) -> Iterator[tuple[np.ndarray, Words, int]]:
+    """One row in parts of about ``limit`` bytes that end between words: (bytes, their words, words met before).
+
+    A part begins with the last ``overlap`` words of what came before, as far as there are any, so that every
+    run of ``overlap + 1`` words lies within one part and ends behind the repeated words.
+    """
+    n, begin, pos, carried, seen = len(data), 0, 0, 0, 0
+    while pos < n:
+        end = min(pos + limit, n)
+        while end < n and table[data[end]]:
+            stop = min(end + limit, n)
+            gap = np.flatnonzero(~table[data[end:stop]])
+            end = end + int(gap[0]) if len(gap) else stop
+        part = data[begin:end]
+        words = find_words(part, np.array([0, len(part)]), table)
+        count = len(words.start)
+        yield part, words, seen - carried
+        seen += count - carried
+        carried = min(overlap, count)
+        begin, pos = (begin + int(words.start[count - carried]) if carried else end), end
+
+
 @dataclass
 class Words:
     """Words of some rows: byte spans in ``data``, and for each row the index of its first word."""
@@ -146,12 +172,25 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
 
 
 def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    if len(data) > 4 * PART:
+        return np.array([_long_hash(data[a:b], base) for a, b in zip(start.tolist(), end.tolist())], U64)
     power, inverse = powers(base, len(data) + 1)
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=prefix[1:])
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
+def _long_hash(span: np.ndarray, base: int) -> int:
+    """The hash of one span, which may be very long."""
+    total, mask = 0, (1 << 64) - 1
+    for i in range(0, len(span), PART):
+        part = span[i : i + PART]
+        power, _ = powers(base, len(part) + 1)
+        own = int(((part.astype(U64) + U64(1)) * power[: len(part)]).sum(dtype=U64))
+        total = (total + own * pow(base, i, 1 << 64)) & mask
+    return int(mix(np.array([(total + len(span)) & mask], U64))[0])
+
+
 def window_hash(words: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
     """Hash of each run of ``size`` consecutive word hashes (``len(words) - size + 1`` of them)."""
     n = len(words)

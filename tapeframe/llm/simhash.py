@@ -12,15 +12,20 @@ the node.  All trees of a task are built and searched together, level by level,
 yields no pairs but a star for each component inside it, so its output is at most its input.  Stars
 are joined to components with alternating large-star and small-star steps, checkpointed each round.
 
+A tree goes to its shard's task with the shard's rows, not to all tasks by broadcast: trees of all
+documents have no size bound, and a broadcast would pass every fingerprint through the driver.
+
 Groups for filtering (``similar_groups``) go further than two bits: SimHash over the distinct words of a
-text proposes pairs within six bits, by the same trees, and a pair is linked if its five-word shingles
-have a Jaccard similarity of 0.8 or more.  Pairs that span what is near are decided first; then all other
-pairs within six bits whose texts these links leave in different groups.
+text proposes pairs within six bits, by the same trees; a second SimHash over its shingles screens them;
+and a pair is linked if its five-word shingles have a Jaccard similarity of 0.8 or more.  First a forest
+that holds together all proposed pairs is decided.  Where every pair of a tree is similar nothing is left
+to do; in the other trees all proposed pairs between different groups are decided too.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; a text of one or
 two words is one shingle; repeated rows each give a row; a null doc_id has a component like any other
 row, and is the smallest id only of nothing (the component_id is null where all ids are); an empty
-table gives an empty result.  Other columns are ignored.
+table gives an empty result; texts of more than ``bytetext.LONG`` bytes go part by part.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -80,6 +85,27 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(sums * 2 > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _of_bits(counts: np.ndarray, n: int) -> np.uint64:
+    return np.packbits(counts * 2 > n).view(">u8").astype(np.uint64)[0]
+
+
+def long_fingerprint(data: np.ndarray) -> np.uint64:
+    """The fingerprint of one long text, part by part."""
+    counts, n, few = np.zeros(64, np.int64), 0, np.zeros(0, np.uint64)
+    for part, words, _ in B.pieces(data, _SPACE, overlap=SHINGLE - 1):
+        hashes, _ = shingle_hashes(B.lower_ascii(part), words)
+        if len(words.start) < SHINGLE:
+            few = hashes  # all words so far, or only repeated ones
+        else:
+            counts, n = counts + bit_counts(hashes), n + len(hashes)
+    return _of_bits(counts, n) if n else _of_bits(bit_counts(few), len(few))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
@@ -87,16 +113,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = [np.zeros(0, np.uint64)]
         for i, j in B.row_slices(offsets):
             data, own = B.column(text.slice(i, j - i))
+            if len(data) > B.LONG:
+                out.append(np.array([long_fingerprint(data)], np.uint64))
+                continue
             data = B.lower_ascii(data)
             out.append(majority(*shingle_hashes(data, B.find_words(data, own, _SPACE))))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(batch.column(c) for c in batch.schema.names if c != "text")], names=["fp", *(c for c in batch.schema.names if c != "text")])
 
 
-def row_key() -> Column:
-    """What tells rows of documents apart; rows that agree in id and text are copies of one row."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(fp, doc_id) of every row."""
     return texts(docs).select("text", "doc_id").mapInArrow(_fingerprints, "fp long, doc_id long")
@@ -261,20 +285,99 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 # Groups of similar texts: SimHash proposes, five-word shingles decide
 
 NEAR_RADIUS, COMPARED, SIMILAR = 6, 5, 0.8
-
-
-def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints over the distinct words of each text."""
+#: SimHashes of 128 bits over the shingle sets of two similar texts differ in 19 bits on average (24 where there are
+#: only a few shingles), with a deviation of 4; those of unrelated texts in 64.  Pairs beyond this are not compared.
+SCREEN = 44
+#: Bytes of a long text whose distinct shingles are held at once; a longer text is gone over several times.
+HELD = 64 << 20
+
+_VERTEX = ("shard", "part", "fp", "s1", "s2", "n", "t", "centre")
+
+
+def _sequence_hash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each row's words in order."""
+    power, inverse = B.powers(B.BYTE_BASE, len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=prefix[1:])
+    return B.mix((prefix[first[1:]] - prefix[first[:-1]]) * inverse[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
+def _shingle_parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the five-word shingles of one long text (of all its words, if they are fewer)."""
+    few, several = np.zeros(0, np.uint64), False
+    for part, words, _ in B.pieces(data, _SPACE, overlap=COMPARED - 1):
+        part = B.lower_ascii(part)
+        hashes = B.span_hash(part, words.start, words.end)
+        if len(hashes) >= COMPARED:
+            several = True
+            yield B.window_hash(hashes, COMPARED)
+        elif len(hashes):
+            few = B.window_hash(hashes, len(hashes))
+    if not several:
+        yield few
+
+
+def _word_parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    for part, words, _ in B.pieces(data, _SPACE):
+        part = B.lower_ascii(part)
+        yield B.span_hash(part, words.start, words.end)
+
+
+def _distinct_parts(parts, data: np.ndarray) -> Iterator[np.ndarray]:
+    """Distinct values of what ``parts`` yields for one long text, in portions of bounded size."""
+    turns = 1 + len(data) // HELD
+    for turn in range(turns):
+        own = [h if turns == 1 else h[h % np.uint64(turns) == turn] for h in parts(data)]
+        yield np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+
+
+def _shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes of short rows, index of each row's first one)."""
+    out = []
+    size = np.diff(first)
+    wide = B.window_hash(hashes, COMPARED)
+    row = np.repeat(np.arange(len(size)), size)
+    inside = row[: len(wide)] == row[COMPARED - 1 :] if len(wide) else np.zeros(0, bool)
+    few = np.flatnonzero((size > 0) & (size < COMPARED))
+    out = [B.window_hash(hashes[first[r] : first[r + 1]], int(size[r])) for r in few.tolist()]
+    owner = np.concatenate([row[: len(wide)][inside], few])
+    values = np.concatenate([wide[inside], *out])
+    order = np.argsort(owner, kind="stable")
+    return values[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).astype(np.int64)
+
+
+_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
+_WORDS = pa.schema([(c, pa.int64()) for c in ("fp", "s1", "s2", "n", "t")])
+
+
+def _described(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Of each text: SimHash over its distinct words, two over its distinct shingles, their number, and a hash of its words in order."""
+    if len(data) > B.LONG:
+        total, seen, counts, n = 0, 0, np.zeros((3, 64), np.int64), [0, 0]
+        for h in _word_parts(data):
+            power, _ = B.powers(B.BYTE_BASE, len(h) + 1)
+            total += int((h * power[: len(h)]).sum(dtype=np.uint64)) * pow(B.BYTE_BASE, seen, 1 << 64)
+            seen += len(h)
+        for h in _distinct_parts(_word_parts, data):
+            counts[0], n[0] = counts[0] + bit_counts(h), n[0] + len(h)
+        for h in _distinct_parts(_shingle_parts, data):
+            counts[1], counts[2], n[1] = counts[1] + bit_counts(h), counts[2] + bit_counts(B.mix(h ^ _SECOND)), n[1] + len(h)
+        t = B.mix(np.array([(total + seen) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+        return [np.array([_of_bits(counts[0], n[0])]), np.array([_of_bits(counts[1], n[1])]), np.array([_of_bits(counts[2], n[1])]), np.array([n[1]], np.uint64), t]
+    data = B.lower_ascii(data)
+    words = B.find_words(data, offsets, _SPACE)
+    hashes = B.span_hash(data, words.start, words.end)
+    sets, first = distinct(*_shingles(hashes, words.first))
+    return [majority(*distinct(hashes, words.first)), majority(sets, first), majority(B.mix(sets ^ _SECOND), first), np.diff(first).astype(np.uint64), _sequence_hash(hashes, words.first)]
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
         _, offsets = B.column(text)
-        out = [np.zeros(0, np.uint64)]
         for i, j in B.row_slices(offsets):
-            data, own = B.column(text.slice(i, j - i))
-            data = B.lower_ascii(data)
-            words = B.find_words(data, own, _SPACE)
-            out.append(majority(*distinct(B.span_hash(data, words.start, words.end), words.first)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(batch.column(c) for c in ("t", "doc_id", "key"))], names=["fp", "t", "doc_id", "key"])
+            columns = [pa.array(c.view(np.int64)) for c in _described(*B.column(text.slice(i, j - i)))]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).slice(i, j - i) for c in ("doc_id", "k1", "k2"))], names=[*_WORDS.names, "doc_id", "k1", "k2"])
 
 
 def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,86 +389,63 @@ def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(first) - 1))]).astype(np.int64)
 
 
-def spanning(group: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices that connect what is within the radius in each group: a forest, the nearest pairs first."""
-    trees, label = Forest(group, value), np.arange(len(value))
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r in range(radius + 1):
-        for a, b in trees.within(np.arange(len(value)), r):
-            while True:
-                x, y = label[a], label[b]
-                differ = x != y
-                if not differ.any():
-                    break
-                a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-                high, take = np.unique(np.maximum(x, y), return_index=True)
-                out_a.append(a[take])
-                out_b.append(b[take])
-                label[high] = np.minimum(x, y)[take]
-                while (label[label] != label).any():
-                    label = label[label]
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning pairs of shards; rows come sorted by shard, and a shard may go on in the next batch."""
-    shard, rest = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+_PAIRS_OF_BLOCKS = list(combinations(range(8), 2))
 
-    def answer(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        alone = np.concatenate([[True], shard[1:] != shard[:-1], [True]])
-        several = ~(alone[:-1] & alone[1:])
-        shard, value = shard[several], value[several]
-        a, b = spanning(shard, value, NEAR_RADIUS)
-        low, high = np.minimum(value[a].view(np.int64), value[b].view(np.int64)), np.maximum(value[a].view(np.int64), value[b].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=_STARS)
 
-    for batch in batches:
-        if batch.num_rows:
-            shard = np.concatenate([shard, batch.column("shard").to_numpy()])
-            rest = np.concatenate([rest, batch.column("fp").to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(shard, shard[-1]))
-            if cut:
-                yield answer(shard[:cut], rest[:cut])
-                shard, rest = shard[cut:], rest[cut:]
-    if len(rest):
-        yield answer(shard, rest)
+def _rest_masks() -> list[list[int]]:
+    """For each pair of 8-bit blocks, seven masks that share out the other 48 bits."""
+    out = []
+    for pair in _PAIRS_OF_BLOCKS:
+        bits = [8 * b + i for b in range(8) if b not in pair for i in range(8)]
+        masks = [sum(1 << b for b in bits[k::7]) for k in range(7)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
 
 
 def shards_of(fp: str) -> Column:
     """The 28 shards of a fingerprint, one for each pair of its 8-bit blocks; which pair it is stands above 16 bits."""
     block = lambda i: f"(shiftrightunsigned({fp}, {8 * i}) & 255L)"
-    keys = ", ".join(f"{k}L * 65536L + {block(i)} * 256L + {block(j)}" for k, (i, j) in enumerate(combinations(range(8), 2)))
+    keys = ", ".join(f"{k}L * 65536L + {block(i)} * 256L + {block(j)}" for k, (i, j) in enumerate(_PAIRS_OF_BLOCKS))
     return F.expr(f"array({keys})")
 
 
-def near_pairs(spark: SparkSession, values: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints within NEAR_RADIUS bits that connect all which are.
+def dealt(vertices: DataFrame) -> DataFrame:
+    """(shard, part, fp, ...) for a search within NEAR_RADIUS, sorted.
 
-    Of eight 8-bit blocks two agree at least, so a fingerprint goes to the shards of its 28 pairs of blocks.
+    Of eight 8-bit blocks two agree at least, so a fingerprint goes to the shards of its 28 pairs of blocks.  Where
+    more than ``SHARD`` meet they are dealt again: of seven portions of the other 48 bits one agrees at least.
     """
-    dealt = values.select(F.explode(shards_of("fp")).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    return stored(spark, dealt.mapInArrow(_span, "a long, b long").distinct(), "near")
+    rows = vertices.select(F.explode(shards_of("fp")).alias("shard"), *_VERTEX[2:])
+    # At most 28 * 65,536 shards there are, whatever the input.
+    large = rows.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.lit(True).alias("large"))
+    masks = F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in _rest_masks()))
+    parts = F.transform(F.get(masks, F.shiftright("shard", 16).cast("int")), lambda m, k: F.xxhash64(k, F.col("fp").bitwiseAND(m)))
+    met = rows.join(F.broadcast(large), "shard", "left")
+    both = met.withColumn("part", F.explode(F.when(F.col("large"), parts).otherwise(F.array(F.lit(0).cast("long"))))).select(*_VERTEX)
+    return both.repartition("shard", "part").sortWithinPartitions("shard", "part", "fp", "centre", "s1", "s2")
+
 
+def _ends(new: np.ndarray, n: int) -> np.ndarray:
+    return np.append(np.flatnonzero(new) + 1, n)
 
-def crossing(shard: np.ndarray, fp: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (sorted by shard, fp, group) of different groups within NEAR_RADIUS, in parts.
 
-    A pair comes in the first shard that its fingerprints share.  Pairs whose numbers of shingles alone
-    rule similarity out are left away.
+def proposed(group: np.ndarray, fp: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: np.ndarray, centre: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by group, fp, centre) of one group and of different centres that may be similar, in parts.
+
+    They are within NEAR_RADIUS and SCREEN, and their numbers of shingles do not rule similarity out.
     """
-    changes = (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])
-    ends = lambda new: np.append(np.flatnonzero(new) + 1, len(fp))
-    last = ends(changes)
+    n = len(fp)
+    changes = (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])
+    last = _ends(changes, n)
     first = np.concatenate([[0], last[:-1]])
-    runs = ends(changes | (group[1:] != group[:-1]))
+    runs = _ends(changes | (centre[1:] != centre[:-1]), n)
     run_end = np.repeat(runs, np.diff(runs, prepend=0))
-    value, kind = fp[first], shard[first] >> 16
-    second = np.array([j for _, j in combinations(range(8), 2)])[kind]
-    for a, b in Forest(shard[first], value).within(np.arange(len(value)), NEAR_RADIUS):
-        a, b = a[a <= b], b[a <= b]
-        same = (value[a] ^ value[b]).astype("<u8").view(np.uint8).reshape(-1, 8) == 0
-        once = (same & (np.arange(8) < second[a][:, None])).sum(axis=1) == 1
-        a, b = a[once], b[once]
+    alone = run_end[first] == last  # fingerprints whose rows are of one centre
+    value = fp[first]
+    for a, b in Forest(group[first], value).within(np.arange(len(value)), NEAR_RADIUS):
+        keep = (a < b) | ((a == b) & ~alone[a])
+        keep &= ~(alone[a] & alone[b] & (centre[first[a]] == centre[first[b]])) | (a == b)
+        a, b = a[keep], b[keep]
         rows = last[a] - first[a]
         i = np.repeat(first[a], rows) + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
         a, b = np.repeat(a, rows), np.repeat(b, rows)
@@ -378,39 +458,86 @@ def crossing(shard: np.ndarray, fp: np.ndarray, group: np.ndarray, size: np.ndar
             x = np.repeat(i[start:stop], own)
             y = np.repeat(begin[start:stop] - (np.cumsum(own) - own), own) + np.arange(own.sum())
             low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            keep = (group[x] != group[y]) & (low >= SIMILAR * high)
-            yield x[keep], y[keep]
+            keep = (centre[x] != centre[y]) & (low >= SIMILAR * high)
+            x, y = x[keep], y[keep]
+            far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
+            yield x[far <= SCREEN], y[far <= SCREEN]
             start = stop
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of texts and their groups (ca, cb); rows come sorted by shard, and a shard may go on in the next batch."""
-    names = ("shard", "fp", "centre", "n", "t")
-    held = [np.zeros(0, np.int64) for _ in names]
-
-    def answer(shard, fp, centre, n, t) -> Iterator[pa.RecordBatch]:
-        alone = np.concatenate([[True], shard[1:] != shard[:-1], [True]])
-        several = ~(alone[:-1] & alone[1:])
-        shard, fp, centre, n, t = (x[several] for x in (shard, fp, centre, n, t))
-        if len(shard):
-            for i, j in crossing(shard, fp.view(np.uint64), centre, n):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[i], t[j], centre[i], centre[j])], names=["a", "b", "ca", "cb"])
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs those that connect all which are connected, each of them joining two parts."""
+    label = np.arange(n)
+    for a, b in pairs:
+        while True:
+            x, y = label[a], label[b]
+            differ = x != y
+            if not differ.any():
+                break
+            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+            high, take = np.unique(np.maximum(x, y), return_index=True)
+            yield a[take], b[take]
+            label[high] = np.minimum(x, y)[take]
+            while (label[label] != label).any():
+                label = label[label]
 
-    for batch in batches:
-        if batch.num_rows:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield from answer(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-    yield from answer(*held)
 
+def spanning(group: np.ndarray, fp: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by group, fp, s1, s2) that connect all which may be similar: a forest.
 
-def crossing_pairs(spark: SparkSession, labelled: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): all pairs of texts within NEAR_RADIUS bits that are in different groups so far, from (t, fp, centre, n)."""
-    dealt = labelled.select(F.explode(shards_of("fp")).alias("shard"), "fp", "centre", "n", "t")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "fp", "centre")
-    return stored(spark, dealt.mapInArrow(_cross, "a long, b long, ca long, cb long"), "crossing")
+    Rows with the same fingerprint and SimHashes are a chain; the first of them stands for it in the search.
+    """
+    n = len(fp)
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:] != fp[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (size[1:] != size[:-1])])
+    yield np.flatnonzero(~new) - 1, np.flatnonzero(~new)
+    head = np.flatnonzero(new)
+    for a, b in forest(proposed(group[head], fp[head], s1[head], s2[head], size[head], np.arange(len(head))), len(head)):
+        yield head[a], head[b]
+
+
+def _met(answer, names: tuple[str, ...]):
+    """Run ``answer`` over whole parts; rows come sorted, and a part may go on in the next batch."""
+
+    def whole(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        change = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+        alone = np.concatenate([[True], change, [True]]) if len(held[0]) else np.ones(1, bool)
+        several = ~(alone[:-1] & alone[1:]) if len(held[0]) else np.zeros(0, bool)
+        if several.any():
+            held = [h[several] for h in held]
+            change = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+            row = dict(zip(_VERTEX, held))
+            unsigned = (row[c].view(np.uint64) for c in ("fp", "s1", "s2"))
+            for a, b in answer(np.concatenate([[0], np.cumsum(change)]), *unsigned, row["n"], row["centre"]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row["t"][a], row["t"][b], row["centre"][a], row["centre"][b])][: len(names)], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in _VERTEX]
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _VERTEX)]
+                other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+                if len(other):
+                    cut = int(other[-1]) + 1
+                    yield from whole([h[:cut] for h in held])
+                    held = [h[cut:] for h in held]
+        yield from whole(held)
+
+    return run
+
+
+def spanning_pairs(spark: SparkSession, vertices: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts that connect all which may be similar, from (fp, s1, s2, n, t)."""
+    answer = lambda group, fp, s1, s2, n, _: spanning(group, fp, s1, s2, n)
+    rows = dealt(vertices.withColumn("centre", F.lit(0).cast("long")))
+    pairs = rows.mapInArrow(_met(answer, ("a", "b")), "a long, b long")
+    return stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+
+
+def crossing_pairs(spark: SparkSession, vertices: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): all pairs of texts that may be similar and have different centres, from (fp, s1, s2, n, t, centre)."""
+    pairs = dealt(vertices).mapInArrow(_met(proposed, ("a", "b", "ca", "cb")), "a long, b long, ca long, cb long")
+    return stored(spark, pairs.distinct(), "crossing")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,61 +547,81 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         _, offsets = B.column(text)
         for i, j in B.row_slices(offsets):
             data, own = B.column(text.slice(i, j - i))
-            data = B.lower_ascii(data)
-            words = B.find_words(data, own, _SPACE)
-            hashes = B.span_hash(data, words.start, words.end)
-            out = []
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                size = min(COMPARED, b - a)
-                out.append(np.unique((B.window_hash(hashes[a:b], size) >> np.uint64(32)).astype(np.uint32)).tobytes() if size else b"")
+            if len(data) > B.LONG:
+                parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in _distinct_parts(_shingle_parts, data)]
+                out = [np.unique(np.concatenate(parts)).tobytes()]
+            else:
+                data = B.lower_ascii(data)
+                words = B.find_words(data, own, _SPACE)
+                values, first = _shingles(B.span_hash(data, words.start, words.end), words.first)
+                short = (values >> np.uint64(32)).astype(np.uint32)
+                out = [np.unique(short[a:b]).tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("t").slice(i, j - i), pa.array(out, pa.binary())], names=["t", "s"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.drop_columns(["x", "y"]).append_column("ok", pa.array(keep, pa.bool_()))
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """128 bits that tell rows apart; rows that agree in all columns (maps aside) are copies of one row."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(k), *columns) for k in (1, 2)]
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, key, centre) of every row: rows with one centre are a group of similar texts.
+    """(doc_id, k1, k2, centre) of every row: rows with one centre are a group of similar texts.
 
     Texts are linked if their five-word shingles are similar (SIMILAR, Jaccard) and SimHash proposes the
-    pair; equal texts always are.  Groups are what links connect.
+    pair; texts of the same words always are.  Groups are what links connect.
     """
-    own = texts(docs).select("text", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), row_key().alias("key"))
-    rows = stored(spark, own.mapInArrow(_word_fingerprints, "fp long, t long, doc_id long, key long"), "words")
-    vertex = rows.groupBy("fp", "t").agg(F.min("key").alias("key"))
-    head = vertex.groupBy("fp").agg(F.min("t").alias("head"))
-    far = near_pairs(spark, head.select("fp"))
-    across = far.join(head.select(F.col("fp").alias("a"), F.col("head").alias("ta")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("tb")), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    within = vertex.join(head, "fp").where("t <> head").select(F.col("t").alias("a"), F.col("head").alias("b"))
-    pairs = stored(spark, across.unionByName(within), "pairs")
+    k1, k2 = row_key(docs)
+    own = texts(docs, k1.alias("k1"), k2.alias("k2"))
+    rows = stored(spark, own.select("text", "doc_id", "k1", "k2").mapInArrow(_describe, "fp long, s1 long, s2 long, n long, t long, doc_id long, k1 long, k2 long"), "words")
+    vertex = rows.groupBy("t").agg(*(F.min(c).alias(c) for c in ("fp", "s1", "s2", "n")), F.min(F.struct("k1", "k2")).alias("k"))
+    vertex = stored(spark, vertex.select("fp", "s1", "s2", "n", "t", "k.k1", "k.k2"), "texts")
+    pairs = spanning_pairs(spark, vertex)
     used = pairs.select("a").union(pairs.select("b")).distinct()
-    need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select("t", "key", "fp"), "used")
-    sets = own.select("text", "key").join(need.select("t", "key"), "key").select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
+    need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select(*vertex.columns), "used")
+    sets = own.join(need.select("t", "k1", "k2"), ["k1", "k2"]).select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
     sets = stored(spark, sets, "shingles")
-    with_sets = lambda p: p.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b").select(*p.columns, "x", "y")
-    links_ = stored(spark, with_sets(pairs).mapInArrow(_similar, "a long, b long"), "similar")
-    centre = components(spark, links_).select(F.col("a").alias("t"), F.col("b").alias("centre"))
-    # Every text with another within the radius is in ``used``; its pairs that the spanning ones left out are tried now.
-    sizes = sets.select("t", F.expr("length(s) div 4").cast("long").alias("n"))
-    labelled = stored(spark, need.select("t", "fp").join(sizes, "t").join(centre, "t", "left").select("t", "fp", F.coalesce("centre", "t").alias("centre"), "n"), "labelled")
-    more = with_sets(crossing_pairs(spark, labelled)).mapInArrow(_similar, "a long, b long, ca long, cb long")
-    more = stored(spark, more.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "similar")
-    joined = components(spark, more).select(F.col("a").alias("centre"), F.col("b").alias("least"))
-    centre = labelled.join(joined, "centre", "left").select("t", F.coalesce("least", "centre").alias("centre"))
-    return rows.join(centre, "t", "left").select("doc_id", "key", F.coalesce("centre", "t").alias("centre"))
+
+    def decided(p: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("t").alias(t), F.col("s").alias(s)) for t, s in (("a", "x"), ("b", "y")))
+        columns = ", ".join(f"{c} long" for c in p.columns)
+        return stored(spark, p.join(x, "a").join(y, "b").select(*p.columns, "x", "y").mapInArrow(_similar, f"{columns}, ok boolean"), "similar")
+
+    first = decided(pairs)
+    centre = components(spark, first.where("ok").select("a", "b")).select(F.col("a").alias("t"), F.col("b").alias("centre"))
+    if not first.where("not ok").isEmpty():
+        # Where a pair of the forest is not similar, texts that it held together may still be so by another pair.
+        whole = components(spark, pairs).select(F.col("a").alias("t"), F.col("b").alias("tree"))
+        broken = first.where("not ok").select(F.col("a").alias("t")).join(whole, "t").select("tree").distinct()
+        within = whole.join(broken, "tree").join(need, "t").join(centre, "t", "left").select("fp", "s1", "s2", "n", "t", F.coalesce("centre", "t").alias("centre"))
+        more = decided(crossing_pairs(spark, stored(spark, within, "broken"))).where("ok")
+        more = stored(spark, more.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "more")
+        joined = components(spark, more).select(F.col("a").alias("centre"), F.col("b").alias("least"))
+        centre = need.select("t").join(centre, "t", "left").select("t", F.coalesce("centre", "t").alias("centre")).join(joined, "centre", "left").select("t", F.coalesce("least", "centre").alias("centre"))
+    return rows.join(centre, "t", "left").select("doc_id", "k1", "k2", F.coalesce("centre", "t").alias("centre"))
 
 
 def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more) that stay: one of each group, the smallest doc_id."""
-    stay = similar_groups(spark, docs).groupBy("centre").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.key").alias("__key"))
-    return docs.withColumn("__key", row_key()).join(stored(spark, stay, "stay"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """The rows of ``docs`` (doc_id, text and more) that stay: one of each group, the smallest doc_id.
+
+    A null doc_id stays only where the group has no other.  Of several rows with that doc_id the one with the
+    smallest hash of all columns stays; of rows that agree in every column, one.  Columns may have any names.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    stay = similar_groups(spark, docs).groupBy("centre").agg(F.min(order).alias("s")).select("s.k1", "s.k2")
+    k1, k2 = row_key(docs)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    return rows.join(stored(spark, stay, "stay"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

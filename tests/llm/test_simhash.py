@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -145,14 +146,111 @@ def test_similar_groups(spark):
     assert sorted(kept, key=repr) == sorted((min(v, key=lambda i: (i is None, i)) for v in want.values()), key=repr)
 
 
+def rows_of(seed=7, n=80):
+    """(fp, s1, s2, n, centre) of rows with near fingerprints, near and far screens, and repeated ones, sorted."""
+    r = random.Random(seed)
+    values = cluster(seed, n, 4) + [77] * 9
+    screens = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(2)]
+    out = []
+    for v in values:
+        a, b = screens[r.randrange(2)]
+        for _ in range(r.randrange(30)):
+            a ^= 1 << r.randrange(64)
+        out.append((v, a, b, r.choice([90, 95, 100, 130]), r.randrange(12)))
+    return out + out[:5]
+
+
+def near(x, y):
+    return (x[0] ^ y[0]).bit_count() <= 6 and (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count() <= S.SCREEN and min(x[3], y[3]) >= 0.8 * max(x[3], y[3])
+
+
+def columns(rows):
+    return [np.array([r[c] for r in rows], np.uint64 if c < 3 else np.int64) for c in range(5)]
+
+
+def reachable(n, pairs):
+    pairs = list(pairs)
+    return S.smallest_reachable(n, iter(pairs)).tolist()
+
+
 def test_spanning_pairs_connect_what_is_near():
-    values = np.array(cluster(7, 80, 5), np.uint64)
-    group = np.zeros(len(values), np.int64)
-    a, b = S.spanning(group, values, 6)
-    near = [[j for j in range(len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= 6] for i in range(len(values))]
-    want = S.smallest_reachable(len(values), iter([(np.array([i for i, v in enumerate(near) for _ in v]), np.array([j for v in near for j in v]))]))
-    got = S.smallest_reachable(len(values), iter([(a, b)]))
-    assert (want == got).all() and len(a) == len(values) - len(np.unique(want))
+    rows = sorted(rows_of())
+    fp, s1, s2, n, _ = columns(rows)
+    want = reachable(len(rows), [(np.array([i]), np.array([j])) for i in range(len(rows)) for j in range(i) if near(rows[i], rows[j])])
+    pairs = list(S.spanning(np.zeros(len(rows), np.int64), fp, s1, s2, n))
+    assert reachable(len(rows), pairs) == want and sum(len(a) for a, _ in pairs) == len(rows) - len(set(want))
+
+
+@pytest.mark.parametrize("frontier", [1 << 20, 5])
+def test_proposed_pairs_are_all_pairs_between_groups(monkeypatch, frontier):
+    monkeypatch.setattr(S, "FRONTIER", frontier)
+    rows = sorted(rows_of(6, 40) * 2, key=lambda x: (x[0], x[4]))
+    fp, s1, s2, n, centre = columns(rows)
+    got = sorted((min(x, y), max(x, y)) for i, j in S.proposed(np.zeros(len(rows), np.int64), fp, s1, s2, n, centre) for x, y in zip(i.tolist(), j.tolist()))
+    want = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][4] != rows[j][4] and near(rows[i], rows[j])]
+    assert got == want
+
+
+@pytest.mark.parametrize("shard", [4096, 3])
+def test_pairs_meet_in_shards_and_their_parts(spark, monkeypatch, shard):
+    """With tiny shards all are dealt again."""
+    monkeypatch.setattr(S, "SHARD", shard)
+    rows = rows_of(5, 60)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = [(*map(signed, r[:3]), r[3], t, r[4]) for t, r in enumerate(rows)]
+    vertices = spark.createDataFrame(table, "fp long, s1 long, s2 long, n long, t long, centre long")
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near(rows[i], rows[j])}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in S.crossing_pairs(spark, vertices).collect()} == {p for p in want if rows[p[0]][4] != rows[p[1]][4]}
+    found = [(np.array([r.a]), np.array([r.b])) for r in S.spanning_pairs(spark, vertices.drop("centre")).collect()]
+    assert reachable(len(rows), found) == reachable(len(rows), [(np.array([i]), np.array([j])) for i, j in want])
+
+
+def test_similar_texts_are_within_the_screen():
+    """Of random pairs with a similarity of 0.8 or a little more none is screened away, few shingles or many."""
+    r = random.Random(4)
+    for size in [9, 14, 30, 100, 400]:
+        for _ in range(60):
+            x = [f"w{r.randrange(10**6)}" for _ in range(size)]
+            y = list(x)
+            while True:
+                z = list(y)
+                z[r.randrange(size)] = f"v{r.randrange(10**6)}"
+                a, b = shingles(" ".join(x)), shingles(" ".join(z))
+                if len(a & b) < 0.8 * len(a | b):
+                    break
+                y = z
+            data = [np.frombuffer(" ".join(t).encode(), np.uint8) for t in (x, y)]
+            _, p, q, n, _ = (np.concatenate(c) for c in zip(*(S._described(d, np.array([0, len(d)])) for d in data)))
+            assert int(p[0] ^ p[1]).bit_count() + int(q[0] ^ q[1]).bit_count() <= S.SCREEN
+            assert n.tolist() == [len(shingles(" ".join(t))) for t in (x, y)]
+
+
+def test_long_texts_go_part_by_part(monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["A", "bc", "Déf", "x" * 50]) for _ in range(k)) + r.choice(["", " "]) for k in [0, 1, 2, 3, 4, 5, 9, 60]]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        want = [S._described(data, np.array([0, len(data)])), S._fingerprints, [b.to_pydict() for b in S._shingle_sets(iter([pa.RecordBatch.from_pydict({"t": [1], "text": [t]})]))]]
+        whole = fingerprint(t)
+        with monkeypatch.context() as m:
+            m.setattr(S.B, "LONG", 0)
+            m.setattr(S, "HELD", 40)
+            pieces = S.B.pieces
+            m.setattr(S.B, "pieces", lambda d, table, limit=13, overlap=0: pieces(d, table, limit, overlap))
+            if len(data):
+                assert S.long_fingerprint(data) == whole
+                assert [x.tolist() for x in S._described(data, np.array([0, len(data)]))] == [x.tolist() for x in want[0]]
+            assert [b.to_pydict() for b in S._shingle_sets(iter([pa.RecordBatch.from_pydict({"t": [1], "text": [t]})]))] == want[2]
+
+
+def test_representatives_keep_any_columns(spark):
+    """Rows of one id and text that differ elsewhere: always the same one stays; names may clash with the operator's own."""
+    rows = [(1, "a b c d e f", "s1", 5, 7), (1, "a b c d e f", "s2", 5, 7), (1, "a b c d e f", "s2", 5, 7), (2, "other words", "s1", None, 1), (None, "other words", "s1", None, 1), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key long, centre long").selectExpr("*", "1 as k1", "2 as `row`", "map(1, 2) as m", "3 as `a.b`")
+    got = [S.representatives(spark, docs.repartition(k)) for k in (1, 3)]
+    assert got[0].schema == docs.schema
+    first, second = (sorted(map(repr, g.collect())) for g in got)
+    assert first == second and len(first) == 3
 
 
 def test_similar_groups_of_texts_with_one_vocabulary(spark):
@@ -164,24 +262,11 @@ def test_similar_groups_of_texts_with_one_vocabulary(spark):
         again = list(copy)
         again[70], again[71] = again[71], again[70]
         late = [*copy[:140], "new", *copy[141:]]
-        group = [copy, again, late] + [r.sample(copy, len(copy)) for _ in range(4)]
-        rows += [(10 * g + k, " ".join(x)) for k, x in enumerate(group)]
-    rows += [(500, ""), (501, " "), (502, "\n\n")]
+        group = [copy, again, late] + [r.sample(copy, len(copy)) for _ in range(20 if g == 3 else 4)]
+        rows += [(100 * g + k, " ".join(x)) for k, x in enumerate(group)]
+    rows += [(5000, ""), (5001, " "), (5002, "\n\n"), (5003, rows[0][1].upper().replace(" ", "  "))]
     got = {x.doc_id: x.centre for x in S.similar_groups(spark, spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     label = similar_classes([t for _, t in rows])
     for i in range(len(rows)):
         for j in range(i):
             assert (label[i] == label[j]) == (got[rows[i][0]] == got[rows[j][0]])
-
-
-@pytest.mark.parametrize("frontier", [1 << 20, 5])
-def test_crossing_pairs_are_all_pairs_between_groups(monkeypatch, frontier):
-    monkeypatch.setattr(S, "FRONTIER", frontier)
-    r = random.Random(6)
-    values = cluster(7, 40, 4) * 2 + [77] * 5
-    rows = [(v, r.randrange(12), r.choice([90, 95, 100, 130]), t) for t, v in enumerate(values)]
-    dealt = sorted((k * 65536 + (v >> 8 * i & 255) * 256 + (v >> 8 * j & 255), v, c, n, t) for v, c, n, t in rows for k, (i, j) in enumerate(S.combinations(range(8), 2)))
-    shard, fp, c, n, t = (np.array([x[m] for x in dealt], np.uint64 if m == 1 else np.int64) for m in range(5))
-    got = [tuple(sorted(p)) for i, j in S.crossing(shard, fp, c, n) for p in zip(t[i].tolist(), t[j].tolist())]
-    want = {(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[1] != y[1] and (x[0] ^ y[0]).bit_count() <= 6 and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])}
-    assert sorted(got) == sorted(want)
