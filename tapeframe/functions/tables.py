@@ -29,10 +29,13 @@ _own: dict[str, str] = {}  # by application, where the cluster names no folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only in a local session where that is unset, as in tests."""
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if path:
         return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tapeframe-")
@@ -50,3 +53,31 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Bucketed:
+    """A stored table dealt by ``by[0]`` to a fixed number of buckets, each one file sorted by ``by``.
+
+    Two such tables with one number of buckets are joined on ``by`` or its head without an exchange or a sort.
+    """
+
+    def __init__(self, spark: SparkSession, df: DataFrame, name: str, by: list[str], buckets: int, dealt: bool = False) -> None:
+        for key, value in (("spark.sql.legacy.bucketedTableScan.outputOrdering", "true"), ("spark.sql.requireAllClusterKeysForCoPartition", "false")):
+            spark.conf.set(key, value)
+        self.spark, self.path = spark, new_path(spark, name)
+        self.table = f"default.tapeframe_{uuid.uuid4().hex[:16]}"
+        rows = df if dealt else df.repartition(buckets, by[0])
+        rows.write.bucketBy(buckets, by[0]).sortBy(*by).option("path", self.path).format("parquet").saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(self.spark, self.path)
