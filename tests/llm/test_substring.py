@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeframe.llm import substring as S
@@ -77,18 +79,54 @@ def test_empty(spark, rows):
     assert got == brute(rows)
 
 
-def test_compaction_keeps_the_result(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_RUNS", 1)
+def test_runs_are_merged_by_levels(spark):
     rows = corpus(2, 30)
-    index, history, got = S.FingerprintIndex(spark), None, []
-    key = lambda i: (1 << 62) if i is None else i
-    for part in (lambda i: i < 10, lambda i: 10 <= i < 40, lambda i: i >= 40):
-        own = [x for x in rows if part(key(x[0]))]
-        batch = spark.createDataFrame(own, SCHEMA)
-        got += map(tuple, S.without_repeats(batch, index.repeats(batch, history), digest=True).collect())
-        history = batch if history is None else history.unionByName(batch)
-        assert len(index.runs) == 1
+    index, got, levels = S.FingerprintIndex(spark, 3), [], []
+    cuts = [0, 6, 12, 18, 24, 40, 1 << 62]
+    key = lambda i: (1 << 61) if i is None else i
+    for a, b in zip(cuts, cuts[1:]):
+        batch = spark.createDataFrame([x for x in rows if a <= key(x[0]) < b], SCHEMA)
+        got += map(tuple, S.without_repeats(batch, index.repeats(batch), digest=True).collect())
+        levels.append(sorted(level for level, _ in index.runs))
+    assert levels == [[0], [1], [0, 1], [2], [0, 2], [1, 2]]
     assert sorted(got, key=repr) == brute(rows)
+    runs = [run.read() for _, run in index.runs]
+    plan = runs[0].hint("merge").join(runs[1].select("fp"), "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+
+
+def test_long_texts_go_part_by_part(spark, monkeypatch):
+    """The functions of the workers on rows in parts give what they give on whole rows."""
+    rows = corpus(4, 25)
+    table = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "doc": [i or 0 for i, _ in rows], "k": list(range(len(rows))), "text": [t for _, t in rows], "begins": [[3, 60, 70] for _ in rows], "ends": [[55, 110, 140] for _ in rows]})
+    size = [len(words(t)) for _, t in rows]
+    spans = [[(a, min(b, n)) for a, b in ((3, 55), (60, 110), (70, 140)) if a < n] for n in size]
+    table = table.set_column(4, "begins", pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32()))).set_column(5, "ends", pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())))
+    flat = lambda f: [r for b in f(iter([table])) for r in b.to_pylist()]
+
+    def windows():
+        out = set()
+        for r in flat(S._regions):
+            for j, w in enumerate(np.frombuffer(r["wh"], np.int32).tolist()):
+                out.add((r["doc"], r["k"], r["fp"], r["start"] + j, w))
+        return out
+
+    whole = flat(S._kept), flat(S._digest), windows()
+    pieces = S.B.pieces
+    monkeypatch.setattr(S.B, "LONG", 0)
+    monkeypatch.setattr(S.B, "SLICE_BYTES", 1)
+    monkeypatch.setattr(S.B, "row_slices", lambda offsets, limit=1: ((i, i + 1) for i in range(len(offsets) - 1)))
+    monkeypatch.setattr(S.B, "pieces", lambda d, t, limit=60, overlap=0: pieces(d, t, 60, overlap))
+    assert (flat(S._kept), flat(S._digest), windows()) == whole
+
+
+def test_many_equal_rows_give_one_span(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, p), *[(2, p)] * 50, *[(3, p + " end")] * 50]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = S.FingerprintIndex(spark).repeats(docs).collect()
+    assert len(found) == 2 and all(len(r.begins) <= 60 for r in found)
+    assert sorted(map(tuple, S.dedup(spark, docs).collect())) == brute(rows)
 
 
 @pytest.mark.parametrize("batches", [1, 2])
