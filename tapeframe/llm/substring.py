@@ -39,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.functions.tables import Bucketed
+from tapeframe.functions.tables import Bucketed, discard
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import stored, texts
+from tapeframe.llm.common import new_path, stored, texts
 
 WINDOW, GRAM = 50, 25
 SPAN = WINDOW - GRAM + 1
@@ -116,6 +116,21 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), wh], schema=_REGIONS)
 
 
+RUN = "fp long, rh long, doc long, last long, wh binary"
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each region of a batch once, with its smallest and largest document."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fp, rh, doc = (batch.column(c).to_numpy() for c in ("fp", "rh", "doc"))
+        order = np.lexsort((doc, rh, fp))
+        new = np.flatnonzero(np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (rh[order][1:] != rh[order][:-1])]))
+        low, high = order[new], order[np.append(new[1:], len(order)) - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(fp[low]), pa.array(rh[low]), pa.array(doc[low]), pa.array(doc[high]), batch.column("wh").take(pa.array(low))], names=["fp", "rh", "doc", "last", "wh"])
+
+
 def _windows(columns: dict[str, pa.DataType]):
     """A row for each window of the regions: the other columns, its bits ``w``, and its place ``at`` after ``start``."""
 
@@ -234,9 +249,10 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _append(self, regions: DataFrame) -> Bucketed:
-        """Write a batch's run."""
-        rows = regions.groupBy("fp", "rh").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("wh").alias("wh"))
-        run = Bucketed(self.spark, rows, "run", ["fp", "rh"], self.buckets)
+        """Write a batch's run.  Regions are made distinct before and after they are dealt, so a frequent one sends few rows."""
+        rows = regions.select("fp", "rh", "doc", "wh").mapInArrow(_distinct, RUN).repartition(self.buckets, "fp")
+        rows = rows.groupBy("fp", "rh").agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.first("wh").alias("wh"))
+        run = Bucketed(self.spark, rows, "run", ["fp", "rh"], self.buckets, dealt=True)
         self.runs.append((0, run))
         return run
 
@@ -257,7 +273,9 @@ class FingerprintIndex:
 
     def repeats(self, batch: DataFrame) -> DataFrame:
         """Add a batch; (doc, k, begins, ends): word ranges of its documents that stand in smaller ones."""
-        places = stored(self.spark, keyed(batch).select("doc", "k", "text").mapInArrow(_regions, REGIONS), "regions")
+        path = new_path(self.spark, "regions")
+        keyed(batch).select("doc", "k", "text").mapInArrow(_regions, REGIONS).write.parquet(path)
+        places = self.spark.read.schema(REGIONS).parquet(path)
         old = [run for _, run in self.runs]
         mine = self._append(places).read()
         history = [run.read().hint("merge").join(mine.select("fp"), "fp", "left_semi") for run in old]
@@ -291,6 +309,7 @@ class FingerprintIndex:
         spans = whole.unionByName(owned).unionByName(single).distinct()
         spans = spans.groupBy("doc", "k").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("s")).select("doc", "k", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
         out = stored(self.spark, spans, "spans")
+        discard(self.spark, path)
         self.compact()
         return out
 
