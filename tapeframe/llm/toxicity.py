@@ -10,7 +10,11 @@ Support is the number of different words before an entry, so that copies of one
 labelled sample has ``SAMPLE`` rows at most (the smallest hashes of doc_id); scoring has no limit.
 
 A text's score is a logistic of its strongest clause, of how many clauses count and of its length,
-fitted on the same sample; where no clause counts it is one half at most.
+fitted on the same sample; where no clause counts it is one half at most.  The fit starts from default
+coefficients as its prior and moves away from them as far as the sample has evidence, however little that is.
+
+A clause ends at ``.!?;:`` and line feeds, and at the first white space after ``CLAUSE`` bytes.  A long
+text is read clause by clause and never decoded as a whole.
 
 Defined cases: null and empty texts, and texts without entries, have the score ``QUIET``; labels that
 are null are ignored, as are labels of unknown documents; without labels no insult is known; a
@@ -34,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import bounded, held_out, texts
+from tapeframe.llm.common import bounded, held_out, stored, texts
 
 SAMPLE = 10_000
 #: An entry needs this many different words before it in toxic texts, and this share of all of them.
 SUPPORT, PRECISION = 7, 0.9
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Entries of the lexicon that are kept at most, the best supported first: a bound of what is broadcast.
-ENTRIES = 20_000
+#: Bytes after which a clause ends at white space.
+CLAUSE = 1 << 16
+#: How firmly the fit holds to the default coefficients: as this many texts of even odds would.
+PRIOR = 0.1
 QUIET, THRESHOLD = 0.01, 0.7
 
 #: Weights of the transducers, in log odds.
@@ -204,14 +210,18 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int
     if modulus is not None:
         known = known.where(~held_out("doc_id", modulus))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    # Of several documents with one id the one with the smallest hash is the sample's; so it has SAMPLE rows at most.
+    met = texts(docs).join(F.broadcast(known.withColumn("n", F.lit(1)).groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))), "doc_id")
+    one = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n")).alias("s"))
+    rows = stored(spark, one.select("doc_id", "toxic", F.col("s.text").alias("text"), F.col("s.n").alias("n")), "sample")
     seen = rows.mapInArrow(_contexts, "unit string, before long, toxic int").distinct()
     counts = seen.groupBy("unit").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
     share = (F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1)
-    best = counts.where((F.col("pos") >= SUPPORT) & (share >= PRECISION)).orderBy(F.desc("pos"), "unit").limit(ENTRIES).collect()
+    best = counts.where((F.col("pos") >= SUPPORT) & (share >= PRECISION)).collect()
     odds = {r.unit: min(LOUDEST, math.log((r.pos + 0.5) / (r.neg + 0.5))) for r in best}
     lexicon = Lexicon({u: w for u, w in odds.items() if u[-1] != "*"}, {u[:-1]: w for u, w in odds.items() if u[-1] == "*"})
-    lexicon.coefficients = fit([tuple(r) for r in rows.mapInArrow(_evidence(lexicon), "toxic int, strongest double, loud double, length double").collect()])
+    found = rows.mapInArrow(_evidence(lexicon), "toxic int, n int, strongest double, loud double, length double").collect()
+    lexicon.coefficients = fit([(r.toxic, r.strongest, r.loud, r.length) for r in found for _ in range(r.n)])
     return lexicon
 
 
@@ -219,22 +229,34 @@ def _evidence(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for batch in batches:
-            rows = [(y, *x) for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()) if (x := scorer.evidence(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.float64()))], names=["toxic", "strongest", "loud", "length"])
+            found = scorer.all_evidence(batch.column("text"))
+            labels, times = batch.column("toxic").to_pylist(), batch.column("n").to_pylist()
+            rows = [(labels[i], times[i], *x) for i, x in sorted(found.items())]
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["toxic", "n", "strongest", "loud", "length"])
 
     return run
 
 
-def fit(rows: list[tuple], least: int = 20) -> tuple[float, ...]:
-    """Logistic regression with a small ridge, by Newton steps; the default where either label is rare."""
-    y = np.array([r[0] for r in rows], float)
-    if y.sum() < least or (1 - y).sum() < 3:
-        return Lexicon.coefficients
-    x = np.array([(1.0, *r[1:]) for r in rows])
-    w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+def fit(rows: list[tuple]) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, with the default coefficients as its prior."""
+    prior = np.array(Lexicon.coefficients)
+    if not rows:
+        return tuple(prior.tolist())
+    y = np.array([r[0] for r in sorted(rows)], float)
+    x = np.array([(1.0, *r[1:]) for r in sorted(rows)])
+    ridge = PRIOR * np.eye(x.shape[1])
+    loss = lambda w: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + 0.5 * PRIOR * ((w - prior) ** 2).sum())
+    w = prior.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - PRIOR * (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
+            break
+        w = w + size * step
     return tuple(w.tolist())
 
 
@@ -337,8 +359,8 @@ class Scorer:
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, log odds) of every clause that holds an insult, or a threat against a target."""
         out = []
-        for c in _CLAUSE.finditer(text):
-            words = _WORD.findall(c[0].lower())
+        for start, clause in _clauses_of(text):
+            words = _WORD.findall(clause.lower())
             weights = [self.lexicon.weight(w) for w in words]
             symbols = "".join("I" if x is not None else SYMBOLS.get(w, "O") for w, x in zip(words, weights))
             if "I" not in symbols and "T" not in symbols:
@@ -346,37 +368,121 @@ class Scorer:
             read, extra = GRAMMAR.read(symbols)
             marks = [(x or 0.0) + e for s, x, e in zip(read, weights, extra) if s in "IiK"]
             if marks:
-                out.append((c.start(), c.end(), max(marks)))
+                out.append((start, start + len(clause), max(marks)))
         return out
 
+    def portions(self, text) -> Iterator[tuple[int, pa.Array]]:
+        """(row of the first, texts): short rows together; a long row in parts that end between clauses, one after the other."""
+        _, offsets = B.column(text)
+        for i, j in B.row_slices(offsets):
+            part = text.slice(i, j - i)
+            data, own = B.column(part)
+            if len(data) <= B.LONG:
+                yield i, part
+                continue
+            for a, b in clause_cuts(data):
+                yield i, pa.array([data[a:b].tobytes().decode()], pa.string())
+
+    def all_evidence(self, text) -> dict[int, tuple[float, float, float]]:
+        """For rows of a string array where a clause matches: (strongest clause, logarithm of the clauses that count, of the words)."""
+        found: dict[int, list] = {}
+        words: dict[int, int] = {}
+        for i, part in self.portions(text):
+            alone = len(part) == 1
+            near = self.rows(part).tolist()
+            if alone:
+                words[i] = words.get(i, 0) + (len(_WORD.findall(part[0].as_py() or "")) if near or i in words else self._count(part))
+            for r in near:
+                whole = part[r].as_py() or ""
+                matched = [x for _, _, x in self.clauses(whole)]
+                if matched:
+                    if not alone:
+                        words[i + r] = len(_WORD.findall(whole))
+                    e = found.setdefault(i + r, [-math.inf, 0])
+                    e[0], e[1] = max(e[0], *matched), e[1] + sum(x > 0 for x in matched)
+        return {r: (e[0], math.log(max(e[1], 1)), math.log(1 + words[r])) for r, e in found.items()}
+
+    @staticmethod
+    def _count(part) -> int:
+        return len(_WORD.findall(part[0].as_py() or ""))
+
     def evidence(self, text: str) -> tuple[float, float, float] | None:
-        """(strongest clause, logarithm of the clauses that count, of the words), if any clause matches."""
+        """The same for one text, read as a whole."""
         found = [x for _, _, x in self.clauses(text)]
         if not found:
             return None
         return max(found), math.log(max(sum(x > 0 for x in found), 1)), math.log(1 + len(_WORD.findall(text)))
 
-    def score(self, text: str) -> float:
-        x = self.evidence(text)
+    def _score(self, x: tuple[float, float, float] | None) -> float:
         if x is None:
             return QUIET
         z = sum(a * b for a, b in zip(self.lexicon.coefficients, (1.0, *x)))
         p = 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
         return max(QUIET, p if x[0] > 0 else min(p, 0.5))
 
+    def score(self, text: str) -> float:
+        return self._score(self.evidence(text))
+
     def scores(self, text) -> np.ndarray:
         out = np.full(len(text), QUIET)
-        _, offsets = B.column(text)
-        for i, j in B.row_slices(offsets):
-            part = text.slice(i, j - i)
-            for r in self.rows(part).tolist():
-                out[i + r] = self.score(part[r].as_py())
+        for r, x in self.all_evidence(text).items():
+            out[r] = self._score(x)
         return out
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _clauses_of(text: str) -> Iterator[tuple[int, str]]:
+    """(start, clause) of a text's clauses."""
+    for c in _CLAUSE.finditer(text):
+        if len(c[0]) * 4 <= CLAUSE or len(raw := c[0].encode()) <= CLAUSE:
+            yield c.start(), c[0]
+            continue
+        at, start = 0, c.start()
+        while at < len(raw):
+            gap = _GAP.search(raw, at + CLAUSE)
+            part = raw[at : gap.end() if gap else len(raw)].decode()
+            yield start, part
+            at, start = gap.end() if gap else len(raw), start + len(part)
+
+
+#: ``.!?;:`` and line feed.
+_STOPS = np.zeros(256, bool)
+_STOPS[[0x2E, 0x21, 0x3F, 0x3B, 0x3A, 0x0A]] = True
+
+
+def clause_cuts(data: np.ndarray, limit: int = B.SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a long text of about ``limit`` bytes that end behind a clause (see ``CLAUSE``)."""
+    n, at = len(data), 0
+    while at < n:
+        end = at + limit
+        if end >= n:
+            yield at, n
+            return
+        stops = np.flatnonzero(_STOPS[data[at:end]])
+        if len(stops):
+            cut = at + int(stops[-1]) + 1
+        else:
+            # One clause, as far as ``_clauses_of`` takes it.
+            cut = n
+            for k in range(at + CLAUSE, n, limit):
+                part = data[k : k + limit]
+                gap = np.flatnonzero((part == 0x20) | ((part >= 0x09) & (part <= 0x0D)))
+                if len(gap):
+                    cut = k + int(gap[0]) + 1
+                    break
+                if _STOPS[part].any():
+                    cut = k + int(np.flatnonzero(_STOPS[part])[0]) + 1
+                    break
+        yield at, cut
+        at = cut
+
+
 def scored(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, name: str = "toxicity", text: str = "text") -> DataFrame:
-    """``docs`` with a score column."""
+    """``docs`` with a score column, which replaces one of that name."""
     bounded(spark)
+    docs = docs.drop(name)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,13 +505,15 @@ def matched_clauses(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> D
         scorer = Scorer(shared.value)
         for batch in batches:
             text, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            _, offsets = B.column(text)
-            for i, j in B.row_slices(offsets):
+            row, before = -1, 0
+            for i, part in scorer.portions(text):
+                before = before if i == row else 0
                 rows = []
-                for r in scorer.rows(text.slice(i, j - i)).tolist():
-                    whole = text[i + r].as_py()
-                    rows += [{"doc_id": ids[i + r], "start": a, "end": b, "clause": whole[a:b], "log_odds": x} for a, b, x in scorer.clauses(whole)]
+                for r in scorer.rows(part).tolist():
+                    whole = part[r].as_py()
+                    rows += [{"doc_id": ids[i + r], "start": a + before, "end": b + before, "clause": whole[a:b], "log_odds": x} for a, b, x in scorer.clauses(whole)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                row, before = i, before + (len(part[0].as_py() or "") if len(part) == 1 else 0)
 
     return texts(docs).mapInArrow(run, "doc_id long, start long, end long, clause string, log_odds double")
 

@@ -8,11 +8,11 @@ from tapeframe.llm import lines as L
 from tapeframe.llm import sharding as H
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio):
     pages = {(s, t) for _, t, s, _ in rows if t is not None}
     total = Counter(s for s, _ in pages)
     n = Counter((s, x) for s, t in pages for x in set(t.split("\n")) if x.strip(" \t\r\f\v"))
-    drop = {k for k, v in n.items() if v > 1 and total[k[0]] >= least and v > ratio * total[k[0]]}
+    drop = {k for k, v in n.items() if v > 1 and v > ratio * total[k[0]]}
     out = []
     for i, t, s, z in rows:
         ls = [] if t is None else t.split("\n")
@@ -31,13 +31,14 @@ def corpus():
 SCHEMA = "doc_id long, text string, source string, n_lines int"
 
 
-@pytest.mark.parametrize("least", [20, 1])
-def test_lines_against_brute_force(spark, least):
+@pytest.mark.parametrize("ratio", [0.05, 0.6])
+def test_lines_against_brute_force(spark, ratio):
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lines int").selectExpr("*", "1 as n_lines", "2 as host", "3 as n_dropped")
-    got = L.without_boilerplate(docs, 0.05, least)
-    assert got.columns == ["doc_id", "text", "source", "lines", "host", "n_lines", "n_dropped"]
-    assert sorted(map(tuple, got.drop("host").collect()), key=repr) == brute_lines(rows, 0.05, least)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lines int").selectExpr("*", "1 as n_lines", "2 as host", "3 as n_dropped", "4 as __host", "5 as __kept", "6 as kept", "map(1, 2) as `a.b`")
+    got = L.without_boilerplate(docs, ratio)
+    assert got.columns == ["doc_id", "text", "source", "lines", "host", "__host", "__kept", "kept", "a.b", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in got.select("host", "__host", "__kept", "kept").collect()} == {(2, 4, 5, 6)}
+    assert sorted(map(tuple, got.drop("host", "__host", "__kept", "kept", "`a.b`", "a.b").collect()), key=repr) == brute_lines(rows, ratio)
 
 
 def test_copies_of_a_page_keep_their_text(spark):

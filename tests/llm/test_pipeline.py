@@ -35,7 +35,7 @@ def brute(spark, docs, labels, items):
     kept = [d for d in docs if scorer.score(d[1] or "") < toxicity.THRESHOLD]
     assert len(kept) < len(docs)
     cut = {}
-    for row in test_lines_sharding.brute_lines([(k, d[1], d[3], 0) for k, d in enumerate(kept)], 0.05, 20):
+    for row in test_lines_sharding.brute_lines([(k, d[1], d[3], 0) for k, d in enumerate(kept)], 0.05):
         cut[row[0]] = row[1]
     kept = [(d[0], cut[k], *d[2:4]) for k, d in enumerate(kept)]
     label = test_simhash.similar_classes([t for _, t, _, _ in kept])

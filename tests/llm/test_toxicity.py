@@ -102,12 +102,79 @@ def test_matched_clauses(spark):
 
 
 def test_held_out_accuracy(spark):
+    """Held-out toxic texts that use an insult are found, and clean ones left alone; a few labels are noise."""
     from tapeframe.llm.common import read
     from tapeframe.llm.queries import QUERIES
     from tests.conftest import SF01
 
-    got = QUERIES["op1_toxicity"](spark, SF01).join(read(spark, SF01, "labels"), "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) >= 0.93 * len(got)
+    docs = read(spark, SF01, "documents")
+    lexicon = T.learn(spark, docs, read(spark, SF01, "labels"))
+    got = QUERIES["op1_toxicity"](spark, SF01).join(read(spark, SF01, "labels"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").where("held_out").collect()
+    telling = [r for r in got if r.toxic and lexicon.words.keys() & set(T._WORD.findall(r.text.lower()))]
+    assert len(telling) > 10 and sum(r.predicted for r in telling) >= 0.95 * len(telling)
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+
+
+def clause_corpus(seed, n):
+    """Insults said of someone are toxic; denied and reported ones, and threats without a target, are not."""
+    r = random.Random(seed)
+    insults = ["nasty", "grim", "vile", "scummy", "rotten"]
+    toxic = ["you are {}", "they are {}", "what {} people", "I will kill you", "{} through and through"]
+    clean = ["you are not {}", "he said they were {}", "she called him {}", "never {}", "to kill time", "nobody wrote {}"]
+    filler = [f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(200)]
+    out = []
+    for i in range(n):
+        bad = i % 2
+        some = [" ".join(r.choice(filler) for _ in range(8)) for _ in range(4)]
+        if bad or r.random() < 0.5:
+            for _ in range(2):
+                some.insert(r.randrange(5), f"{r.choice(filler)} {r.choice(filler)} {r.choice(filler)} " + r.choice(toxic if bad else clean).format(r.choice(insults)))
+        out.append((". ".join(some), bad))
+    return out
+
+
+def test_the_grammar_decides():
+    """Negated, reported and aimed clauses change predictions; without the transducers clean texts are flagged."""
+    lexicon = T.Lexicon(dict.fromkeys(["nasty", "grim", "vile", "scummy", "rotten"], 3.0), {})
+    train, held = clause_corpus(1, 400), clause_corpus(2, 400)
+
+    def measured():
+        scorer = T.Scorer(lexicon)
+        found = scorer.all_evidence(pa.array([t for t, _ in train]))
+        lexicon.coefficients = T.fit([(train[i][1], *x) for i, x in found.items()])
+        predicted = scorer.scores(pa.array([t for t, _ in held])) >= T.THRESHOLD
+        hit = sum(int(p and y) for p, (_, y) in zip(predicted, held))
+        return hit / sum(y for _, y in held), hit / max(int(predicted.sum()), 1)
+
+    recall, precision = measured()
+    assert recall > 0.9 and precision > 0.95
+    grammar = T.GRAMMAR
+    try:
+        T.GRAMMAR = T.Transducer(0)
+        assert min(measured()) < 0.8
+    finally:
+        T.GRAMMAR = grammar
+
+
+def test_long_texts_are_read_clause_by_clause(monkeypatch):
+    r = random.Random(7)
+    words = ["idiot", "not", "scummy", "RÄUDIGER", "said", "kill", "you", "the", "é", "x" * 30]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", ". ", "\n", "\t"] if i % 3 else [" "]) for _ in range(r.randint(0, 60))) for i in range(200)]
+    monkeypatch.setattr(T, "CLAUSE", 80)
+    s = T.Scorer(LEX)
+    want = [T.QUIET if s.evidence(t) is None else s.score(t) for t in texts]
+    monkeypatch.setattr(T.B, "LONG", 0)
+    cuts = T.clause_cuts
+    monkeypatch.setattr(T, "clause_cuts", lambda d: cuts(d, 100))
+    monkeypatch.setattr(T.B, "row_slices", lambda offsets, limit=1: ((i, i + 1) for i in range(len(offsets) - 1)))
+    assert s.scores(pa.array(texts)).tolist() == pytest.approx(want)
+
+
+def test_fit_leaves_its_prior_only_for_evidence():
+    assert T.fit([]) == T.Lexicon.coefficients
+    one, many = (T.fit([(0, 4.0, 0.0, 1.0)] * n) for n in (1, 50))
+    at = lambda w: sum(a * b for a, b in zip(w, (1, 4.0, 0.0, 1.0)))
+    assert at(T.Lexicon.coefficients) > at(one) > at(many)
 
 
 def test_fast_search_splits_words_like_the_grammar():
