@@ -7,17 +7,23 @@ and are equal for equal vectors.  Tokens of a host with equal vectors are an equ
 class is valid if its tokens are on at least half of the pages and nest (a path that is not the root
 hangs below a path of a valid class); the valid classes, nested by their paths, are the template.
 
-Blocks that belong to the class of what stands once on every page are template text.  What remains
-are slots.  The main slots are those below the host's content container: the article or main element
-of the template, else the deepest path of a div, section or the like that holds most of the varying text.  Elements whose kind or
-name says that they are no content (menus, headers, footers, sidebars, notices, adverts, forms,
-comments of readers, scripts, styles) are never slots, wherever they stand.
+Blocks that belong to the class of what stands once on every page are template text, unless they are
+most of the pages' text: then the pages are copies.  What remains are slots, one for each path.  A slot is
+peripheral if most of its text is links, or if most of its blocks recur on other pages of a host whose text
+does not (adverts and notices from a pool).  The content container is found from the root: while nearly all text
+that varies and is not peripheral stands below one child, that child is taken; where a headline, a
+paragraph or a larger section stands beside it the way ends.  The main text is what the container's slots hold.
+
+The template knows pages only by their tokens.  Where that leaves a choice, elements whose kind or name
+says that they are no content (menus, headers, footers, sidebars, notices, adverts, forms, comments of
+readers, scripts, styles) lose it, and an article or main element wins it over what stands beside it.
 
 A host may hold any share of all pages: counting is pre-aggregated in its tasks, and the template,
-bounded by about twice the tokens of a mean page, is joined to the pages.
+bounded by about twice the tokens of a mean page, is joined to the pages.  Pages are read one at a time in
+Python: no built-in function reads markup.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or strange url share a
-host of their own; a host's few pages (under ``PAGES``) have no template text; a page without the
+host of their own; a host's only page has no template text; a page without the
 container is read by its own article or main element, else whole; repeated rows each give a row; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -35,8 +41,12 @@ from pyspark.sql import functions as F
 
 from tapeframe.llm.common import bounded, stored
 
-#: Pages a host needs for template text; share of pages of a valid class; share of varying text in a container.
-PAGES, SUPPORT, MOST = 10, 0.5, 0.7
+#: Share of pages of a valid class; share of links, or of recurring text, from which on a slot is peripheral.
+SUPPORT, MOST = 0.5, 0.5
+#: Share of a host's text up to which constant or recurring blocks are template; beyond it the pages are copies.
+TEMPLATE = 0.3
+#: Share of the varying text below a child that is taken although other sections stand beside it.
+WHOLE = 0.9
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|noframes|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
@@ -187,8 +197,8 @@ def _host(url: str) -> Column:
 
 # Occurrence vectors
 
-TOKENS = "host string, token string, block boolean, pages long, s1 long, s2 long, chars long, links long, low int, high int"
-_TOKENS = pa.schema([("host", pa.string()), ("token", pa.string()), ("block", pa.bool_()), ("pages", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+TOKENS = "host string, token string, block boolean, path string, pages long, s1 long, s2 long, chars long, links long, low int, high int"
+_TOKENS = pa.schema([("host", pa.string()), ("token", pa.string()), ("block", pa.bool_()), ("path", pa.string()), ("pages", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
 def block_token(b: Block) -> str:
@@ -198,23 +208,23 @@ def block_token(b: Block) -> str:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each host with the sums over this batch's pages."""
     for batch in batches:
-        sums: dict[tuple[str, str, bool], list[int]] = {}
+        sums: dict[tuple[str, str, bool], list] = {}
         for host, key, page in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html")):
             found, counts = blocks(page.as_py())
-            own: dict[tuple[str, bool], list[int]] = {(p, False): [n, 0, 0] for p, n in counts.items()}
-            own["", False] = [1, 0, 0]
+            own: dict[tuple[str, bool], list] = {(p, False): [None, n, 0, 0] for p, n in counts.items()}
+            own["", False] = [None, 1, 0, 0]
             for b in found:
                 if b.content:
-                    e = own.setdefault((b.path, False), [1, 0, 0])
-                    e[1] += len(b.text)
-                    e[2] += b.links
-                    own.setdefault((block_token(b), True), [0, 0, 0])[0] += 1
-            for (token, kind), (n, chars, links) in own.items():
+                    for e in (own.setdefault((b.path, False), [None, 1, 0, 0]), t := own.setdefault((block_token(b), True), [b.path, 0, 0, 0])):
+                        e[2] += len(b.text)
+                        e[3] += b.links
+                    t[1] += 1
+            for (token, kind), (path, n, chars, links) in own.items():
                 h = xxhash.xxh64_intdigest(f"{key} {n}", 2)
-                e = sums.setdefault((host, token, kind), [0, 0, 0, 0, 0, n, n])
-                for i, x in enumerate((1, h & 0xFFFFFFFF, h >> 32, chars, links)):
+                e = sums.setdefault((host, token, kind), [path, 0, 0, 0, 0, 0, n, n])
+                for i, x in enumerate((1, h & 0xFFFFFFFF, h >> 32, chars, links), 1):
                     e[i] += x
-                e[5], e[6] = min(e[5], n), max(e[6], n)
+                e[6], e[7] = min(e[6], n), max(e[7], n)
         rows = [(*k, *v) for k, v in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_TOKENS)], schema=_TOKENS)
 
@@ -245,57 +255,92 @@ def nested(classes: list[list[dict]]) -> list[list[dict]]:
         waiting = later
 
 
-def container(paths: dict[str, tuple[int, int]]) -> str:
-    """The content container among template paths with (varying characters, characters of links)."""
+def holds(path: str) -> bool:
+    """Whether a path's last element is of a kind that holds sections, not text itself."""
+    return path.rpartition("/")[2].partition(".")[0] in HOLDERS | {"html"}
+
+
+def container(paths: dict[str, int]) -> str:
+    """The content container among template paths with their varying text that is not peripheral."""
     below: dict[str, int] = dict.fromkeys(paths, 0)
-    for p, (chars, links) in paths.items():
-        if chars and links <= 0.5 * chars:
-            while True:
-                if p in below:
-                    below[p] += chars
-                if not p:
-                    break
-                p = p.rpartition("/")[0]
-    main = [p for p in paths if re.match(r"(article|main)\b", p.rpartition("/")[2]) and below[p]]
-    if main:
-        most = max(below[p] for p in main)
-        return max((p for p in main if below[p] >= MOST * most), key=lambda p: (p.count("/"), below[p], p))
-    total = below.get("", 0)
-    return max((p for p in paths if total and below[p] >= MOST * total and p.rpartition("/")[2].partition(".")[0] in HOLDERS), key=lambda p: (p.count("/"), p), default="")
+    children: dict[str, list[str]] = {}
+    for p, chars in paths.items():
+        at = p
+        while True:
+            if at in below:
+                below[at] += chars
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+    for p in paths:
+        if p and below[p]:
+            children.setdefault(p.rpartition("/")[0], []).append(p)
+    at, in_main = "", False
+    while children.get(at):
+        best = max(children[at], key=lambda p: (below[p], p))
+        main = [p for p in children[at] if re.match(r"(article|main)\b", p.rpartition("/")[2])]
+        others = [p for p in children[at] if p != best]
+        beside = any(not holds(p) for p in others) or paths[at]
+        if holds(best) and not beside and below[best] >= WHOLE * below[at]:
+            at = best
+        elif not in_main and len(main) == 1 and main[0] == best:
+            at = best
+        else:
+            return at
+        in_main = in_main or at in main
+    return at
 
 
 def template(table: pa.Table) -> pa.Table:
-    """One host's template from its tokens."""
-    rows = table.to_pylist()
-    host, total = rows[0]["host"], next((r["pages"] for r in rows if r["token"] == "" and not r["block"]), 0)
+    """One host's template from its tokens; rows without a kind tell how much of a path's text recurs."""
+    every = table.to_pylist()
+    rows, again = [r for r in every if r["block"] is not None], {r["token"]: r["chars"] for r in every if r["block"] is None}
+    host, total = every[0]["host"], next((r["pages"] for r in rows if r["token"] == "" and not r["block"]), 0)
     valid = nested(equivalence_classes(rows))
-    constant = [r["token"] for c in valid for r in c if r["block"] and r["pages"] == total and r["low"] == r["high"] == 1 and total >= PAGES]
+    once = [r for c in valid for r in c if r["block"] and r["pages"] == total and r["low"] == r["high"] == 1]
     paths = {r["token"]: (r["chars"], r["links"]) for c in valid for r in c if not r["block"]}
-    menus = [p for p, (chars, links) in paths.items() if chars and links > 0.5 * chars]
-    text = "\n".join(f"{i}: {r['token']}" for i, c in enumerate(valid) for r in c if not r["block"])
-    return pa.Table.from_pylist([{"host": host, "container": container(paths), "constant": constant, "menus": menus, "template": text}], schema=_TEMPLATE)
+    text = sum(chars for chars, _ in paths.values())
+    constant = once if sum(r["chars"] for r in once) <= TEMPLATE * text else []
+    fixed: dict[str, int] = {}
+    for r in constant:
+        fixed[r["path"]] = fixed.get(r["path"], 0) + r["chars"]
+    varying = {p: chars - fixed.get(p, 0) for p, (chars, _) in paths.items()}
+    recurring = {p: again.get(p, 0) - fixed.get(p, 0) for p in paths}
+    several = sum(recurring.values()) <= TEMPLATE * sum(varying.values())
+    peripheral = [p for p, (chars, links) in paths.items() if chars and (links > MOST * chars or (several and recurring[p] > MOST * varying[p]))]
+    main = container({p: 0 if p in set(peripheral) else n for p, n in varying.items()})
+    shown = "\n".join(f"{i}: {r['token']}" for i, c in enumerate(valid) for r in c if not r["block"])
+    return pa.Table.from_pylist([{"host": host, "container": main, "constant": [r["token"] for r in constant], "peripheral": peripheral, "template": shown}], schema=_TEMPLATE)
 
 
-_TEMPLATE = pa.schema([("host", pa.string()), ("container", pa.string()), ("constant", pa.list_(pa.string())), ("menus", pa.list_(pa.string())), ("template", pa.string())])
+_TEMPLATE = pa.schema([("host", pa.string()), ("container", pa.string()), ("constant", pa.list_(pa.string())), ("peripheral", pa.list_(pa.string())), ("template", pa.string())])
 
 
 def templates(spark: SparkSession, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, container, constant, menus, template) for every host."""
+    """(host, container, constant, peripheral, template) for every host."""
     rows = pages.select(_host(url).alias("host"), F.xxhash64(F.col(url), F.col(html)).alias("key"), F.col(html).cast("string").alias("html"))
-    sums = rows.mapInArrow(_vectors, TOKENS).groupBy("host", "token", "block").agg(*(F.sum(c).alias(c) for c in ("pages", "s1", "s2", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
-    total = rows.groupBy("host").agg(F.count("*").alias("total"))
-    # Only what can belong to a valid class comes together: at most 1 / SUPPORT of the mean page's tokens.
-    often = sums.join(total, "host").where((F.col("pages") >= SUPPORT * F.col("total")) & (~F.col("block") | ((F.col("pages") == F.col("total")) & (F.col("total") >= PAGES)))).drop("total")
-    return stored(spark, often.groupBy("host").applyInArrow(template, "host string, container string, constant array<string>, menus array<string>, template string"), "templates")
-
-
-def main_text(found: list[Block], container: str, constant: set[str], menus: set[str]) -> str:
+    sums = rows.mapInArrow(_vectors, TOKENS).groupBy("host", "token", "block").agg(F.max("path").alias("path"), *(F.sum(c).alias(c) for c in ("pages", "s1", "s2", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = stored(spark, sums, "tokens")
+    total = stored(spark, rows.groupBy("host").agg(F.count("*").alias("total")), "hosts")
+    # Only what can belong to a valid class comes together: at most 1 / SUPPORT of the mean page's tokens.  It is
+    # stored first, so that the join is not laid out for the grouping by host and Spark may split a large host.
+    block = F.col("block") & (F.col("pages") == F.col("total")) & (F.col("total") > 1)
+    often = stored(spark, sums.join(total, "host").where((F.col("pages") >= SUPPORT * F.col("total")) & (~F.col("block") | block)).drop("total"), "often")
+    again = sums.where("block and pages > 1").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    valid = often.where("not block").select("host", F.col("token").alias("path"))
+    nulls = [F.lit(None).cast(often.schema[c].dataType).alias(c) for c in ("block", "path", "pages", "s1", "s2", "links", "low", "high")]
+    again = again.join(valid, ["host", "path"]).select("host", F.col("path").alias("token"), "chars", *nulls)
+    every = often.unionByName(again).select(*often.columns)
+    return stored(spark, every.groupBy("host").applyInArrow(template, "host string, container string, constant array<string>, peripheral array<string>, template string"), "templates")
+
+
+def main_text(found: list[Block], container: str, constant: set[str], peripheral: set[str]) -> str:
     """The blocks in the main slots, joined."""
     content = [b for b in found if b.content]
     own = [b for b in content if b.path == container or b.path.startswith(container + "/")] if container else []
     if not own:
         own = [b for b in content if b.main] or content
-    return " ".join(b.text for b in own if not (constant and block_token(b) in constant) and not (b.path in menus and not b.main))
+    return " ".join(b.text for b in own if not (constant and block_token(b) in constant) and b.path not in peripheral)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +351,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = {c: batch.column(c) for c in batch.schema.names}
         for i, host in enumerate(column["host"].to_pylist()):
             if host not in hosts:
-                hosts[host] = (column["container"][i].as_py() or "", set(column["constant"][i].as_py() or ()), set(column["menus"][i].as_py() or ()))
+                hosts[host] = (column["container"][i].as_py() or "", set(column["constant"][i].as_py() or ()), set(column["peripheral"][i].as_py() or ()))
             out.append(main_text(blocks(column["html"][i].as_py())[0], *hosts[host]))
         yield pa.RecordBatch.from_arrays([column["page_id"], column["url"], pa.array(out, pa.string())], schema=schema)
 
@@ -315,8 +360,8 @@ def extract(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url
     """(page_id, url, text) of every page."""
     bounded(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), _host(url).alias("host"), F.col(html).cast("string").alias("html"))
-    joined = rows.join(templates(spark, pages, url, html).select("host", "container", "constant", "menus"), "host", "left")
-    return joined.select("page_id", "url", "host", "html", "container", "constant", "menus").mapInArrow(_extract, "page_id long, url string, text string")
+    joined = rows.join(templates(spark, pages, url, html).select("host", "container", "constant", "peripheral"), "host", "left")
+    return joined.select("page_id", "url", "host", "html", "container", "constant", "peripheral").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def digest(found: DataFrame) -> DataFrame:
