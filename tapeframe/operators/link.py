@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fingerprints with more postings than this are no evidence.
-MAX_PER_KEY = 50
+MAX_PER_KEY = 400
 
 
 def text_blocks(docs: DataFrame, cap: str = "source", frame: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,7 +53,7 @@ def top_candidates(voted: DataFrame, k: int, by: tuple[str, ...] = ("cap", "fram
     return voted.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def verify(pairs: DataFrame, blocks: DataFrame, min_blocks: int = 3, min_ratio: float = 0.9, min_audio: int = 0, audio_every: int = 4) -> DataFrame:
+def verify(pairs: DataFrame, blocks: DataFrame, min_blocks: int = 20, min_ratio: float = 0.9, min_audio: int = 20, audio_every: int = 4) -> DataFrame:
     """Compare pairs of frames block by block: n healthy in both, same, aud, ok.
 
     Audio blocks are every ``audio_every``-th block; they are counted only where the other tests hold.
@@ -78,10 +78,24 @@ def first_verified(blocks: DataFrame, candidates: int = 40, limit: int = MAX_PER
     return top_candidates(best.drop("rank").join(good, ["cap", "frame", "cap2", "frame2"]), 1, ("cap", "frame", "cap2")).drop("rank")
 
 
-def triage(matched: DataFrame, base: str) -> DataFrame:
-    """What each donor has of a base capture: matched frames and their ranges."""
-    own = matched.where((F.col("cap2") == base) & (F.col("cap") != base))
-    return own.groupBy(F.col("cap").alias("donor")).agg(F.count("*").alias("matched"), F.min("frame2").alias("base_lo"), F.max("frame2").alias("base_hi"), F.min("frame").alias("don_lo"), F.max("frame").alias("don_hi"))
+def base_matches(blocks: DataFrame, base: str, candidates: int = 40, limit: int = MAX_PER_KEY, **how) -> DataFrame:
+    """The first verified frame of a base capture for each frame of the others.
+
+    Only the base is indexed: its postings alone count for the limit, and donors meet nothing but the base.
+    """
+    p = postings(blocks).drop("data")
+    own = p.where(F.col("cap") == base)
+    rare = own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("h")
+    build = own.join(rare, "h").select(F.col("cap").alias("cap2"), F.col("frame").alias("frame2"), "h")
+    voted = p.where(F.col("cap") != base).join(build, "h").groupBy("cap", "frame", "cap2", "frame2").agg(F.count("*").alias("votes"))
+    best = top_candidates(voted, candidates)
+    good = verify(best, blocks, **how).where("ok").select("cap", "frame", "cap2", "frame2")
+    return top_candidates(best.drop("rank").join(good, ["cap", "frame", "cap2", "frame2"]), 1).drop("rank")
+
+
+def triage(matched: DataFrame) -> DataFrame:
+    """What each donor has of a base capture, from ``base_matches``: matched frames and their ranges."""
+    return matched.groupBy(F.col("cap").alias("donor")).agg(F.count("*").alias("matched"), F.min("frame2").alias("base_lo"), F.max("frame2").alias("base_hi"), F.min("frame").alias("don_lo"), F.max("frame").alias("don_hi"))
 
 
 def triage_summary(triaged: DataFrame, least: int = 2) -> DataFrame:
@@ -100,17 +114,28 @@ def lengths(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("cap").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
-def similarity_top(blocks: DataFrame, k: int = 10, limit: int = MAX_PER_KEY) -> DataFrame:
-    """The k most similar frames of each frame: equal blocks at equal positions, over the smaller block count."""
-    own = blocks.where(healthy()).select("cap", "frame", "blk", F.xxhash64("data").alias("h"))
-    size = own.groupBy("frame").agg(F.count("*").alias("size"))
-    rare = own.groupBy("blk", "h").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).drop("n")
-    kept = own.join(rare, ["blk", "h"])
-    pairs = kept.join(kept.select("blk", "h", F.col("frame").alias("frame2")), ["blk", "h"]).where("frame <> frame2").groupBy("frame", "frame2").agg(F.count("*").alias("same"))
-    scored = pairs.join(size, "frame").join(size.select(F.col("frame").alias("frame2"), F.col("size").alias("size2")), "frame2")
-    scored = scored.withColumn("similarity", F.col("same") / F.least("size", "size2"))
+def similarity_top(blocks: DataFrame, k: int = 10) -> DataFrame:
+    """The k most similar frames of each frame: equal blocks at equal positions, over the smaller block count.
+
+    All keys count, whatever their number of postings.  Frames with equal blocks throughout are one class: pairs are
+    made between classes and given to their frames at the end, of which a frame needs k + 1 a class at most.
+    """
+    own = blocks.where(healthy()).select("frame", F.struct("blk", F.xxhash64("data").alias("h")).alias("key"))
+    frames = own.groupBy("frame").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    frames = frames.select("frame", F.xxhash64("keys").alias("class"), F.size("keys").alias("size"), "keys")
+    classes = frames.groupBy("class").agg(F.min(F.struct("frame", "size", "keys")).alias("s")).select("class", "s.size", "s.keys")
+    posted = classes.select("class", F.explode("keys").alias("key"))
+    pairs = posted.join(posted.withColumnRenamed("class", "class2"), "key").groupBy("class", "class2").agg(F.count("*").alias("same"))
+    size = classes.select("class", "size")
+    scored = pairs.join(size, "class").join(size.select(F.col("class").alias("class2"), F.col("size").alias("size2")), "class2")
+    scored = scored.select("class", "class2", "same", (F.col("same") / F.least("size", "size2")).alias("similarity"))
+    few = frames.select("class", "frame", F.row_number().over(W.partitionBy("class").orderBy("frame")).alias("n")).where(F.col("n") <= k + 1)
+    near = scored.join(few.select(F.col("class").alias("class2"), F.col("frame").alias("frame2")), "class2")
+    best = F.row_number().over(W.partitionBy("class").orderBy(F.desc("similarity"), F.desc("same"), "frame2"))
+    near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).drop("rank", "class2")
+    rows = frames.select("frame", "class").join(near, "class").where("frame <> frame2")
     rank = F.row_number().over(W.partitionBy("frame").orderBy(F.desc("similarity"), F.desc("same"), "frame2"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("frame", "frame2", "same", "similarity", "rank")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("frame", "frame2", "same", "similarity", "rank")
 
 
 def offset_vote(voted: DataFrame, least: int = 2) -> DataFrame:

@@ -7,11 +7,13 @@ express.  Groups are captures, sequences or components.
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from graphlib import TopologicalSorter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeframe.functions.tables import stored
@@ -34,199 +36,241 @@ def plain_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         label = label.join(near, "a", "left").join(jump, "component", "left").select("a", F.least("component", F.coalesce("near", "component"), F.coalesce("root", "component")).alias("component"))
 
 
-class Union:
-    """Union-find that refuses to join sets which hold reads of one capture."""
+class Clusters:
+    """Items joined in the order they are offered, as long as no capture would be twice in a cluster.
 
-    def __init__(self, cap_of: dict[int, object]) -> None:
-        self.parent = {k: k for k in cap_of}
-        self.caps = {k: {c} for k, c in cap_of.items()}
-        self.refused = 0
-
-    def find(self, a: int) -> int:
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = self.parent[a]
-        return a
+    A cluster is a list of members and a bit mask of their captures; the smaller list moves into the larger.
+    """
 
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
+    def __init__(self, captures: Iterable[object]) -> None:
+        captures = list(captures)
+        bit = {c: 1 << i for i, c in enumerate(dict.fromkeys(captures))}
+        self.of = np.arange(len(captures))
+        self.members = [[i] for i in range(len(captures))]
+        self.mask = [bit[c] for c in captures]
+        self.refused = self.linked = 0
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b are in one cluster now."""
+        x, y = int(self.of[a]), int(self.of[b])
+        if x == y:
             return True
-        if self.caps[a] & self.caps[b]:
+        if self.mask[x] & self.mask[y]:
             self.refused += 1
             return False
-        low, high = min(a, b), max(a, b)
-        self.parent[high] = low
-        self.caps[low] |= self.caps.pop(high)
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.of[self.members[y]] = x
+        self.members[x] += self.members[y]
+        self.mask[x] |= self.mask[y]
+        self.members[y] = []
+        self.linked += 1
         return True
 
 
-def constrained_components(edges: DataFrame, component: DataFrame) -> DataFrame:
-    """(node, cap, cluster): components in which no capture is twice, edge by edge from the most votes.
+def constrained_components(edges: DataFrame, component: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """(node, cap, cluster, component, refused): components in which no capture is twice, edge by edge from the most votes.
 
-    ``edges`` is (a, cap_a, b, cap_b, votes); each plain component is one group.
+    ``edges`` is (a, cap_a, b, cap_b, votes); each plain component is one group.  ``refused`` is the number of
+    edges that its component refused.  Columns in ``order`` come before the votes.
     """
     rows = edges.join(component.select("a", "component"), "a")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        caps = dict(zip(group["a"], group["cap_a"])) | dict(zip(group["b"], group["cap_b"]))
-        u = Union(caps)
-        for r in group.sort_values(["votes", "a", "b"], ascending=[False, True, True]).itertuples():
-            u.union(r.a, r.b)
-        return pd.DataFrame({"node": list(caps), "cap": list(caps.values()), "cluster": [u.find(k) for k in caps]})
+        group = group.sort_values([*order, "votes", "a", "b"], ascending=[True] * len(order) + [False, True, True])
+        captures = dict(zip(group["a"], group["cap_a"])) | dict(zip(group["b"], group["cap_b"]))
+        names = sorted(captures)
+        at = {n: i for i, n in enumerate(names)}
+        clusters = Clusters(captures[n] for n in names)
+        for a, b in zip(group["a"].map(at).tolist(), group["b"].map(at).tolist()):
+            clusters.join(a, b)
+        least = {int(k): names[min(clusters.members[k])] for k in set(clusters.of.tolist())}
+        return pd.DataFrame({"node": names, "cap": [captures[n] for n in names], "cluster": [least[int(k)] for k in clusters.of], "component": group["component"].iloc[0], "refused": clusters.refused})
 
-    return rows.groupBy("component").applyInPandas(run, "node long, cap string, cluster long")
+    return rows.groupBy("component").applyInPandas(run, "node long, cap string, cluster long, component long, refused long")
 
 
 # Orders
 
 
-def estimate_positions(clusters: list[list[tuple[int, int]]], lengths: list[int], spine: int = 0, rounds: int = 4) -> list[float]:
-    """Place of each cluster on the spine's scale: known for those with a read of the spine, interpolated along the others."""
-    where = {r: k for k, c in enumerate(clusters) for r in c}
-    place: list[float | None] = [next((float(max(f for s, f in c if s == spine)) for s, _ in c if s == spine), None) for c in clusters]
-    if all(p is None for p in place):
-        return [float(min(f for _, f in c)) for c in clusters]
+def positions(spark: SparkSession, reads: DataFrame, rounds: int = 4) -> DataFrame:
+    """(window, cluster, place): where each cluster stands on the scale of the window's first capture, its spine.
+
+    Clusters with a frame of the spine stand at it.  In each round the others are placed along every capture with
+    two placed clusters at least: between the nearest placed ones on either side, beyond the first and the
+    last with the slope between these two.  Where captures differ the first one decides.  What is not placed
+    after the rounds stands behind all others.
+    """
+    w = W.partitionBy("window", "cap").orderBy("f", "cluster")
+    along = stored(spark, reads.select("window", "cluster", "cap", "f").withColumn("i", F.row_number().over(w) - 1).withColumn("spine", F.min("cap").over(W.partitionBy("window"))), "reads")
+    place = stored(spark, along.groupBy("window", "cluster").agg(F.max(F.when(F.col("cap") == F.col("spine"), F.col("f").cast("double"))).alias("place")), "places")
+    whole = W.partitionBy("window", "cap")
+    line = lambda i, p, q: p["p"] + (q["p"] - p["p"]) * (i - p["i"]) / F.greatest(q["i"] - p["i"], F.lit(1))
     for _ in range(rounds):
-        changed = False
-        for cap, n in enumerate(lengths):
-            along = [where[cap, f] for f in range(n) if (cap, f) in where]
-            known = [(i, place[k]) for i, k in enumerate(along) if place[k] is not None]
-            if len(known) < 2:
-                continue
-            (i0, p0), (i1, p1) = known[0], known[-1]
-            slope = (p1 - p0) / max(i1 - i0, 1)
-            found, at = [], 0
-            for i, k in enumerate(along):
-                if place[k] is not None:
-                    continue
-                while at + 1 < len(known) and known[at + 1][0] < i:
-                    at += 1
-                if i < i0:
-                    v = p0 - (i0 - i) * slope
-                elif i > i1:
-                    v = p1 + (i - i1) * slope
-                else:
-                    (a, x), (b, y) = known[at], known[at + 1]
-                    v = x + (y - x) * (i - a) / (b - a)
-                found.append((k, v))
-            for k, v in found:
-                if place[k] is None:
-                    place[k], changed = v, True
-        if not changed:
+        if place.where("place is null").isEmpty():
             break
-    last = max(p for p in place if p is not None) + 1.0
-    return [last if p is None else p for p in place]
+        at = along.join(place, ["window", "cluster"])
+        known = F.when(F.col("place").isNotNull(), F.struct("i", F.col("place").alias("p")))
+        sides = at.select(
+            "window", "cap", "cluster", "i", "place",
+            F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("lo"), F.first(known, True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("hi"),
+            F.min(known).over(whole).alias("first"), F.max(known).over(whole).alias("last"), F.count("place").over(whole).alias("known"),
+        ).where("place is null and known > 1")
+        col = {c: F.col(c) for c in ("i", "lo", "hi", "first", "last")}
+        slope = (col["last"]["p"] - col["first"]["p"]) / F.greatest(col["last"]["i"] - col["first"]["i"], F.lit(1))
+        value = F.when(col["lo"].isNull(), col["first"]["p"] - (col["first"]["i"] - col["i"]) * slope).when(col["hi"].isNull(), col["last"]["p"] + (col["i"] - col["last"]["i"]) * slope).otherwise(line(col["i"], col["lo"], col["hi"]))
+        found = sides.groupBy("window", "cluster").agg(F.min_by(value, F.struct("cap", "i")).alias("new"))
+        place = stored(spark, place.join(found, ["window", "cluster"], "left").select("window", "cluster", F.coalesce("place", "new").alias("place")), "places")
+    return place.select("window", "cluster", F.coalesce("place", F.max("place").over(W.partitionBy("window")) + 1, F.lit(0.0)).alias("place"))
+
+
+def _tangled(after: dict[int, set[int]]) -> dict[int, int]:
+    """The strongly connected component of each node, named by one of its nodes: by two walks through the graph."""
+    back: dict[int, set[int]] = {k: set() for k in after}
+    for a, bs in after.items():
+        for b in bs:
+            back[b].add(a)
+    left, seen = [], set()
+    for k in after:
+        walk = [(k, iter(after[k]))] if k not in seen else []
+        seen.add(k)
+        while walk:
+            node, rest = walk[-1]
+            nxt = next((b for b in rest if b not in seen), None)
+            if nxt is None:
+                left.append(node)
+                walk.pop()
+            else:
+                seen.add(nxt)
+                walk.append((nxt, iter(after[nxt])))
+    out: dict[int, int] = {}
+    for k in reversed(left):
+        waiting = [] if k in out else [k]
+        while waiting:
+            node = waiting.pop()
+            if node not in out:
+                out[node] = k
+                waiting += [b for b in back[node] if b not in out]
+    return out
 
 
-def topological_order(clusters: list[list[tuple[int, int]]], lengths: list[int], spine: int = 0) -> list[int]:
-    """Clusters in an order that follows every capture; the smallest place first where there is a choice.
+def ranked(chains: list[list[int]], place: dict[int, float]) -> list[int]:
+    """Nodes in an order that follows every chain, the smallest place first where there is a choice.
 
-    A cycle is opened at the node that waits for the fewest others.
+    Where chains contradict each other, which ties nodes into one knot, steps inside the knot that go back on
+    the scale of places are left out.
     """
-    where = {r: k for k, c in enumerate(clusters) for r in c}
-    after: dict[int, set[int]] = defaultdict(set)
-    for cap, n in enumerate(lengths):
-        along = [where[cap, f] for f in range(n) if (cap, f) in where]
-        for a, b in zip(along, along[1:]):
+    after: dict[int, set[int]] = {k: set() for k in place}
+    for chain in chains:
+        for a, b in zip(chain, chain[1:]):
             if a != b:
                 after[a].add(b)
-    waits = Counter(b for bs in after.values() for b in bs)
-    place = estimate_positions(clusters, lengths, spine)
-    ready = [(place[k], k) for k in range(len(clusters)) if not waits[k]]
-    heapq.heapify(ready)
-    left, out = set(range(len(clusters))), []
-    while left:
-        if not ready:
-            k = min(left, key=lambda k: (waits[k], place[k], k))
-            ready = [(place[k], k)]
+    knot = _tangled(after)
+    before: dict[int, set[int]] = {k: set() for k in place}
+    for a, bs in after.items():
+        for b in bs:
+            if knot[a] != knot[b] or (place[a], a) < (place[b], b):
+                before[b].add(a)
+    sorter = TopologicalSorter(before)
+    sorter.prepare()
+    ready, out = [], []
+    while sorter.is_active():
+        for k in sorter.get_ready():
+            heapq.heappush(ready, (place[k], k))
         _, k = heapq.heappop(ready)
-        if k not in left:
-            continue
-        left.remove(k)
         out.append(k)
-        for b in after[k]:
-            waits[b] -= 1
-            if waits[b] <= 0 and b in left:
-                heapq.heappush(ready, (place[b], b))
+        sorter.done(k)
     return out
 
 
-def ordered(reads: DataFrame) -> DataFrame:
+def ordered(spark: SparkSession, reads: DataFrame) -> DataFrame:
     """(window, cluster, rank): the order of each window's clusters; reads are (window, cluster, cap, f)."""
+    rows = reads.select("window", "cluster", "cap", "f").join(positions(spark, reads), ["window", "cluster"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(group["cluster"].unique())
-        caps = {c: i for i, c in enumerate(sorted(group["cap"].unique()))}
-        index = {c: i for i, c in enumerate(names)}
-        group = group.sort_values(["cap", "f"])
-        group = group.assign(i=group.groupby("cap").cumcount())
-        clusters: list[list[tuple[int, int]]] = [[] for _ in names]
-        for r in group.itertuples():
-            clusters[index[r.cluster]].append((caps[r.cap], r.i))
-        lengths = [int((group["cap"] == c).sum()) for c in caps]
-        order = topological_order(clusters, lengths)
-        return pd.DataFrame({"window": group["window"].iloc[0], "cluster": [names[k] for k in order], "rank": range(len(order))})
+        group = group.sort_values(["cap", "f", "cluster"])
+        chains = [g["cluster"].tolist() for _, g in group.groupby("cap")]
+        order = ranked(chains, dict(zip(group["cluster"], group["place"])))
+        return pd.DataFrame({"window": group["window"].iloc[0], "cluster": order, "rank": range(len(order))})
 
-    return reads.groupBy("window").applyInPandas(run, "window long, cluster long, rank long")
+    return rows.groupBy("window").applyInPandas(run, "window long, cluster long, rank long")
 
 
 # Paths
 
 
-def viterbi(cost: list[dict[int, float]], lam: float = 0.010, mu: float = 0.060, max_skip: int = 24) -> list[int]:
-    """The cheapest non-decreasing path through rows of (place: cost): staying costs mu, skipping g places lam * g; ends are free."""
-    total: dict[int, tuple[float, int | None]] = {v: (c, None) for v, c in cost[0].items()}
-    back = [total]
-    for row in cost[1:]:
-        now: dict[int, tuple[float, int | None]] = {}
-        for v, c in row.items():
-            best: tuple[float, int | None] | None = None
-            for u in range(max(v - 1 - max_skip, 0), v + 1):
-                if u in total:
-                    step = mu if u == v else lam * (v - u - 1)
-                    x = total[u][0] + step
-                    if best is None or x < best[0] - 1e-12:
-                        best = (x, u)
-            if best is not None:
-                now[v] = (best[0] + c, best[1])
-        if not now:
-            now = {v: (min(x for x, _ in total.values()) + c, min(total, key=lambda u: (total[u][0], u))) for v, c in row.items()}
-        back.append(now)
-        total = now
-    at = min(total, key=lambda v: (total[v][0], v))
-    path = [at]
-    for row in back[:0:-1]:
-        at = row[at][1]
-        path.append(at)
-    return path[::-1]
+def cheapest_path(first: np.ndarray, cost: np.ndarray, lam: float = 0.010, mu: float = 0.060, max_skip: int = 24) -> np.ndarray:
+    """The cheapest non-decreasing path through rows of costs: staying costs mu, skipping g places lam * g; ends are free.
+
+    Row f has the costs of the places first[f], first[f] + 1, ...; infinite where there is none.  Of equal ways the
+    one from the smallest place is taken.  A row that no way reaches begins anew.
+    """
+    n, width = cost.shape
+    steps = np.arange(max_skip + 1, -1, -1)
+    price = np.where(steps == 0, mu, lam * (steps - 1))
+    total, back = cost[0].astype(float), np.zeros((n, width), np.int64)
+    for f in range(1, n):
+        # from[k, j]: the total of the place ``steps[k]`` before place j of this row
+        at = first[f] + np.arange(width)[None, :] - steps[:, None] - first[f - 1]
+        inside = (at >= 0) & (at < width)
+        ways = np.where(inside, total[np.clip(at, 0, width - 1)] + price[:, None], np.inf)
+        # Sums of equal steps may differ in their last bits.
+        best = ways.min(axis=0)
+        pick = (ways <= best + 1e-12).argmax(axis=0)
+        back[f] = at[pick, np.arange(width)]
+        if not np.isfinite(best + cost[f]).any():
+            best, back[f] = np.full(width, total.min()), int(total.argmin())
+        total = best + cost[f]
+    path = np.empty(n, np.int64)
+    j = int(total.argmin())
+    for f in range(n - 1, -1, -1):
+        path[f] = first[f] + j
+        j = int(back[f, j])
+    return path
 
 
 def viterbi_align(cost: DataFrame, **how) -> DataFrame:
-    """(seq, f, v): the cheapest path of each sequence through its banded costs."""
+    """(seq, f, v): the cheapest path of each sequence through its banded costs (seq, f, v, cost)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(f, dict(zip(g["v"], g["cost"]))) for f, g in group.sort_values(["f", "v"]).groupby("f")]
-        return pd.DataFrame({"seq": group["seq"].iloc[0], "f": [f for f, _ in rows], "v": viterbi([r for _, r in rows], **how)})
+        names, row = np.unique(group["f"].to_numpy(), return_inverse=True)
+        v = group["v"].to_numpy()
+        first = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(first, row, v)
+        table = np.full((len(names), int((v - first[row]).max()) + 1), np.inf)
+        table[row, v - first[row]] = group["cost"].to_numpy()
+        return pd.DataFrame({"seq": group["seq"].iloc[0], "f": names, "v": cheapest_path(first, table, **how)})
 
     return cost.groupBy("seq").applyInPandas(run, "seq long, f long, v long")
 
 
 def heaviest_rise(values: list[int], weights: list[float]) -> list[int]:
-    """Indices of the heaviest subsequence whose values do not fall; the earlier predecessor among equals."""
-    best, prev = [], []
-    for i, (v, w) in enumerate(zip(values, weights)):
-        j = max((k for k in range(i) if values[k] <= v), key=lambda k: (best[k], -k), default=None)
-        use = j is not None and best[j] > 0
-        best.append(w + (best[j] if use else 0.0))
-        prev.append(j if use else None)
-    if not best:
+    """Indices of the heaviest subsequence whose values do not fall; the earlier predecessor among equals.
+
+    A tree of prefix maxima over the ranks of the values answers what ends best at a value or below.
+    """
+    if not len(values):
         return []
-    at: int | None = max(range(len(best)), key=lambda k: (best[k], -k))
+    rank = np.unique(values, return_inverse=True)[1] + 1
+    size = int(rank.max())
+    tree: list[tuple[float, int]] = [(0.0, 1)] * (size + 1)  # (weight, minus the index); weights of nothing are zero
+    best, before = [], []
+    for i, (r, w) in enumerate(zip(rank.tolist(), weights)):
+        top, k = (0.0, 1), r
+        while k:
+            top = max(top, tree[k])
+            k &= k - 1
+        best.append(w + top[0])
+        before.append(-top[1] if top[1] <= 0 else -1)
+        own, k = (best[-1], -i), r
+        while k <= size:
+            tree[k] = max(tree[k], own)
+            k += k & -k
+    at = max(range(len(best)), key=lambda k: (best[k], -k))
     out = []
-    while at is not None:
+    while at >= 0:
         out.append(at)
-        at = prev[at]
+        at = before[at]
     return out[::-1]
 
 

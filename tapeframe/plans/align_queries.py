@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeframe.functions import bits, blocks
-from tapeframe.operators import align, link, sequence
-from tapeframe.plans.link_queries import VERIFIED, _blocks, _timeline
+from tapeframe.operators import align, link, sequence, tape
+from tapeframe.plans.link_queries import FEW, VERIFIED, _blocks, _timeline
 from tapeframe.plans.registry import query, read
 
 SIG = """sig AS (SELECT label::BIGINT AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, embedding::DOUBLE[] AS s FROM embeddings),
@@ -68,7 +68,7 @@ def max_weight_subsequence(spark, d):
 
 @query("G1", f"WITH RECURSIVE {VERIFIED}, e AS (SELECT frame AS a, frame2 AS b FROM matched UNION SELECT frame2, frame FROM matched), reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a, min(b) AS component FROM reach GROUP BY a")
 def plain_components(spark, d):
-    m = link.first_verified(_blocks(spark, d)).select(F.col("frame").alias("a"), F.col("frame2").alias("b"))
+    m = link.first_verified(_blocks(spark, d), **FEW).select(F.col("frame").alias("a"), F.col("frame2").alias("b"))
     return sequence.plain_components(spark, m)
 
 
@@ -80,10 +80,36 @@ def index_stats(spark, d):
 
 @query("G1 G2")
 def constrained_components(spark, d):
-    m = link.first_verified(_blocks(spark, d)).select(F.col("frame").alias("a"), F.col("cap").alias("cap_a"), F.col("frame2").alias("b"), F.col("cap2").alias("cap_b"), "votes")
+    m = link.first_verified(_blocks(spark, d), **FEW).select(F.col("frame").alias("a"), F.col("cap").alias("cap_a"), F.col("frame2").alias("b"), F.col("cap2").alias("cap_b"), "votes")
     m = m.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") <= F.col("b"), F.col("cap_a")).otherwise(F.col("cap_b")).alias("cap_x"), F.when(F.col("a") <= F.col("b"), F.col("cap_b")).otherwise(F.col("cap_a")).alias("cap_y"), "votes").distinct()
     m = m.select(F.col("x").alias("a"), F.col("cap_x").alias("cap_a"), F.col("y").alias("b"), F.col("cap_y").alias("cap_b"), "votes")
-    return sequence.constrained_components(m, sequence.plain_components(spark, m.select("a", "b")))
+    return sequence.constrained_components(m, sequence.plain_components(spark, m.select("a", "b"))).drop("component", "refused")
+
+
+@query("G3 G4 J12 T7 W12 W13")
+def reference_alignment(spark, d):
+    """A second recording with lost, repeated and blind frames, aligned with the first; ``right``: found where it was taken."""
+    again = align.second_recording(_sig(spark, d)).cache()
+    found = align.aligned(_sig(spark, d), again.drop("truth"), band=20, every=4)
+    return found.join(again.select("seq", "f", "truth"), ["seq", "f"]).select("seq", "f", "v", "cost", "margin", (F.col("v") == F.col("truth")).alias("right"))
+
+
+def _tape(spark, d):
+    """Documents of a source as the frames of a capture, in windows of 200 ids; blank lines are the bad blocks."""
+    b = _blocks(spark, d)
+    bad = (~link.healthy()).cast("long")
+    reads = b.groupBy("cap", "frame").agg(F.sum(bad).alias("n_bad"), F.count("*").alias("n_blocks")).withColumn("window", F.floor(F.col("frame") / 200).cast("long"))
+    return tape.build_index(spark, b, reads, **FEW)
+
+
+@query("G2 J5 F4")
+def tape_index(spark, d):
+    return _tape(spark, d)[0]
+
+
+@query("A3 G2")
+def tape_index_stats(spark, d):
+    return _tape(spark, d)[1]
 
 
 @query("T3 T2")
@@ -93,7 +119,7 @@ def topo_order(spark, d):
     n = F.row_number().over(W.partitionBy("cap", "kind").orderBy("f"))
     cluster = F.concat_ws(":", "kind", n.cast("string"))
     reads = t.select(F.floor(F.col("cap") / 3).cast("long").alias("window"), F.abs(F.xxhash64(cluster)).alias("cluster"), "cap", "f")
-    return sequence.ordered(reads)
+    return sequence.ordered(spark, reads)
 
 
 @query("W8")

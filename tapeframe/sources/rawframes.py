@@ -4,16 +4,23 @@ Reading: ``spark.read.format("rawframes").option("profile", "pal").load(path)``
 payload).  Without a profile it is inferred from the file's size.  A partial frame at the end is
 ignored; a file without a whole frame is an error.  A file is read in ranges of frames, so that a
 large file is many tasks.  Writing takes (pos, payload) and leaves one part file for each partition,
-which appear together when the job commits; rows must come sorted by pos.
+which appear when the job commits; rows must come sorted by pos.  Every job's parts have names of their
+own, later jobs' after earlier ones', so appending adds frames behind those that are there.  Overwriting
+deletes the old parts only after the new ones are in place.
+
+Python data sources run outside the JVM, so paths are those of a file system that driver and executors
+have mounted at one place; ``frames_of`` reads files of any Hadoop file system through ``binaryFile``.
 """
 
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -73,13 +80,15 @@ class Part(WriterCommitMessage):
 class FrameWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = plain_path(options["path"]), overwrite
+        #: Names of a job's parts sort behind those of the jobs before it.
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, rows: Iterator) -> Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        name, n, last = f"part-{context.partitionId():05d}.dv", 0, None
+        name, n, last = f"part-{self.job}-{context.partitionId():05d}.dv", 0, None
         with open(f"{self.path}/.{name}.{context.taskAttemptId()}", "wb") as f:
             for r in rows:
                 if last is not None and r["pos"] < last:
@@ -89,9 +98,7 @@ class FrameWriter(DataSourceWriter):
         return Part(f".{name}.{context.taskAttemptId()}", n)
 
     def commit(self, messages: list[Part | None]) -> None:
-        if self.overwrite:
-            for f in files(self.path):
-                os.remove(f)
+        old = files(self.path) if self.overwrite and os.path.isdir(self.path) else []
         for m in messages:
             if m is not None:
                 target = m.name[1:].rpartition(".")[0]
@@ -99,6 +106,8 @@ class FrameWriter(DataSourceWriter):
                     os.replace(f"{self.path}/{m.name}", f"{self.path}/{target}")
                 else:
                     os.remove(f"{self.path}/{m.name}")
+        for f in old:
+            os.remove(f)
 
     def abort(self, messages: list[Part | None]) -> None:
         for m in messages:
@@ -125,9 +134,24 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawFrames)
 
 
-def write_frames(rows: DataFrame, path: str) -> None:
-    """Write (pos, payload) in order: ranges of positions are parts, sorted inside."""
-    rows.select("pos", "payload").repartitionByRange("pos").sortWithinPartitions("pos").write.format("rawframes").mode("overwrite").option("path", path).save()
+def write_frames(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write (pos, payload) in order: ranges of positions are parts, sorted inside; mode "append" adds them behind the others."""
+    rows.select("pos", "payload").repartitionByRange("pos").sortWithinPartitions("pos").write.format("rawframes").mode(mode).option("path", path).save()
+
+
+def frames_of(spark: SparkSession, path: str, profile: str | None = None) -> DataFrame:
+    """(path, frame, payload) of files on any Hadoop file system, each read as a whole in one task: for files of clips."""
+    whole = spark.read.format("binaryFile").load(path)
+    size = F.lit(frame_bytes(profile)) if profile else profile_bytes(F.col("length"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / F.col("size")) - 1))
+    rows = whole.withColumn("size", size).where("length >= size").select("path", "content", "size", each.alias("frame"))
+    return rows.select("path", "frame", F.expr("substring(content, int(frame * size) + 1, int(size))").alias("payload"))
+
+
+def profile_bytes(length) -> Column:
+    """Bytes of a frame by a file's length, as ``profile_of`` tells the profile."""
+    pal, ntsc = frame_bytes("pal"), frame_bytes("ntsc")
+    return F.when(length % pal == 0, pal).when(length % ntsc == 0, ntsc).when(length % ntsc < length % pal, ntsc).otherwise(pal)
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:

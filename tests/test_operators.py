@@ -98,7 +98,7 @@ def test_audio_counts_only_after_the_ratio_holds(spark):
     rows = [("a", 1, i, f"x{i}") for i in range(4)] + [("b", 2, i, f"x{i}" if i < 1 else "other") for i in range(4)] + [("c", 3, i, f"x{i}") for i in range(4)]
     b = spark.createDataFrame(rows, "cap string, frame long, blk long, data string")
     pairs = spark.createDataFrame([("a", 1, "b", 2), ("a", 1, "c", 3)], "cap string, frame long, cap2 string, frame2 long")
-    got = {r.frame2: (r.n, r.same, r.aud, r.ok) for r in link.verify(pairs, b).collect()}
+    got = {r.frame2: (r.n, r.same, r.aud, r.ok) for r in link.verify(pairs, b, min_blocks=3, min_audio=0).collect()}
     assert got == {2: (4, 1, 0, False), 3: (4, 4, 1, True)}
 
 

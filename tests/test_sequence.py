@@ -9,30 +9,61 @@ import pytest
 from tapeframe.operators import sequence as S
 
 
-def test_refused_unions():
-    u = S.Union({0: "A", 1: "A", 2: "B", 3: "B", 4: "C"})
-    assert u.union(0, 2) and not u.union(0, 1) and not u.union(1, 2) and u.refused == 2
-    assert u.union(0, 4) and u.find(4) == u.find(2) and u.find(1) != u.find(0)
-
-
-def test_order_of_gap():
-    clusters = [[(0, 0), (1, 0)], [(1, 1)], [(0, 1), (1, 2)], [(0, 2), (1, 3)]]
-    assert S.topological_order(clusters, [3, 4]) == [0, 1, 2, 3]
-
-
-def test_order_of_chains():
-    clusters = [[(0, 0)], [(0, 1), (1, 0)], [(1, 1)], [(1, 2)], [(0, 2), (1, 3)], [(0, 3)]]
-    place = S.estimate_positions(clusters, [4, 4])
-    assert place[1] < place[2] < place[3] < place[4]
-    rank = {c: i for i, c in enumerate(S.topological_order(clusters, [4, 4]))}
-    assert rank[1] < rank[2] and rank[3] < rank[4] < rank[5] and rank[0] == 0
-
-
-def test_order_with_cycles():
-    clusters = [[(0, 0)], [(0, 1), (1, 1)], [(0, 2), (1, 0)], [(0, 3)], [(0, 4)]]
-    order = S.topological_order(clusters, [5, 2])
-    assert sorted(order) == [0, 1, 2, 3, 4] and order[0] == 0 and order.index(3) < order.index(4)
-    assert sorted(S.topological_order([[(0, 0), (0, 2)], [(0, 1)]], [3])) == [0, 1]
+def test_refused_joins():
+    u = S.Clusters("AABBC")
+    assert u.join(0, 2) and not u.join(0, 1) and not u.join(1, 2) and u.refused == 2 and u.linked == 1
+    assert u.join(0, 4) and u.of[4] == u.of[2] and u.of[1] != u.of[0]
+
+
+def test_joins_against_sets():
+    r = random.Random(5)
+    for _ in range(50):
+        caps = [r.randrange(5) for _ in range(20)]
+        u, sets = S.Clusters(caps), [{i} for i in range(20)]
+        for _ in range(40):
+            a, b = r.randrange(20), r.randrange(20)
+            x, y = (next(s for s in sets if i in s) for i in (a, b))
+            free = x is y or not {caps[i] for i in x} & {caps[i] for i in y}
+            assert u.join(a, b) == free
+            if free and x is not y:
+                sets.remove(y)
+                x |= y
+        assert sorted(sorted(m) for m in u.members if m) == sorted(map(sorted, sets))
+
+
+# Fixed inputs: clusters of (capture, frame) whose order is known.
+GAP = [[(0, 0), (1, 0)], [(1, 1)], [(0, 1), (1, 2)], [(0, 2), (1, 3)]]
+CHAINS = [[(0, 0)], [(0, 1), (1, 0)], [(1, 1)], [(1, 2)], [(0, 2), (1, 3)], [(0, 3)]]
+CYCLE = [[(0, 0)], [(0, 1), (1, 1)], [(0, 2), (1, 0)], [(0, 3)], [(0, 4)]]
+FALSE_MATCH = [[(0, 0), (0, 2)], [(0, 1)]]
+
+
+def test_orders(spark):
+    cases = [GAP, CHAINS, CYCLE, FALSE_MATCH]
+    reads = spark.createDataFrame([(w, k, c, f) for w, clusters in enumerate(cases) for k, own in enumerate(clusters) for c, f in own], "window long, cluster long, cap long, f long")
+    order = {}
+    for x in sorted(S.ordered(spark, reads).collect(), key=lambda x: x["rank"]):
+        order.setdefault(x.window, []).append(x.cluster)
+    place = {(x.window, x.cluster): x.place for x in S.positions(spark, reads).collect()}
+    assert order[0] == [0, 1, 2, 3]
+    assert place[1, 1] < place[1, 2] < place[1, 3] < place[1, 4]
+    assert order[1] == [0, 1, 2, 3, 4, 5]
+    assert sorted(order[2]) == [0, 1, 2, 3, 4] and order[2][0] == 0 and order[2].index(3) < order[2].index(4)
+    assert sorted(order[3]) == [0, 1]
+
+
+def test_orders_follow_chains_and_places():
+    """Of all orders that follow the chains the first in places; with contradictions each node once, and what is not in a knot in order."""
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randint(1, 6)
+        place = {k: r.choice([0.0, 1.0, 2.0, 2.5]) for k in range(n)}
+        chains = [r.sample(range(n), r.randint(0, n)) for _ in range(r.randint(0, 2))]
+        got = S.ranked(chains, place)
+        fits = [p for p in itertools.permutations(range(n)) if all(p.index(a) < p.index(b) for c in chains for a, b in zip(c, c[1:]))]
+        assert sorted(got) == list(range(n))
+        if fits:
+            assert tuple(got) == min(fits, key=lambda p: [(place[k], k) for k in p])
 
 
 def path_cost(cost, path, lam, mu):
@@ -43,8 +74,8 @@ def path_cost(cost, path, lam, mu):
 def test_viterbi_is_the_cheapest_path():
     r = random.Random(1)
     for _ in range(40):
-        cost = [{v: r.random() for v in range(5)} for _ in range(5)]
-        got = S.viterbi(cost, lam=0.05, mu=0.1)
+        cost = [[r.random() for v in range(5)] for _ in range(5)]
+        got = S.cheapest_path(np.zeros(5, np.int64), np.array(cost), lam=0.05, mu=0.1).tolist()
         best = min(path_cost(cost, p, 0.05, 0.1) for p in itertools.product(range(5), repeat=5) if all(a <= b for a, b in zip(p, p[1:])))
         assert all(a <= b for a, b in zip(got, got[1:]))
         assert path_cost(cost, got, 0.05, 0.1) == pytest.approx(best)
@@ -52,8 +83,8 @@ def test_viterbi_is_the_cheapest_path():
 
 def test_heaviest_rise():
     r = random.Random(2)
-    for _ in range(60):
-        v, w = [r.randrange(6) for _ in range(8)], [r.random() for _ in range(8)]
+    for k in range(60):
+        v, w = [r.randrange(6) for _ in range(8)], [r.random() if k % 2 else r.choice([1.0, 2.0]) for _ in range(8)]
         got = S.heaviest_rise(v, w)
         best = max(sum(w[i] for i in c) for k in range(1, 9) for c in itertools.combinations(range(8), k) if all(v[a] <= v[b] for a, b in zip(c, c[1:])))
         assert all(v[a] <= v[b] for a, b in zip(got, got[1:])) and sum(w[i] for i in got) == pytest.approx(best)
@@ -118,6 +149,7 @@ def test_constrained_components(spark):
     edges = spark.createDataFrame([(0, "A", 2, "B", 9), (1, "A", 2, "B", 5), (0, "A", 4, "C", 4), (10, "A", 11, "B", 1)], "a long, cap_a string, b long, cap_b string, votes long")
     got = {r.node: r.cluster for r in S.constrained_components(edges, S.plain_components(spark, edges.select("a", "b"))).collect()}
     assert got == {0: 0, 2: 0, 4: 0, 1: 1, 10: 10, 11: 10}
+    assert {r.node: r.refused for r in S.constrained_components(edges, S.plain_components(spark, edges.select("a", "b"))).collect()}[0] == 1
 
 
 def test_empty(spark):

@@ -36,6 +36,29 @@ def test_written_frames_come_back_in_order(spark, tmp_path):
     assert [r.pos for r in joined.orderBy("pos").collect()] == list(range(6))
 
 
+def test_appended_frames_stand_behind_the_others(spark, tmp_path):
+    rawframes.register(spark)
+    rows = spark.createDataFrame([(k, bytearray(frame(k))) for k in range(4)], "pos long, payload binary")
+    out = str(tmp_path / "out")
+    for part, mode in ((rows.where("pos < 2"), "overwrite"), (rows.where("pos = 1"), "append"), (rows.where("pos = 3"), "append")):
+        rawframes.write_frames(part, out, mode)
+    whole = lambda: b"".join((tmp_path / "out" / n).read_bytes()[:1] for n in sorted(os.listdir(out)) for _ in [0])
+    got = [p[0] for n in sorted(os.listdir(out)) for p in [(tmp_path / "out" / n).read_bytes()[i : i + 1] for i in range(0, (tmp_path / "out" / n).stat().st_size, 144000)]]
+    assert got == [0, 1, 1, 3] and len(whole()) >= 3
+    assert sorted(r.payload[0] for r in rawframes.frames_of(spark, out).collect()) == [0, 1, 1, 3]
+    rawframes.write_frames(rows.where("pos = 2"), out)
+    assert [r.payload[0] for r in spark.read.format("rawframes").load(out).collect()] == [2]
+
+
+def test_overwriting_keeps_the_old_parts_until_the_new_are_there(tmp_path, monkeypatch):
+    (tmp_path / "part-old.dv").write_bytes(b"old")
+    writer = rawframes.FrameWriter({"path": str(tmp_path)}, True)
+    monkeypatch.setattr(rawframes.os, "replace", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        writer.commit([rawframes.Part(".part-new.dv.1", 1)])
+    assert (tmp_path / "part-old.dv").read_bytes() == b"old"
+
+
 def test_blocks_of_frames(spark):
     payload = bytearray(144000)
     first = 7 * 80  # the first video block stands after six headers and one block of audio
