@@ -19,7 +19,7 @@ Groups for filtering (``similar_groups``) go further than two bits: SimHash over
 text proposes pairs within six bits, by the same trees; a second SimHash over its shingles screens them;
 and a pair is linked if its five-word shingles have a Jaccard similarity of 0.8 or more.  First a forest
 that holds together all proposed pairs is decided.  Where every pair of a tree is similar nothing is left
-to do; in the other trees all proposed pairs between different groups are decided too.
+to do; in the other trees all proposed pairs between different groups are decided too, portion by portion.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; a text of one or
 two words is one shingle; repeated rows each give a row; a null doc_id has a component like any other
@@ -534,10 +534,51 @@ def spanning_pairs(spark: SparkSession, vertices: DataFrame) -> DataFrame:
     return stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
 
 
-def crossing_pairs(spark: SparkSession, vertices: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): all pairs of texts that may be similar and have different centres, from (fp, s1, s2, n, t, centre)."""
-    pairs = dealt(vertices).mapInArrow(_met(proposed, ("a", "b", "ca", "cb")), "a long, b long, ca long, cb long")
-    return stored(spark, pairs.distinct(), "crossing")
+#: Texts, and bytes of shingles, of a portion of a tree that is compared with the others.
+PORTION, PORTION_BYTES = 512, 16 << 20
+
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles, in order, have a similarity of SIMILAR."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """(a, b): centres that similar texts of two portions of a tree link; each link joins two parts."""
+    fp, s1, s2 = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "s1", "s2"))
+    n, portion = (table.column(c).to_numpy() for c in ("n", "portion"))
+    names, label = np.unique(table.column("centre").to_numpy(), return_inverse=True)
+    both = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for c in table.column("s").chunks for x in c]
+    part, out = np.arange(len(names)), []
+    for k in range(len(fp)):
+        near = np.bitwise_count(fp[k + 1 :] ^ fp[k]) <= NEAR_RADIUS
+        near &= np.bitwise_count(s1[k + 1 :] ^ s1[k]).astype(np.int64) + np.bitwise_count(s2[k + 1 :] ^ s2[k]) <= SCREEN
+        near &= np.minimum(n[k + 1 :], n[k]) >= SIMILAR * np.maximum(n[k + 1 :], n[k])
+        if both:
+            near &= portion[k + 1 :] != portion[k]
+        for m in (np.flatnonzero(near) + k + 1).tolist():
+            x, y = part[label[k]], part[label[m]]
+            if x != y and similar(sets[k], sets[m]):
+                out.append((int(names[max(label[k], label[m])]), int(names[min(label[k], label[m])])))
+                part[part == max(x, y)] = min(x, y)
+    return pa.Table.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], schema=_LINKED)
+
+
+def links_within(spark: SparkSession, texts_: DataFrame) -> DataFrame:
+    """(a, b): centres to be joined, from (tree, fp, s1, s2, n, t, centre, s): every proposed pair of a tree's texts is decided.
+
+    A tree is cut into portions of bounded size and every two of them meet in a group of their own, where pairs
+    are screened and decided in place.  What comes out are links that join, never pairs.
+    """
+    size = texts_.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / PORTION), F.ceil(F.sum(F.length("s")) / PORTION_BYTES), F.lit(1)).cast("int").alias("portions"))
+    rows = texts_.join(stored(spark, size, "trees"), "tree").withColumn("portion", F.pmod(F.xxhash64("t"), F.col("portions")).cast("int"))
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    met = other.select("tree", F.least("portion", "other").alias("i"), F.greatest("portion", "other").alias("j"), "portion", "fp", "s1", "s2", "n", "centre", "s")
+    return stored(spark, met.groupBy("tree", "i", "j").applyInArrow(_linked, "a long, b long").distinct(), "more")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,8 +605,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(batch.column("x"), batch.column("y")):
             x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            keep.append(similar(x, y))
         yield batch.drop_columns(["x", "y"]).append_column("ok", pa.array(keep, pa.bool_()))
 
 
@@ -603,9 +643,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         # Where a pair of the forest is not similar, texts that it held together may still be so by another pair.
         whole = components(spark, pairs).select(F.col("a").alias("t"), F.col("b").alias("tree"))
         broken = first.where("not ok").select(F.col("a").alias("t")).join(whole, "t").select("tree").distinct()
-        within = whole.join(broken, "tree").join(need, "t").join(centre, "t", "left").select("fp", "s1", "s2", "n", "t", F.coalesce("centre", "t").alias("centre"))
-        more = decided(crossing_pairs(spark, stored(spark, within, "broken"))).where("ok")
-        more = stored(spark, more.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "more")
+        within = whole.join(broken, "tree").join(need, "t").join(centre, "t", "left").select("tree", "fp", "s1", "s2", "n", "t", F.coalesce("centre", "t").alias("centre"))
+        more = links_within(spark, within.join(sets, "t"))
         joined = components(spark, more).select(F.col("a").alias("centre"), F.col("b").alias("least"))
         centre = need.select("t").join(centre, "t", "left").select("t", F.coalesce("centre", "t").alias("centre")).join(joined, "centre", "left").select("t", F.coalesce("least", "centre").alias("centre"))
     return rows.join(centre, "t", "left").select("doc_id", "k1", "k2", F.coalesce("centre", "t").alias("centre"))

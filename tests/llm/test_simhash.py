@@ -200,11 +200,30 @@ def test_pairs_meet_in_shards_and_their_parts(spark, monkeypatch, shard):
     table = [(*map(signed, r[:3]), r[3], t, r[4]) for t, r in enumerate(rows)]
     vertices = spark.createDataFrame(table, "fp long, s1 long, s2 long, n long, t long, centre long")
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near(rows[i], rows[j])}
-    assert {(min(r.a, r.b), max(r.a, r.b)) for r in S.crossing_pairs(spark, vertices).collect()} == {p for p in want if rows[p[0]][4] != rows[p[1]][4]}
     found = [(np.array([r.a]), np.array([r.b])) for r in S.spanning_pairs(spark, vertices.drop("centre")).collect()]
     assert reachable(len(rows), found) == reachable(len(rows), [(np.array([i]), np.array([j])) for i, j in want])
 
 
+@pytest.mark.parametrize("portion", [512, 4])
+def test_links_within_trees(spark, monkeypatch, portion):
+    """All pairs of a tree are decided, in one portion or in several that meet two at a time."""
+    monkeypatch.setattr(S, "PORTION", portion)
+    r = random.Random(3)
+    rows, sets = [], []
+    for t in range(40):
+        base = 1000 * (t % 3)
+        x = np.unique(np.array([base + k if r.random() < 0.93 else 5000 + r.randrange(1000) for k in range(40)], np.uint32))
+        sets.append(set(x.tolist()))
+        rows.append((t % 2, 5 ^ (1 << t % 4), 0, 0, len(x), t, t - t % 4, bytearray(x.tobytes())))
+    table = spark.createDataFrame(rows, "tree long, fp long, s1 long, s2 long, n long, t long, centre long, s binary")
+    got = S.links_within(spark, table).collect()
+    names = sorted({x[6] for x in rows})
+    at = {c: i for i, c in enumerate(names)}
+    pairs = [(at[x[6]], at[y[6]]) for x in rows for y in rows if x[0] == y[0] and len(sets[x[5]] & sets[y[5]]) >= 0.8 * len(sets[x[5]] | sets[y[5]])]
+    arrays = lambda ps: [(np.array([a for a, _ in ps]), np.array([b for _, b in ps]))] if ps else []
+    assert got and reachable(len(names), arrays([(at[x.a], at[x.b]) for x in got])) == reachable(len(names), arrays(pairs))
+
+
 def test_similar_texts_are_within_the_screen():
     """Of random pairs with a similarity of 0.8 or a little more none is screened away, few shingles or many."""
     r = random.Random(4)
