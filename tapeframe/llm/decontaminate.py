@@ -223,7 +223,7 @@ class Segment:
 class Queries:
     """Windows of the benchmark items: where they begin among all item words, by length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, slack: int | None = SLACK) -> None:
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, slack: int | None = None) -> None:
         if window > OVERLAP + 1 or window + (slack or 0) > OVERLAP + 1:
             raise ValueError("a window goes beyond what parts of a document share")
         self.names, self.slack = [i for i, _ in items], slack
@@ -316,11 +316,11 @@ def _turns(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     yield turn
 
 
-def phrase_matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", slack: int | None = SLACK) -> DataFrame:
+def phrase_matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", slack: int | None = None) -> DataFrame:
     """For each document of the index: rid, doc_id, n_words, n_hit, items, near_items, hit_starts, hit_ends (word spans).
 
     ``near_items`` are those with a window whose words all stand within ``slack`` words more than its length, in
-    any order (``slack`` None: not searched).  One turn of the benchmark, the usual case, needs no shuffle but
+    any order (None: not searched; the search costs many times that for phrases).  One turn of the benchmark, the usual case, needs no shuffle but
     for documents of several segments.  With several turns only rows with hits are kept of each and united.
     """
     turns = _turns(benchmark, item_col, text_col)
@@ -388,11 +388,12 @@ def proximity_matches(spark: SparkSession, index: DataFrame, queries: dict[str,
     return index.mapInArrow(_each_segment(answer), "doc_id long, query string, start long, end long")
 
 
-def digest(matches: DataFrame) -> DataFrame:
-    """The contract's columns from the operator's, and the number of items whose words are near."""
+def digest(matches: DataFrame, near: bool = False) -> DataFrame:
+    """The contract's columns from the operator's; with ``near``, the number of items whose words are near."""
+    more = [F.size("near_items").cast("long").alias("n_near_items")] if near else []
     return matches.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *more,
     )
 
 
@@ -403,6 +404,6 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     """
     key = F.xxhash64(F.col("text").cast("string"))
     index = build_index(spark, docs.select(key.alias("doc_id"), "text"))
-    hit = stored(spark, phrase_matches(spark, index, benchmark, slack=None).where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    hit = stored(spark, phrase_matches(spark, index, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
     return rows.join(hit, "key", "left_anti").select("row.*")
