@@ -240,7 +240,7 @@ def forward_dct(spark, d):
     return x.select("vec_id", F.floor(F.col("k") / 8).alias("u"), (F.col("k") % 8).alias("v"), F.round("c", 4).alias("c"))
 
 
-@query("P11 P12", f"WITH {PIXELS} SELECT vec_id, y, x, round(v, 4) AS px FROM px")
+@query("P11", f"WITH {PIXELS} SELECT vec_id, y, x, round(v, 4) AS px FROM px")
 def inverse_dct(spark, d):
     """Transformed and transformed back."""
     x = _pixels(spark, d).withColumn("c", blocks.forward("px")).select("vec_id", F.posexplode(blocks.inverse("c")).alias("k", "v"))
@@ -248,7 +248,7 @@ def inverse_dct(spark, d):
 
 
 @query(
-    "P14 P16 P17",
+    "P14 P16",
     f"""WITH {DCT}, s AS (SELECT vec_id, list([count_over.a, count_over.b, count_over.c, count_over.d]) AS z FROM (SELECT vec_id, count(*) FILTER (abs(round_even(c, 0)) > 255) AS a, count(*) FILTER (abs(round_even(c / 2, 0)) > 255) AS b, count(*) FILTER (abs(round_even(c / 4, 0)) > 255) AS c, count(*) FILTER (abs(round_even(c / 8, 0)) > 255) AS d FROM dct GROUP BY vec_id) count_over GROUP BY vec_id)
     SELECT s.vec_id, (list_position(z[1], list_min(z[1])) - 1)::BIGINT AS cls, greatest(least(round_even((d.c - 1024) / 4, 0), 255), -256)::BIGINT AS dc, list_min(z[1])::BIGINT AS saturated FROM s JOIN dct d ON d.vec_id = s.vec_id AND d.u = 0 AND d.v = 0""",
 )

@@ -169,7 +169,7 @@ def disagreement(spark, d):
 
 
 @query(
-    "M8 F11 M13",
+    "M8 F11",
     f"""WITH {BLOCKINESS}, p AS (SELECT a.frame, a.r, a.c, a.dc AS y, b.dc AS x FROM g a JOIN g b ON b.frame = a.frame + 1 AND b.r = a.r AND b.c = a.c WHERE a.ok AND b.ok), {DISAGREE}, w AS (SELECT * FROM dis JOIN seam USING (frame, br, bc) JOIN blk USING (frame, br, bc)),
     f AS (SELECT frame, median(low) / greatest(quantile_cont(blockiness, 0.75), 0.1) AS ratio FROM w GROUP BY frame), l AS (SELECT *, 20 - 16 * least(greatest((blockiness - 0.9) / 0.6, 0), 1) AS lim FROM w JOIN f USING (frame))
     SELECT frame, br, bc, round(low, 6) AS low, round(high, 6) AS high, round(seam, 6) AS seam, round(blockiness, 6) AS blockiness, round(lim, 6) AS limit, round(ratio, 6) AS ratio, ratio <= 2.5 AND low > lim AND NOT (high > 6 AND low < 0.6 * high AND seam < 1.6) AS flagged FROM l""",
@@ -188,7 +188,7 @@ def bilinear_sample(spark, d):
     return grid.bilinear(_grid(spark, d))
 
 
-@query("P19 P20 P21 S5", f"WITH {GRID} SELECT frame, r, c, round(dc, 6) AS dc FROM (SELECT frame, r, c, dc FROM g WHERE r % 2 = 0 UNION ALL SELECT frame - 1, r, c, dc FROM g WHERE r % 2 = 1) WHERE r BETWEEN 1 AND 35 AND c BETWEEN 1 AND 43")
+@query("P19 P20 S5", f"WITH {GRID} SELECT frame, r, c, round(dc, 6) AS dc FROM (SELECT frame, r, c, dc FROM g WHERE r % 2 = 0 UNION ALL SELECT frame - 1, r, c, dc FROM g WHERE r % 2 = 1) WHERE r BETWEEN 1 AND 35 AND c BETWEEN 1 AND 43")
 def field_interleave(spark, d):
     """Even rows of a frame with odd rows of the next (the fields are the feature)."""
     return grid.interleave(_grid(spark, d))

@@ -266,7 +266,7 @@ def merge_frames(spark, d):
     return fuse.merge_frames(_reads(spark, d))
 
 
-@query("A4 A17", f"WITH {MERGED} SELECT how, count(*) AS slots, count(DISTINCT frame) AS frames FROM merged GROUP BY how")
+@query("A4", f"WITH {MERGED} SELECT how, count(*) AS slots, count(DISTINCT frame) AS frames FROM merged GROUP BY how")
 def merge_report(spark, d):
     return fuse.merge_report(fuse.merge_frames(_reads(spark, d)))
 

@@ -27,3 +27,12 @@ def test_works_without_the_subpackage(tmp_path):
 def test_every_operator_of_the_inventory_names_its_query():
     covered = {i for ids in plans.COVERS.values() for i in ids}
     assert {"J1", "J2", "J7", "J10", "G1", "G3", "T3", "T7", "M1", "M2", "W8", "A13", "P13", "F11"} <= covered
+
+
+#: Operators of the inventory that no query computes yet; the README names them too.
+NOT_BUILT = "P12 P17 P21 A17 M13 B1 B2 B3 B4 B5 S7 S8 S9 S10 S14 K6".split()
+
+
+def test_no_query_claims_what_is_not_built():
+    covered = {i for ids in plans.COVERS.values() for i in ids}
+    assert not covered & set(NOT_BUILT)
