@@ -10,7 +10,9 @@ Training: token counts come from all training texts.  Weights are fitted in roun
 over its own part of the training texts, so that every training text is used once.  Tasks start a
 round from the broadcast weights, take gradient steps (Adagrad) on their rows, and yield the change
 with the number of uses of each row; changes are averaged by use, block by block, while they stream
-through the tasks that add them up.  Only the weights, of fixed size, go to the driver.
+through the tasks that add them up.  Only the weights go to the driver.  Each of the two tables has as
+many rows as there are distinct training tokens, rounded up to a power of two: 2**BITS at least and
+2**MOST_BITS (64 MB) at most, so that what is broadcast has a bound.
 
 Scoring: tokens with at least 1/2**20 of all occurrences are in a broadcast table, which thus has
 2**20 rows at most.  The other tokens of a text (few, and none of them frequent) meet their counts
@@ -34,15 +36,15 @@ from pyspark.sql import functions as F
 from tapeframe.llm import bytetext as B
 from tapeframe.llm.common import held_out, stored, texts
 
-#: Rows of the two weight tables are 2**BITS; classes are GROUPS groups of MEMBERS.
-BITS, GROUPS, MEMBERS = 14, 16, 16
-ROWS, OWN_CLASSES = 1 << BITS, 128
+#: Rows of a weight table are 2**BITS at least and 2**MOST_BITS at most; classes are GROUPS groups of MEMBERS.
+BITS, MOST_BITS, GROUPS, MEMBERS = 14, 20, 16, 16
+OWN_CLASSES = 128
 ROUNDS, STEP, BATCH = 4, 0.25, 1 << 15
 #: Largest weight: six of them stay below the largest exponent of a float.
 CLIP = 12.0
 HEAVY = 1 << 20
-#: Rows of a table that travel together.
-BLOCK = 1024
+#: Rows of a table that travel together, and the tasks that add them up.
+BLOCK, ADDERS = 1024, 32
 
 U64 = np.uint64
 END, START = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D)
@@ -91,6 +93,7 @@ class Vocabulary:
     own: np.ndarray  # sorted tokens that are classes of their own
     own_class: np.ndarray
     class_log: np.ndarray  # log10 of what a class's counts are divided by
+    bits: int  # rows of a weight table, as a power of two
     slots: tuple[np.ndarray, np.ndarray] | None = None  # made on first use
 
     def classes(self, token: np.ndarray, shape: np.ndarray) -> np.ndarray:
@@ -132,6 +135,10 @@ class Vocabulary:
         return self.__dict__ | {"slots": None}
 
 
+def table_bits(distinct: int) -> int:
+    return min(max(BITS, (distinct - 1).bit_length()), MOST_BITS)
+
+
 def count_tokens(spark: SparkSession, train: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """(table of token, shape and count c; what of it is broadcast)."""
     counted = train.select("text").mapInArrow(_count, "token long, shape int, c long")
@@ -148,7 +155,7 @@ def count_tokens(spark: SparkSession, train: DataFrame) -> tuple[DataFrame, Voca
     np.add.at(v, order["shape"].to_numpy(int), -1)
     rank = np.argsort(own)
     frequent = frequent.sort_values("u")
-    return table.select("token", "c"), Vocabulary(total, distinct, frequent["u"].to_numpy(), frequent["c"].to_numpy(), own[rank], rank, np.log10(n + 0.5 * (v + 1)))
+    return table.select("token", "c"), Vocabulary(total, distinct, frequent["u"].to_numpy(), frequent["c"].to_numpy(), own[rank], rank, np.log10(n + 0.5 * (v + 1)), table_bits(distinct))
 
 
 def _before(x: np.ndarray, k: int, place: np.ndarray, fill) -> np.ndarray:
@@ -159,12 +166,12 @@ def _before(x: np.ndarray, k: int, place: np.ndarray, fill) -> np.ndarray:
     return out
 
 
-def features(token: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the first table, rows of the second), each [features, tokens]."""
+def features(token: np.ndarray, cls: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the first table, rows of the second), each [features, tokens]; tables have 2**bits rows."""
     place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
     a, b = (_before(token, k, place, START) for k in (1, 2))
     c1, c2, c3 = (_before(cls, k, place, 0).astype(U64) for k in (1, 2, 3))
-    shift = U64(64 - BITS)
+    shift = U64(64 - bits)
     pair = c1 * U64(256) + c2 + U64(1)
     raw = [a * ODD[0], b * ODD[1], (a * ODD[2]) ^ (b * ODD[3]), pair * ODD[4], (c2 * U64(256) + c3 + U64(1)) * ODD[5]]
     group = (cls // MEMBERS).astype(U64) + U64(1)
@@ -175,14 +182,14 @@ def features(token: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.
 
 @dataclass
 class Weights:
-    first: np.ndarray  # ROWS x GROUPS
-    second: np.ndarray  # ROWS x MEMBERS
+    first: np.ndarray  # 2**bits x GROUPS
+    second: np.ndarray  # 2**bits x MEMBERS
     first_bias: np.ndarray  # 1 x GROUPS
     second_bias: np.ndarray  # GROUPS x MEMBERS
 
     @classmethod
-    def zero(cls) -> Weights:
-        return cls(*(np.zeros((r, c), np.float32) for r, c in ((ROWS, GROUPS), (ROWS, MEMBERS), (1, GROUPS), (GROUPS, MEMBERS))))
+    def zero(cls, bits: int) -> Weights:
+        return cls(*(np.zeros((r, c), np.float32) for r, c in ((1 << bits, GROUPS), (1 << bits, MEMBERS), (1, GROUPS), (GROUPS, MEMBERS))))
 
     def tables(self) -> list[np.ndarray]:
         return [self.first, self.second, self.first_bias, self.second_bias]
@@ -221,23 +228,28 @@ class Trainer:
     def __init__(self, start: Weights, step: float) -> None:
         self.w = Weights(*(t.copy() for t in start.tables()))
         self.squares = [np.full(t.shape, 1.0, np.float32) for t in self.w.tables()]
-        self.uses = [np.zeros(len(t)) for t in self.w.tables()]
+        self.uses = [np.zeros(len(t), np.float32) for t in self.w.tables()]
+        self.place = [np.zeros(len(t), np.int32) for t in self.w.tables()]
         self.step = step
 
-    def _step(self, k: int, gradient: np.ndarray, uses: np.ndarray) -> None:
+    def _step(self, k: int, used: np.ndarray, gradient: np.ndarray, uses: np.ndarray) -> None:
         table = self.w.tables()[k]
-        self.squares[k] += gradient * gradient
-        table -= self.step * gradient / np.sqrt(self.squares[k])
-        np.clip(table, -CLIP, CLIP, out=table)
-        self.uses[k] += uses
+        squares = self.squares[k][used] + gradient * gradient
+        self.squares[k][used] = squares
+        table[used] = np.clip(table[used] - self.step * gradient / np.sqrt(squares), -CLIP, CLIP)
+        self.uses[k][used] += uses
 
     def _descend(self, k: int, rows: np.ndarray, error: np.ndarray) -> None:
         """One step of table ``k`` for the errors of tokens (classes x tokens) that use its rows."""
-        flat, copies, n = rows.ravel(), rows.shape[0], len(self.uses[k])
-        gradient = np.empty((n, len(error)), np.float32)
+        flat, copies = rows.ravel(), rows.shape[0]
+        uses = np.bincount(flat, minlength=len(self.uses[k]))
+        used = np.flatnonzero(uses)
+        self.place[k][used] = np.arange(len(used), dtype=np.int32)
+        flat = self.place[k][flat]
+        gradient = np.empty((len(used), len(error)), np.float32)
         for c, e in enumerate(error):
-            gradient[:, c] = np.bincount(flat, np.tile(e, copies), n)
-        self._step(k, gradient, np.bincount(flat, minlength=n))
+            gradient[:, c] = np.bincount(flat, np.tile(e, copies), len(used))
+        self._step(k, used, gradient, uses[used])
 
     def learn(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> None:
         group, member = cls // MEMBERS, cls % MEMBERS
@@ -252,19 +264,31 @@ class Trainer:
             s = slice(i, i + BATCH)
             e = error(_logits(self.w.first, self.w.first_bias, one[:, s]), group[s])
             self._descend(0, one[:, s], e)
-            self._step(2, e.sum(axis=1)[None, :], np.array([e.shape[1]]))
+            self._step(2, np.zeros(1, int), e.sum(axis=1)[None, :], np.array([e.shape[1]]))
             e = error(_logits(self.w.second, self.w.second_bias[group[s]], two[:, s]), member[s])
             self._descend(1, two[:, s], e)
             self._descend(3, group[None, s], e)
 
 
-CHANGES = "part int, block int, uses binary, change binary"
-_CHANGES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("uses", pa.binary()), ("change", pa.binary())])
+CHANGES = "part int, block int, rows binary, uses binary, change binary"
+_CHANGES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("rows", pa.binary()), ("uses", pa.binary()), ("change", pa.binary())])
+
+
+def _change(part: int, block: int, uses: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    """The used rows of a block (numbers within it), their uses, and their changes times uses."""
+    rows = np.flatnonzero(uses)
+    return pa.RecordBatch.from_pylist([{"part": part, "block": block, "rows": rows.astype(np.uint16).tobytes(), "uses": uses[rows].astype(np.float32).tobytes(), "change": change[rows].astype(np.float32).tobytes()}], schema=_CHANGES)
+
+
+def _changed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, uses = np.frombuffer(row["rows"], np.uint16).astype(np.int64), np.frombuffer(row["uses"], np.float32)
+    return rows, uses, np.frombuffer(row["change"], np.float32).reshape(len(rows), -1)
 
 
 def train(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Fit the weights; ``docs`` has text and ``turn``, the round that uses a row."""
-    weights = Weights.zero()
+    bits = vocabulary.bits
+    weights = Weights.zero(bits)
     known = spark.sparkContext.broadcast(vocabulary)
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(weights)
@@ -278,31 +302,29 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, rounds:
                 for i, j in B.row_slices(offsets):
                     token, shape, first = tokens(text.slice(i, j - i))
                     cls = known.value.classes(token, shape)
-                    own.learn(*features(token, cls, first), cls)
+                    own.learn(*features(token, cls, first, bits), cls)
             for k, (new, old, uses) in enumerate(zip(own.w.tables(), start.value.tables(), own.uses)):
                 for b in range(0, len(new), BLOCK):
                     part = uses[b : b + BLOCK]
                     if part.any():
-                        change = ((new - old)[b : b + BLOCK] * part[:, None]).astype(np.float32)
-                        yield pa.RecordBatch.from_pylist([{"part": k, "block": b, "uses": part.astype(np.float32).tobytes(), "change": change.tobytes()}], schema=_CHANGES)
+                        yield _change(k, b, part, (new[b : b + BLOCK] - old[b : b + BLOCK]) * part[:, None])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], list[np.ndarray]] = {}
             for batch in batches:
                 for r in batch.to_pylist():
-                    uses, change = np.frombuffer(r["uses"], np.float32), np.frombuffer(r["change"], np.float32)
-                    have = sums.setdefault((r["part"], r["block"]), [np.zeros(len(uses)), np.zeros(len(change))])
-                    have[0] += uses
-                    have[1] += change
+                    rows, uses, change = _changed(r)
+                    have = sums.setdefault((r["part"], r["block"]), [np.zeros(BLOCK), np.zeros((BLOCK, change.shape[1]))])
+                    have[0][rows] += uses
+                    have[1][rows] += change
             for (k, b), (uses, change) in sums.items():
-                yield pa.RecordBatch.from_pylist([{"part": k, "block": b, "uses": uses.astype(np.float32).tobytes(), "change": change.astype(np.float32).tobytes()}], schema=_CHANGES)
+                yield _change(k, b, uses, change)
 
-        changes = docs.where(F.col("turn") == turn).select("text").mapInArrow(learn, CHANGES).repartition(ROWS // BLOCK * 2, "part", "block").mapInArrow(add, CHANGES)
+        changes = docs.where(F.col("turn") == turn).select("text").mapInArrow(learn, CHANGES).repartition(ADDERS, "part", "block").mapInArrow(add, CHANGES)
         tables = [t.copy() for t in weights.tables()]
         for r in changes.collect():
-            uses, change = np.frombuffer(r.uses, np.float32), np.frombuffer(r.change, np.float32)
-            own = tables[r.part][r.block : r.block + len(uses)]
-            own += change.reshape(own.shape) / np.maximum(uses, 1)[:, None]
+            rows, uses, change = _changed(r.asDict())
+            tables[r.part][r.block + rows] += change / np.maximum(uses, 1)[:, None]
         weights = Weights(*tables)
     return weights
 
@@ -315,7 +337,7 @@ def _partial(part: pa.RecordBatch, v: Vocabulary, w: Weights) -> Iterator[pa.Rec
     """A row for each text with what is known of it here (n = 0), and its other tokens with their numbers."""
     token, shape, first = tokens(part.column("text"))
     cls = v.classes(token, shape)
-    score = class_log10(w, *features(token, cls, first), cls)
+    score = class_log10(w, *features(token, cls, first, v.bits), cls)
     count = v.counts(token)
     rare = count < 0
     log = np.log10(np.maximum(count, 0) + 0.5)

@@ -7,8 +7,14 @@ records all have one length (which is checked for every record) is read as a mat
 
 ``encode`` writes coefficient arrays as a progressive file.  ``from_payload`` stores bytes as the
 format's unit, the quantized coefficient: byte k of a block of 64 is coefficient k in zigzag order, as
-256 + byte (DC: 512 + byte in even blocks, byte - 768 in odd ones), sent in two spectral bands of the
-upper bits and refinement scans of the last bit.  In this range all codes have one length.
+256 + byte (DC: 512 + byte in a component's even blocks, byte - 768 in odd ones).  The first half of the
+blocks is luma, the rest two chroma components of half its width.  DC goes in interleaved scans, luma in
+two spectral bands of the upper bits and a refinement scan of the last bit, each chroma component in one
+band.  In this range all codes of a scan have one length.
+
+``store_media`` writes the media column as a table in the shared folder; ``read_back`` decodes what that
+table holds and computes features of the RGB tensor, chroma upsampled.  Tensors are 1.5 bytes for each
+payload byte and are made on reading (``tensors``), not kept beside the media.
 
 Defined cases: a null text is empty; an empty text is one block of zeros; repeated rows each give a
 row; an empty table gives an empty result; other columns are ignored.  ``tensors`` gives null tensors
@@ -26,9 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeframe.functions.tables import new_path
 from tapeframe.llm.common import texts
 
 BLOCK = 64
@@ -92,9 +99,15 @@ class Picture:
         full = [np.repeat(np.repeat(p, top_v // c.v, 0), top_h // c.h, 1)[: self.height, : self.width] for c, p in zip(self.components, self.planes())]
         if len(full) < 3:
             return np.broadcast_to(full[0][:, :, None], (*full[0].shape, 3))
-        y, cb, cr = (p.astype(np.float64) for p in full[:3])
-        cb, cr = cb - 128, cr - 128
-        return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)), 0, 255).astype(np.uint8)
+        out = np.empty((*full[0].shape, 3), np.uint8)
+        strip = max(PART * 8 // self.width, 1)
+        for i in range(0, self.height, strip):
+            y, cb, cr = (p[i : i + strip].astype(np.float32) for p in full[:3])
+            cb -= 128
+            cr -= 128
+            for k, sample in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
+                out[i : i + strip, :, k] = np.clip(np.rint(sample, out=sample), 0, 255, out=sample)
+        return out
 
 
 # Reading
@@ -237,7 +250,7 @@ class Decoder:
         restarts = ff[(after >= 0xD0) & (after <= 0xD7) & (ff < stop)].tolist()
         edges = [at, *(r + 2 for r in restarts)]
         segments = [self.data[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip(edges, [*restarts, stop])]
-        if n == 1 and len(segments) == 1 and self._uniform(chosen[0], segments[0], first, last, high, low):
+        if len(segments) == 1 and (self._uniform(chosen[0], segments[0], first, last, high, low) if n == 1 else last == 0 and self._uniform_units(chosen, segments[0], high, low)):
             return stop
         self._general(chosen, segments, first, last, high, low)
         return stop
@@ -355,40 +368,75 @@ class Decoder:
             band = blocks[:, first : last + 1]
             band += np.where(band > 0, bit, -bit) * ((np.abs(band) & (1 << low)) == 0)
             return True
-        if first and symbol >> 4:
+        values = _numbers(raw, n * width if first else n, table, head, spectral=bool(first))
+        if values is None:
             return False
-        length = code + (symbol & 15)
-        count = n * width if first else n
-        if length > 32:
-            return False
-        values = np.empty(count, np.int64)
-        for i, part in _record_parts(raw, count, length):
-            if part is None:
-                return False
-            if length <= 16:
-                whole = _left(part) >> np.uint16(16 - length)
-                if ((whole >> np.uint16(length - code)) == head >> (16 - code)).all():
-                    size = symbol & 15
-                    if first and not size:
-                        return False
-                    value = (whole & np.uint16((1 << size) - 1)).astype(np.int64)
-                    values[i : i + len(part)] = value if not size else np.where(value >> (size - 1), value, value - (1 << size) + 1)
-                    continue
-            symbols, codes = _heads(part, table)
-            sizes = symbols & 15
-            if (symbols >> 4).any() or (codes == 0).any() or (codes + sizes != length).any() or (first and (sizes == 0).any()):
-                return False
-            padded = np.zeros((len(part), 32), np.uint8)
-            padded[:, 32 - length :] = part
-            whole = np.packbits(padded, axis=1).view(">u4").ravel().astype(np.int64)
-            value = whole & ((1 << sizes) - 1)
-            values[i : i + len(part)] = np.where((value >> np.maximum(sizes - 1, 0)) > 0, value, value - (1 << sizes) + 1)
         if first:
             blocks[:, first : last + 1] = values.reshape(n, width) << low
         else:
             blocks[:, 0] = np.cumsum(values) << low
         return True
 
+    def _uniform_units(self, chosen: list, data: bytes, high: int, low: int) -> bool:
+        """The same for an interleaved DC scan: records of all components' blocks, unit by unit."""
+        c = chosen[0][0]
+        down, across = c.blocks.shape[0] // c.v, c.blocks.shape[1] // c.h
+        sizes = [c.v * c.h for c, _, _ in chosen]
+        raw, count = np.frombuffer(data, np.uint8), down * across * sum(sizes)
+        if high:
+            if len(raw) * 8 < count:
+                return False
+            values = np.unpackbits(raw, count=count).astype(np.int64)
+        else:
+            tables = {id(self.huffman.get((0, dc))): self.huffman.get((0, dc)) for _, dc, _ in chosen}
+            table = tables.popitem()[1]
+            if tables or table is None:
+                return False
+            values = _numbers(raw, count, table, Bits(data).peek16(), spectral=False)
+            if values is None:
+                return False
+        units, at = values.reshape(down * across, -1), 0
+        for (c, _, _), size in zip(chosen, sizes):
+            own, at = units[:, at : at + size].ravel(), at + size
+            place = np.arange(c.blocks.shape[0] * c.blocks.shape[1]).reshape(down, c.v, across, c.h).swapaxes(1, 2).ravel()
+            blocks = c.blocks.reshape(-1, 64)
+            if high:
+                blocks[place, 0] |= (own << low).astype(np.int32)
+            else:
+                blocks[place, 0] = np.cumsum(own) << low
+        return True
+
+
+def _numbers(raw: np.ndarray, count: int, table: Huffman, head: int, spectral: bool) -> np.ndarray | None:
+    """The numbers of ``count`` records (a code and as many bits as it says), if all records are as long as the first."""
+    code, symbol = int(table.size[head]), int(table.symbol[head])
+    length = code + (symbol & 15)
+    if not code or length > 32 or (spectral and symbol >> 4):
+        return None
+    values = np.empty(count, np.int64)
+    for i, part in _record_parts(raw, count, length):
+        if part is None:
+            return None
+        if length <= 16:
+            whole = _left(part) >> np.uint16(16 - length)
+            if ((whole >> np.uint16(length - code)) == head >> (16 - code)).all():
+                size = symbol & 15
+                if spectral and not size:
+                    return None
+                value = (whole & np.uint16((1 << size) - 1)).astype(np.int64)
+                values[i : i + len(part)] = value if not size else np.where(value >> (size - 1), value, value - (1 << size) + 1)
+                continue
+        symbols, codes = _heads(part, table)
+        sizes = symbols & 15
+        if (symbols >> 4).any() or (codes == 0).any() or (codes + sizes != length).any() or (spectral and (sizes == 0).any()):
+            return None
+        padded = np.zeros((len(part), 32), np.uint8)
+        padded[:, 32 - length :] = part
+        whole = np.packbits(padded, axis=1).view(">u4").ravel().astype(np.int64)
+        value = whole & ((1 << sizes) - 1)
+        values[i : i + len(part)] = np.where((value >> np.maximum(sizes - 1, 0)) > 0, value, value - (1 << sizes) + 1)
+    return values
+
 
 def _record_parts(raw: np.ndarray, count: int, length: int) -> Iterator[tuple[int, np.ndarray | None]]:
     """(first record, bits of records) in parts; None if the data are too short."""
@@ -529,16 +577,17 @@ def _second_pass(band: list[int]) -> list[tuple[int, int]]:
 
 # Bytes as coefficients
 
-COLUMNS, MOST = 256, 8191
+#: Units of four blocks (two of luma, one of each chroma component): across, and the most rows of a file.
+UNIT, ACROSS, MOST = 4, 128, 8191
 #: One-symbol tables and the DC table; in fixed order for every file.
 _DC_TABLE = _marker(0xC4, bytes([0x00, 1, 1, *[0] * 14, 10, 9]))
-_SIZE8_TABLE = _marker(0xC4, bytes([0x10, 1, *[0] * 15, 0x08]))
-_END_TABLE = _marker(0xC4, bytes([0x11, 1, *[0] * 15, 0x00]))
+_AC_TABLES = b"".join(_marker(0xC4, bytes([0x10 | k, 1, *[0] * 15, symbol])) for k, symbol in enumerate((0x08, 0x00, 0x09)))
 _ONES = _marker(0xDB, bytes([0]) + bytes([1] * 64))
+_COLOURS = bytes([1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0])
 
 
-def _scan_header(first: int, last: int, high: int, low: int, table: int) -> bytes:
-    return _marker(0xDA, bytes([1, 1, table, first, last, high << 4 | low]))
+def _scan_header(components: tuple[int, ...], first: int, last: int, high: int, low: int, table: int = 0) -> bytes:
+    return _marker(0xDA, bytes([len(components), *(x for c in components for x in (c, table)), first, last, high << 4 | low]))
 
 
 def _number_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -551,48 +600,60 @@ def padded(data: bytes) -> bytes:
     return data + bytes(-len(data) % BLOCK if data else BLOCK)
 
 
+def _dc(data: np.ndarray) -> np.ndarray:
+    return data[:, 0].astype(np.int64) + np.where(np.arange(len(data)) % 2, -768, 512)
+
+
+def _dc_codes(data: np.ndarray) -> np.ndarray:
+    """Eleven bits for each block: the step of the upper bits, in ten bits after a code of one, nine after two for the first."""
+    step = np.diff(_dc(data) >> 1, prepend=0)
+    size = np.where(np.arange(len(data)) == 0, 9, 10)
+    return np.where(step > 0, step, step + (1 << size) - 1) | np.where(size == 9, 2 << 9, 0)
+
+
+def _band(values: np.ndarray, width: int) -> bytes:
+    """A zero (the one code) and ``width`` bits of each value."""
+    values, out = values.ravel(), []
+    for i in range(0, len(values), PART):
+        out.append(_packed(_number_bits(values[i : i + PART], width + 1).ravel()))
+    return _stuffed(b"".join(out))
+
+
 def from_payload(payload: bytes) -> bytes:
-    """A grey progressive file whose coefficients are the payload (a positive multiple of 64 bytes)."""
-    n = len(payload) // BLOCK
-    columns = max(min(n, COLUMNS), -(-n // MOST))
-    rows = -(-n // columns)
-    data = np.frombuffer(payload + bytes((rows * columns - n) * BLOCK), np.uint8).reshape(-1, BLOCK)
-    n = len(data)
-    dc = data[:, 0].astype(np.int64) + np.where(np.arange(n) % 2, -768, 512)
-    step = np.diff(dc >> 1, prepend=0)
-    size = np.where(np.arange(n) == 0, 9, 10)
-    code = np.where(step > 0, step, step + (1 << size) - 1) | np.where(size == 9, 2 << 9, 0)
-    upper = np.concatenate([_number_bits(code, 11).ravel()])
-
-    def band(first: int, last: int) -> bytes:
-        """A zero (the one code) and the eight upper bits of each coefficient."""
-        values = (data[:, first : last + 1] >> 1 | 0x80).ravel()
-        out = []
-        for i in range(0, len(values), PART):
-            part = values[i : i + PART]
-            bits = np.zeros((len(part), 9), np.uint8)
-            bits[:, 1:] = np.unpackbits(part[:, None], axis=1)
-            out.append(_packed(bits.ravel()))
-        return b"".join(out)
-
-    rest = np.zeros((n, 64), np.uint8)
-    rest[:, 1:] = data[:, 1:] & 1
-    parts = [
-        b"\xff\xd8", _marker(0xFE, b"bytes %d" % len(payload)), _ONES, _marker(0xC2, struct.pack(">BHHB", 8, rows * 8, columns * 8, 1) + bytes([1, 0x11, 0])), _DC_TABLE, _SIZE8_TABLE, _END_TABLE,
-        _scan_header(0, 0, 0, 1, 0x00), _stuffed(_packed(upper)), _scan_header(1, 5, 0, 1, 0x00), _stuffed(band(1, 5)), _scan_header(6, 63, 0, 1, 0x00), _stuffed(band(6, 63)),
-        _scan_header(0, 0, 1, 0, 0x00), _stuffed(_packed((data[:, 0] & 1).ravel())), _scan_header(1, 63, 1, 0, 0x01), _stuffed(np.packbits(rest, axis=1).tobytes()), b"\xff\xd9",
-    ]
-    return b"".join(parts)
+    """A progressive colour file whose coefficients are the payload (a positive multiple of 64 bytes)."""
+    units = -(-len(payload) // (BLOCK * UNIT))
+    across = max(min(units, ACROSS), -(-units // MOST))
+    down = -(-units // across)
+    units = down * across
+    data = np.frombuffer(payload + bytes(units * UNIT * BLOCK - len(payload)), np.uint8).reshape(-1, BLOCK)
+    parts = data[: 2 * units], data[2 * units : 3 * units], data[3 * units :]
+    deal = lambda xs: np.concatenate([x.reshape(units, -1) for x in xs], axis=1).ravel()
+    rest = np.zeros((2 * units, 64), np.uint8)
+    rest[:, 1:] = parts[0][:, 1:] & 1
+    upper = parts[0] >> 1 | 0x80
+    every = (1, 2, 3)
+    return b"".join([
+        b"\xff\xd8", _marker(0xFE, b"bytes %d" % len(payload)), _ONES, _marker(0xC2, struct.pack(">BHHB", 8, down * 8, across * 16, 3) + _COLOURS), _DC_TABLE, _AC_TABLES,
+        _scan_header(every, 0, 0, 0, 1), _stuffed(_packed(_number_bits(deal([_dc_codes(x) for x in parts]), 11).ravel())),
+        _scan_header((1,), 1, 5, 0, 1), _band(upper[:, 1:6], 8), _scan_header((2,), 1, 63, 0, 0, 2), _band(parts[1][:, 1:].astype(np.uint16) | 256, 9),
+        _scan_header((3,), 1, 63, 0, 0, 2), _band(parts[2][:, 1:].astype(np.uint16) | 256, 9), _scan_header((1,), 6, 63, 0, 1), _band(upper[:, 6:], 8),
+        _scan_header(every, 0, 0, 1, 0), _stuffed(_packed(deal([x[:, 0] & 1 for x in parts]))), _scan_header((1,), 1, 63, 1, 0, 1), _stuffed(np.packbits(rest, axis=1).tobytes()), b"\xff\xd9",
+    ])
 
 
 def to_payload(picture: Picture) -> bytes:
     """The bytes that ``from_payload`` stored."""
-    blocks = picture.components[0].blocks.reshape(-1, BLOCK)
-    data = blocks - 256
-    data[:, 0] = blocks[:, 0] - np.where(np.arange(len(blocks)) % 2, -768, 512)
-    if not picture.comment.startswith(b"bytes ") or data.min() < 0 or data.max() > 255:
+    if not picture.comment.startswith(b"bytes "):
         raise Broken("not a payload")
-    return data.astype(np.uint8).tobytes()[: int(picture.comment[6:])]
+    out = []
+    for c in picture.components:
+        blocks = c.blocks.reshape(-1, BLOCK)
+        data = blocks - 256
+        data[:, 0] = blocks[:, 0] - np.where(np.arange(len(blocks)) % 2, -768, 512)
+        if data.min() < 0 or data.max() > 255:
+            raise Broken("not a payload")
+        out.append(data.astype(np.uint8).tobytes())
+    return b"".join(out)[: int(picture.comment[6:])]
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -627,7 +688,14 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def store_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``store_texts`` as a table in the shared folder: what is read from it comes from stored bytes."""
+    path, media = new_path(spark, "media"), store_texts(docs)
+    media.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(media.schema).parquet(path)
+
+
+_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("rgb_sha256", pa.string())])
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -637,13 +705,14 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = media.as_py()
             picture = Decoder(media).decode()
             payload = to_payload(picture)
-            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(picture.rgb())))
+            rgb = picture.rgb()
+            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb), hashlib.sha256(rgb).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_READ)], schema=_READ)
 
 
 def read_back(media: DataFrame) -> DataFrame:
     """What a media column of ``store_texts`` holds, from its stored bytes."""
-    return media.mapInArrow(_read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(_read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rgb_sha256 string")
 
 
 def tensors(media: DataFrame, id_col: str, media_col: str) -> DataFrame:

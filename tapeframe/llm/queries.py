@@ -37,7 +37,7 @@ def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive.read_back(progressive.store_texts(read(spark, sf_dir, "documents")))
+    return progressive.read_back(progressive.store_media(spark, read(spark, sf_dir, "documents")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,16 @@ def test_small_tables(spark, rows):
     check(spark, rows)
 
 
+def test_tables_grow_with_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(M, "BITS", 2)
+    docs = spark.createDataFrame(ROWS, SCHEMA).selectExpr("text", "0 as turn")
+    _, v = M.count_tokens(spark, docs)
+    assert 1 << (v.bits - 1) < v.distinct <= 1 << v.bits and len(M.train(spark, docs, v, rounds=1).first) == 1 << v.bits
+    check(spark, ROWS)
+    monkeypatch.setattr(M, "MOST_BITS", 3)
+    assert M.table_bits(v.distinct) == 3 and M.table_bits(0) == 2
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     rows = [r for r in ROWS if not out(r[0])]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("text", "0 as turn")
@@ -66,18 +76,18 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     # Of "the x <end>" only x varies here: take token probabilities one by one.
     token, shape, first = M.tokens(pa.array(texts))
     cls = v.classes(token, shape)
-    log = M.class_log10(w, *M.features(token, cls, first), cls) + np.where(cls < M.OWN_CLASSES, 0, np.log10(np.maximum(v.counts(token), 0) + 0.5) - v.class_log[cls])
+    log = M.class_log10(w, *M.features(token, cls, first, v.bits), cls) + np.where(cls < M.OWN_CLASSES, 0, np.log10(np.maximum(v.counts(token), 0) + 0.5) - v.class_log[cls])
     total = sum(10 ** log[first[i] + 1] for i in range(len(texts)))
     # The rest belongs to unseen words: 0.5 of each shape class.
     classes = np.arange(M.OWN_CLASSES, M.GROUPS * M.MEMBERS)
     token = np.array([token[0], M.U64(99)], M.U64)
     for c in classes:
         k = np.array([cls[0], c])
-        total += 10 ** (M.class_log10(w, *M.features(token, k, np.array([0, 2])), k)[1] + math.log10(0.5) - v.class_log[c])
+        total += 10 ** (M.class_log10(w, *M.features(token, k, np.array([0, 2]), v.bits), k)[1] + math.log10(0.5) - v.class_log[c])
     unused = M.OWN_CLASSES - len(v.own)
     empty = 0.0
     for c in range(len(v.own), M.OWN_CLASSES):
         k = np.array([cls[0], c])
-        empty += 10 ** M.class_log10(w, *M.features(token, k, np.array([0, 2])), k)[1]
+        empty += 10 ** M.class_log10(w, *M.features(token, k, np.array([0, 2]), v.bits), k)[1]
     assert parts and unused >= 0
     assert total + empty == pytest.approx(1, abs=1e-4)
