@@ -10,9 +10,10 @@ Training: token counts come from all training texts.  Weights are fitted in roun
 over its own part of the training texts, so that every training text is used once.  Tasks start a
 round from the broadcast weights, take gradient steps (Adagrad) on their rows, and yield the change
 with the number of uses of each row; changes are averaged by use, block by block, while they stream
-through the tasks that add them up.  Only the weights go to the driver.  Each of the two tables has as
-many rows as there are distinct training tokens, rounded up to a power of two: 2**BITS at least and
-2**MOST_BITS (64 MB) at most, so that what is broadcast has a bound.
+through the tasks that add them up.  Only the weights go to the driver.  The rows of a table grow
+with the root of the number of distinct training tokens, for what tasks send grows with rows times
+tasks: the power of two whose square is 128 times that number or more, 2**BITS at least and 2**MOST_BITS
+(64 MB) at most, so that what is broadcast has a bound.
 
 Scoring: tokens with at least 1/2**20 of all occurrences are in a broadcast table, which thus has
 2**20 rows at most.  The other tokens of a text (few, and none of them frequent) meet their counts
@@ -136,7 +137,7 @@ class Vocabulary:
 
 
 def table_bits(distinct: int) -> int:
-    return min(max(BITS, (distinct - 1).bit_length()), MOST_BITS)
+    return min(max(BITS, ((128 * distinct - 1).bit_length() + 1) // 2), MOST_BITS)
 
 
 def count_tokens(spark: SparkSession, train: DataFrame) -> tuple[DataFrame, Vocabulary]:
@@ -275,14 +276,14 @@ _CHANGES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("rows", pa.b
 
 
 def _change(part: int, block: int, uses: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-    """The used rows of a block (numbers within it), their uses, and their changes times uses."""
+    """The used rows of a block (numbers within it), their uses, and their changes, in half precision."""
     rows = np.flatnonzero(uses)
-    return pa.RecordBatch.from_pylist([{"part": part, "block": block, "rows": rows.astype(np.uint16).tobytes(), "uses": uses[rows].astype(np.float32).tobytes(), "change": change[rows].astype(np.float32).tobytes()}], schema=_CHANGES)
+    return pa.RecordBatch.from_pylist([{"part": part, "block": block, "rows": rows.astype(np.uint16).tobytes(), "uses": uses[rows].astype(np.float32).tobytes(), "change": change[rows].astype(np.float16).tobytes()}], schema=_CHANGES)
 
 
 def _changed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, uses = np.frombuffer(row["rows"], np.uint16).astype(np.int64), np.frombuffer(row["uses"], np.float32)
-    return rows, uses, np.frombuffer(row["change"], np.float32).reshape(len(rows), -1)
+    return rows, uses, np.frombuffer(row["change"], np.float16).reshape(len(rows), -1).astype(np.float64)
 
 
 def train(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -307,7 +308,7 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, rounds:
                 for b in range(0, len(new), BLOCK):
                     part = uses[b : b + BLOCK]
                     if part.any():
-                        yield _change(k, b, part, (new[b : b + BLOCK] - old[b : b + BLOCK]) * part[:, None])
+                        yield _change(k, b, part, new[b : b + BLOCK] - old[b : b + BLOCK])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], list[np.ndarray]] = {}
@@ -316,15 +317,15 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, rounds:
                     rows, uses, change = _changed(r)
                     have = sums.setdefault((r["part"], r["block"]), [np.zeros(BLOCK), np.zeros((BLOCK, change.shape[1]))])
                     have[0][rows] += uses
-                    have[1][rows] += change
+                    have[1][rows] += change * uses[:, None]
             for (k, b), (uses, change) in sums.items():
-                yield _change(k, b, uses, change)
+                yield _change(k, b, uses, change / np.maximum(uses, 1)[:, None])
 
         changes = docs.where(F.col("turn") == turn).select("text").mapInArrow(learn, CHANGES).repartition(ADDERS, "part", "block").mapInArrow(add, CHANGES)
         tables = [t.copy() for t in weights.tables()]
         for r in changes.collect():
-            rows, uses, change = _changed(r.asDict())
-            tables[r.part][r.block + rows] += change / np.maximum(uses, 1)[:, None]
+            rows, _, change = _changed(r.asDict())
+            tables[r.part][r.block + rows] += change
         weights = Weights(*tables)
     return weights
 

@@ -57,7 +57,7 @@ def test_tables_grow_with_the_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(M, "BITS", 2)
     docs = spark.createDataFrame(ROWS, SCHEMA).selectExpr("text", "0 as turn")
     _, v = M.count_tokens(spark, docs)
-    assert 1 << (v.bits - 1) < v.distinct <= 1 << v.bits and len(M.train(spark, docs, v, rounds=1).first) == 1 << v.bits
+    assert 4 ** (v.bits - 1) < 128 * v.distinct <= 4**v.bits and len(M.train(spark, docs, v, rounds=1).first) == 1 << v.bits
     check(spark, ROWS)
     monkeypatch.setattr(M, "MOST_BITS", 3)
     assert M.table_bits(v.distinct) == 3 and M.table_bits(0) == 2
