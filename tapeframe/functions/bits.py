@@ -120,10 +120,12 @@ def expand_runs(runs: str, size: int = 64) -> Column:
     return F.concat(filled, F.array_repeat(F.lit(0), F.lit(size) - F.size(filled)))
 
 
-def factor_table(spark: SparkSession, weights: list[int], areas: list[int], shifts: list[list[int]], offsets: list[int]) -> DataFrame:
-    """(qno, cls, k, factor): weight of position k shifted by its area's entry for the quantizer; class 3 doubles."""
-    grid = spark.range(16).select(F.col("id").cast("int").alias("qno"), F.explode(F.array(*map(F.lit, range(4)))).alias("cls")).select("qno", "cls", F.explode(F.array(*map(F.lit, range(len(weights))))).alias("k"))
+def factor_table(spark: SparkSession, weights: list[list[int]], areas: list[int], shifts: list[list[int]], offsets: list[int]) -> DataFrame:
+    """(qno, cls, mode, k, factor): weight of position k in a mode shifted by its area's entry for the quantizer; class 3 doubles."""
+    each = lambda n: F.explode(F.array(*map(F.lit, range(n))))
+    grid = spark.range(16).select(F.col("id").cast("int").alias("qno"), each(4).alias("cls")).select("qno", "cls", each(len(weights)).alias("mode")).select("qno", "cls", "mode", each(len(weights[0])).alias("k"))
     pick = lambda table, i: F.get(F.array(*map(F.lit, table)), i)
     s = F.greatest(F.least(F.col("qno") + pick(offsets, F.col("cls")), F.lit(len(shifts) - 1)), F.lit(0))
     shift = F.get(F.get(F.array(*(F.array(*map(F.lit, row)) for row in shifts)), s), pick(areas, F.col("k")))
-    return grid.select("qno", "cls", "k", F.expr("1L").alias("one"), shift.alias("shift"), pick(weights, F.col("k")).cast("long").alias("weight")).select("qno", "cls", "k", F.expr("shiftleft(weight, shift + 1 + if(cls = 3, 1, 0))").alias("factor"))
+    weight = F.get(F.get(F.array(*(F.array(*map(F.lit, row)) for row in weights)), F.col("mode")), F.col("k"))
+    return grid.select("qno", "cls", "mode", "k", shift.alias("shift"), weight.cast("long").alias("weight")).select("qno", "cls", "mode", "k", F.expr("shiftleft(weight, shift + 1 + if(cls = 3, 1, 0))").alias("factor"))

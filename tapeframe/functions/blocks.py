@@ -40,6 +40,13 @@ def inverse(coefficients: str) -> Column:
     return _transform(matrix().T)(coefficients)
 
 
+def assembled(rows: DataFrame, unit: str, place: str, block: str, mode: str) -> DataFrame:
+    """(unit, px): 16 x 16 in row order from blocks 0 to 3 (left to right, then down); null if one is missing or in field mode."""
+    parts = rows.groupBy(unit).agg(F.max(mode).alias("field"), *(F.max(F.when(F.col(place) == j, F.col(block))).alias(f"b{j}") for j in range(4)))
+    lines = [F.slice(f"b{2 * (y // 8) + half}", 8 * (y % 8) + 1, 8) for y in range(16) for half in (0, 1)]
+    return parts.select(unit, F.when(F.col("field") == 0, F.concat(*lines)).alias("px"))
+
+
 def encoded(rows: DataFrame, coefficients: str) -> DataFrame:
     """Levels of the first class in which all fit, else of the one with the fewest that do not; the DC apart."""
     over = [F.size(F.filter(bits.levels(coefficients, s), lambda x: F.abs(x) > LIMIT)) for s in STEPS]

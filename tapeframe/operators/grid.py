@@ -153,6 +153,65 @@ def guarded_flags(grid: DataFrame, ratio: float = 2.5, detail: float = 6.0, leas
     return rows.select("frame", "br", "bc", "low", "high", "seam", "blockiness", "limit", "ratio", flag.alias("flagged"))
 
 
+def frame_trust(grid: DataFrame, win: int = 4, share: float = 0.25) -> DataFrame:
+    """(frame, trust): how badly the next frame fits, as 1 - correlation, and of that a low quantile of the frames around."""
+    cost = _pairs(grid).groupBy("frame").agg((1 - F.corr("y", "x")).alias("cost"))
+    around = cost.select(F.explode(F.sequence(F.col("frame") - win, F.col("frame") + win)).alias("frame"), "cost")
+    return cost.select("frame").join(around, "frame").groupBy("frame").agg(F.percentile("cost", F.lit(share)).alias("trust"))
+
+
+def clean_decisions(grid: DataFrame, trust_limit: float = 0.25, win: int = 4, ratio: float = 2.5, detail: float = 6.0, least: int = 1000) -> DataFrame:
+    """What happens to each block: its frame is untrusted or disagrees as a whole (ratio), or it agrees, is spared for its seam, or is replaced."""
+    rows = guarded_flags(grid, ratio, detail, least).join(frame_trust(grid, win), "frame")
+    decision = F.when(F.col("trust") >= trust_limit, "untrusted").when(F.col("ratio") > ratio, "ratio").when(F.col("low") <= F.col("limit"), "agrees").when(F.col("flagged"), "replaced").otherwise("seam")
+    return rows.select("frame", "br", "bc", "low", "trust", decision.alias("decision"))
+
+
+def cleaned(grid: DataFrame, decisions: DataFrame, size: int = 4) -> DataFrame:
+    """Cells of replaced blocks take the next frame's value with the fitted gain and offset; where that has none they stay."""
+    fit = _pairs(grid).groupBy("frame").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"))
+    replaced = decisions.where("decision = 'replaced'").select("frame", "br", "bc", F.lit(True).alias("hit")).join(fit, "frame")
+    cells = grid.select("frame", "r", "c", "dc", *(F.floor(F.col(x) / size).cast("long").alias(f"b{x}") for x in ("r", "c")))
+    found = cells.join(replaced, ["frame", "br", "bc"], "left").join(next_frame(grid).where("ok2"), ["frame", "r", "c"], "left")
+    patched = F.col("hit").isNotNull() & F.col("dc2").isNotNull()
+    return found.select("frame", "r", "c", F.when(patched, F.col("a") * F.col("dc2") + F.col("b")).otherwise(F.col("dc")).alias("dc"), patched.alias("patched"))
+
+
+def clean_report(grid: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: frames, those skipped, blocks flagged, spared and written, and the median of the frames' median disagreement."""
+    is_ = lambda x: F.col("decision") == x
+    frames = decisions.groupBy("frame").agg(F.bool_or(is_("untrusted")).alias("untrusted"), F.bool_or(is_("ratio")).alias("off"), F.count_if(is_("replaced")).alias("written"), F.count_if(is_("seam")).alias("spared"), F.median("low").alias("median"))
+    rows = grid.select("frame").distinct().join(frames, "frame", "left")
+    return rows.agg(
+        F.count("*").alias("frames"), F.count_if(F.coalesce(F.col("untrusted") | F.col("off"), F.lit(True))).alias("skipped"), F.count_if("off").alias("skipped_ratio"),
+        F.coalesce(F.sum(F.col("written") + F.col("spared")), F.lit(0)).alias("flagged"), F.coalesce(F.sum("spared"), F.lit(0)).alias("rejected_seam"), F.coalesce(F.sum("written"), F.lit(0)).alias("written"),
+        F.median(F.when(~F.col("untrusted"), F.col("median"))).alias("median_disagreement"),
+    )
+
+
+def uniform_shift(even: tuple[Column, Column, Column], odd: tuple[Column, Column, Column]) -> Column:
+    """Rows that a map of fields (frame ahead, field, line) moves both fields by; null if frames or rows differ."""
+    rows = lambda m, parity: 2 * m[2] + m[1] - parity
+    return F.when((even[0] == 0) & (odd[0] == 0) & (rows(even, 0) == rows(odd, 1)), rows(even, 0))
+
+
+def compose_fields(grid: DataFrame, even: tuple[int, int, int] = (0, 1, -1), odd: tuple[int, int, int] = (0, 0, 0), columns: int = 8, by: float = 0.5) -> DataFrame:
+    """Frames put together field by field: rows of a parity come from a field of the frame ``ahead``, ``line`` lines on.
+
+    Cells move ``columns`` to the right and then by a part of a column to the left; what lies outside is absent.
+    """
+    parts = []
+    for parity, (ahead, field, line) in enumerate((even, odd)):
+        row = 2 * (F.floor(F.col("r") / 2) - line) + parity
+        parts.append(grid.where(F.col("r") % 2 == field).select((F.col("frame") - ahead).alias("frame"), row.cast("long").alias("r"), (F.col("c") + columns).alias("c"), "dc"))
+    whole = parts[0].unionByName(parts[1]).where((F.col("r") >= 0) & (F.col("r") < ROWS) & (F.col("c") < COLUMNS))
+    if even[0] or odd[0]:
+        whole = whole.join(grid.select("frame").distinct(), "frame", "left_semi")
+    along = W.partitionBy("frame", "r").orderBy("c")
+    moved = whole.withColumn("right", F.when(F.lead("c").over(along) == F.col("c") + 1, F.lead("dc").over(along)))
+    return moved.where("right is not null").select("frame", "r", "c", ((1 - by) * F.col("dc") + by * F.col("right")).alias("dc"))
+
+
 def subshift(grid: DataFrame, by: float = 0.5) -> DataFrame:
     """Cells moved by a part of a column; the last column repeats."""
     right = F.coalesce(F.lead("dc").over(W.partitionBy("frame", "r").orderBy("c")), F.col("dc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeframe.functions import bits, blocks
+from tapeframe.functions import bits, blocks, segments
 from tapeframe.operators import align, link, sequence, tape
 from tapeframe.plans.link_queries import FEW, VERIFIED, _blocks, _timeline
 from tapeframe.plans.registry import query, read
@@ -256,6 +256,21 @@ def encode_block(spark, d):
     return blocks.encoded(_pixels(spark, d).withColumn("c", blocks.forward("px")), "c").select("vec_id", "cls", "dc", "saturated")
 
 
+@query("P12", f"WITH {PIXELS}, k AS (SELECT vec_id // 4 AS unit FROM embeddings GROUP BY unit HAVING count(*) = 4 AND count(*) FILTER (vec_id % 7 = 0) = 0) SELECT vec_id // 4 AS unit, y + vec_id % 4 // 2 * 8 AS y, x + vec_id % 2 * 8 AS x, round(v, 4) AS px FROM px WHERE vec_id // 4 IN (SELECT unit FROM k)")
+def unit_pixels(spark, d):
+    """Four blocks as 16 x 16; every seventh block is in field mode, and its unit has no pixels."""
+    rows = _pixels(spark, d).select(F.floor(F.col("vec_id") / 4).alias("unit"), (F.col("vec_id") % 4).alias("place"), "px", (F.col("vec_id") % 7 == 0).cast("int").alias("mode"))
+    x = blocks.assembled(rows, "unit", "place", "px", "mode").select("unit", F.posexplode("px").alias("k", "v"))
+    return x.select("unit", F.floor(F.col("k") / 16).alias("y"), (F.col("k") % 16).alias("x"), F.round("v", 4).alias("px"))
+
+
+@query("B1 B2 B5 A16")
+def segment_round_trip(spark, d):
+    """Every order's hashes as a segment of 400 bytes: read, counted, and packed again."""
+    digests = F.concat(*(F.unhex(F.sha2(F.concat_ws(":", "o_orderkey", F.lit(k)), 512)) for k in range(7)))
+    return segments.scan(read(spark, d, "orders").select("o_orderkey", F.substring(digests, 1, segments.SEGMENT_BYTES).alias("payload")), "o_orderkey", "payload", segments.Code.sample())
+
+
 @query("P7", "SELECT l_partkey AS probe FROM (SELECT DISTINCT l_partkey, md5(l_partkey::VARCHAR || ':seed') AS h FROM lineitem) ORDER BY h, l_partkey LIMIT 162")
 def probe_set(spark, d):
     """A seeded draw of 162 columns without replacement (a sampling operator)."""
@@ -275,11 +290,11 @@ AREAS = [sum(k >= e for e in bits.AREA_ENDS) for k in range(64)]
 
 @query(
     "P10",
-    f"SELECT q AS qno, c AS cls, k, (1::BIGINT << ({SHIFTS}[greatest(least(q + {bits.QUANTIZER_OFFSETS}[c + 1], 21), 0) + 1][{AREAS}[k + 1] + 1] + 1 + CASE WHEN c = 3 THEN 1 ELSE 0 END)) AS factor FROM range(16) a(q), range(4) b(c), range(64) d(k)",
+    f"SELECT q AS qno, c AS cls, m AS mode, k, (CASE WHEN m = 0 THEN 64 - k ELSE 64 + k END)::BIGINT * (1::BIGINT << ({SHIFTS}[greatest(least(q + {bits.QUANTIZER_OFFSETS}[c + 1], 21), 0) + 1][{AREAS}[k + 1] + 1] + 1 + CASE WHEN c = 3 THEN 1 ELSE 0 END)) AS factor FROM range(16) a(q), range(4) b(c), range(2) e(m), range(64) d(k)",
 )
 def factor_table(spark, d):
-    """Factors of all quantizers and classes over flat weights (weights are a parameter)."""
-    return bits.factor_table(spark, [1] * 64, AREAS, bits.QUANTIZER_SHIFTS, bits.QUANTIZER_OFFSETS)
+    """Factors of all quantizers, classes and modes over falling and rising weights (weights are a parameter)."""
+    return bits.factor_table(spark, [[64 - k for k in range(64)], [64 + k for k in range(64)]], AREAS, bits.QUANTIZER_SHIFTS, bits.QUANTIZER_OFFSETS)
 
 
 @query("P15", f"WITH {LEVELS}, p AS (SELECT vec_id, list_filter(list_transform(l, lambda v, i: CASE WHEN v <> 0 THEN i END), lambda i: i IS NOT NULL) AS places FROM x), g AS (SELECT vec_id, unnest(list_transform(places, lambda i, k: i - CASE WHEN k > 1 THEN places[k - 1] ELSE 0 END - 1)) AS run FROM p) SELECT vec_id, count(*) + sum(run // 3)::BIGINT AS words, sum(run // 3)::BIGINT AS skips FROM g GROUP BY vec_id")

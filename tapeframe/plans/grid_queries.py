@@ -178,6 +178,56 @@ def guarded_flags(spark, d):
     return grid.guarded_flags(_grid(spark, d), least=300)
 
 
+GUARDED = f"""{BLOCKINESS}, p AS (SELECT a.frame, a.r, a.c, a.dc AS y, b.dc AS x FROM g a JOIN g b ON b.frame = a.frame + 1 AND b.r = a.r AND b.c = a.c WHERE a.ok AND b.ok), {DISAGREE}, w AS (SELECT * FROM dis JOIN seam USING (frame, br, bc) JOIN blk USING (frame, br, bc)),
+    f AS (SELECT frame, median(low) / greatest(quantile_cont(blockiness, 0.75), 0.1) AS ratio FROM w GROUP BY frame), l AS (SELECT *, 20 - 16 * least(greatest((blockiness - 0.9) / 0.6, 0), 1) AS lim FROM w JOIN f USING (frame)),
+    k AS (SELECT frame, 1 - corr(y, x) AS cost FROM p GROUP BY frame), tr AS (SELECT a.frame, quantile_cont(b.cost, 0.25) AS trust FROM k a JOIN k b ON abs(b.frame - a.frame) <= 1 GROUP BY a.frame),
+    dec AS (SELECT frame, br, bc, low, trust, CASE WHEN trust >= 1 THEN 'untrusted' WHEN ratio > 2.5 THEN 'ratio' WHEN low <= lim THEN 'agrees' WHEN high > 6 AND low < 0.6 * high AND seam < 1.6 THEN 'seam' ELSE 'replaced' END AS decision FROM l JOIN tr USING (frame))"""
+
+
+def _decisions(spark, d):
+    """Few frames that hardly agree: each is judged with its two neighbours, and half a correlation is not asked."""
+    return grid.clean_decisions(_grid(spark, d), trust_limit=1.0, win=1, least=300)
+
+
+@query("M8 M13 W7", f"WITH {GUARDED} SELECT frame, br, bc, round(low, 6) AS low, round(trust, 6) AS trust, decision FROM dec")
+def clean_decisions(spark, d):
+    return _decisions(spark, d)
+
+
+@query(
+    "M8 M12 M13",
+    f"""WITH {GUARDED} SELECT g.frame, g.r, g.c, round(CASE WHEN decision = 'replaced' AND h.dc IS NOT NULL THEN a * h.dc + b ELSE g.dc END, 6) AS dc, coalesce(decision = 'replaced', false) AND h.dc IS NOT NULL AS patched
+    FROM g LEFT JOIN g h ON h.frame = g.frame + 1 AND h.r = g.r AND h.c = g.c AND h.ok LEFT JOIN fit ON fit.frame = g.frame LEFT JOIN dec ON dec.frame = g.frame AND dec.br = g.r // 4 AND dec.bc = g.c // 4""",
+)
+def cleaned_cells(spark, d):
+    return grid.cleaned(_grid(spark, d), _decisions(spark, d))
+
+
+@query(
+    "A17 M13",
+    f"""WITH {GUARDED}, n AS (SELECT frame, bool_or(decision = 'untrusted') AS u, bool_or(decision = 'ratio') AS q, count(*) FILTER (decision = 'replaced') AS w, count(*) FILTER (decision = 'seam') AS s, median(low) AS m FROM dec GROUP BY frame), z AS (SELECT * FROM (SELECT DISTINCT frame FROM g) LEFT JOIN n USING (frame))
+    SELECT count(*) AS frames, count(*) FILTER (coalesce(u OR q, true)) AS skipped, count(*) FILTER (q) AS skipped_ratio, coalesce(sum(w + s), 0)::BIGINT AS flagged, coalesce(sum(s), 0)::BIGINT AS rejected_seam, coalesce(sum(w), 0)::BIGINT AS written, round(median(m) FILTER (NOT u), 6) AS median_disagreement FROM z""",
+)
+def clean_report(spark, d):
+    return grid.clean_report(_grid(spark, d), _decisions(spark, d))
+
+
+@query("P21", "SELECT ef, eq, el, fo, oq, ol, CASE WHEN ef = 0 AND fo = 0 AND 2 * el + eq = 2 * ol + oq - 1 THEN 2 * el + eq END AS shift FROM range(-1, 2) a(ef), range(2) b(eq), range(-2, 3) c(el), range(-1, 2) d(fo), range(2) e(oq), range(-2, 3) f(ol)")
+def uniform_shift(spark, d):
+    """Maps of fields up to one frame ahead and two lines on."""
+    each = lambda lo, hi: F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))
+    rows = spark.range(1)
+    for name, lo, hi in (("ef", -1, 1), ("eq", 0, 1), ("el", -2, 2), ("fo", -1, 1), ("oq", 0, 1), ("ol", -2, 2)):
+        rows = rows.withColumn(name, each(lo, hi))
+    return rows.drop("id").withColumn("shift", grid.uniform_shift((F.col("ef"), F.col("eq"), F.col("el")), (F.col("fo"), F.col("oq"), F.col("ol"))))
+
+
+@query("P19 P21 S5", f"WITH {GRID}, n AS (SELECT frame, r, c, dc, lead(dc) OVER w AS other, lead(c) OVER w AS nc FROM g WINDOW w AS (PARTITION BY frame, r ORDER BY c)) SELECT frame, r + 1 AS r, c + 1 AS c, round(0.5 * dc + 0.5 * other, 6) AS dc FROM n WHERE r < 35 AND nc = c + 1 AND nc < 44")
+def composed_fields(spark, d):
+    """Fields swapped within a frame, one column on and half a column back."""
+    return grid.compose_fields(_grid(spark, d), columns=1)
+
+
 @query("P18", f"WITH {GRID} SELECT frame, r, c, round(0.5 * dc + 0.5 * coalesce(lead(dc) OVER (PARTITION BY frame, r ORDER BY c), dc), 6) AS dc FROM g")
 def subpixel_shift(spark, d):
     return grid.subshift(_grid(spark, d))
@@ -188,7 +238,7 @@ def bilinear_sample(spark, d):
     return grid.bilinear(_grid(spark, d))
 
 
-@query("P19 P20 S5", f"WITH {GRID} SELECT frame, r, c, round(dc, 6) AS dc FROM (SELECT frame, r, c, dc FROM g WHERE r % 2 = 0 UNION ALL SELECT frame - 1, r, c, dc FROM g WHERE r % 2 = 1) WHERE r BETWEEN 1 AND 35 AND c BETWEEN 1 AND 43")
+@query("P20 S5", f"WITH {GRID} SELECT frame, r, c, round(dc, 6) AS dc FROM (SELECT frame, r, c, dc FROM g WHERE r % 2 = 0 UNION ALL SELECT frame - 1, r, c, dc FROM g WHERE r % 2 = 1) WHERE r BETWEEN 1 AND 35 AND c BETWEEN 1 AND 43")
 def field_interleave(spark, d):
     """Even rows of a frame with odd rows of the next (the fields are the feature)."""
     return grid.interleave(_grid(spark, d))

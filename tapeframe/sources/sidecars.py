@@ -45,3 +45,16 @@ def load_alignment(spark: SparkSession, path: str, **params) -> DataFrame:
     if rows.isEmpty():
         raise ValueError("no alignment with these parameters")
     return rows.select("f", "v", "cost", "margin", "covered")
+
+
+def save_places(places: DataFrame, path: str) -> None:
+    """Keep the places of a profile's blocks."""
+    places.write.mode("overwrite").parquet(path)
+
+
+def load_places(spark: SparkSession, path: str) -> DataFrame:
+    """The places kept at ``path``; an error that says so if there are none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no places of blocks at {path}: calibrate first")
+    return spark.read.parquet(path)

@@ -78,7 +78,7 @@ def test_block_classes(spark):
 
 
 def test_factor_table(spark):
-    rows = bits.factor_table(spark, [4, 6], [0, 1], [[0, 1], [2, 3]], [0, -1, 1, 0])
+    rows = bits.factor_table(spark, [[4, 6]], [0, 1], [[0, 1], [2, 3]], [0, -1, 1, 0])
     got = {(r.qno, r.cls, r.k): r.factor for r in rows.collect()}
     assert got[0, 0, 0] == 4 << 1 and got[0, 0, 1] == 6 << 2 and got[0, 1, 0] == 4 << 1 and got[0, 2, 1] == 6 << 4 and got[15, 3, 0] == 4 << 4
 

@@ -88,3 +88,12 @@ def test_alignment_is_kept_by_its_parameters(spark, tmp_path):
     assert sidecars.load_alignment(spark, str(tmp_path / "align"), band=60, lam=0.01).count() == 3
     with pytest.raises(ValueError):
         sidecars.load_alignment(spark, str(tmp_path / "align"), band=80, lam=0.01)
+
+
+def test_places_are_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/places"
+    with pytest.raises(FileNotFoundError):
+        sidecars.load_places(spark, path)
+    rows = [(i, i // 45, i % 45) for i in range(90)]
+    sidecars.save_places(spark.createDataFrame(rows, "blk long, r long, c long"), path)
+    assert sorted(map(tuple, sidecars.load_places(spark, path).collect())) == rows
