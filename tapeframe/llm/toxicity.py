@@ -29,7 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ SAMPLE = 10_000
 #: An entry needs this many different words before it in toxic texts, and this share of all of them.
 SUPPORT, PRECISION = 7, 0.9
 STEM_LENGTHS = (4, 5, 6, 7, 8)
+#: Contexts that a process of the sample holds before it gives them on.
+CONTEXTS = 1 << 16
 #: Bytes after which a clause ends at white space.
 CLAUSE = 1 << 16
 #: How firmly the fit holds to the default coefficients: as this many texts of even odds would.
@@ -183,17 +185,25 @@ def units(word: str) -> Iterator[str]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, word before, label) of the sampled texts, once for each batch."""
+    """(unit, word before, label) of the sampled texts, ``CONTEXTS`` at once and some of them repeatedly."""
+    hashed = lru_cache(1 << 14)(hash_of)
+    found: set[tuple[str, int, int]] = set()
     for batch in batches:
-        found: set[tuple[str, int, int]] = set()
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            before = ""
-            for w in _WORD.findall((text or "").lower()):
-                for u in units(w):
-                    found.add((u, hash_of(before), toxic))
-                before = w
-        rows = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["unit", "before", "toxic"])
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            before = hashed("")
+            for m in _WORD.finditer((text.as_py() or "").lower()):
+                for u in units(m[0]):
+                    found.add((u, before, toxic))
+                before = hashed(m[0])
+                if len(found) >= CONTEXTS:
+                    yield _context_rows(found)
+                    found.clear()
+    yield _context_rows(found)
+
+
+def _context_rows(found: set[tuple[str, int, int]]) -> pa.RecordBatch:
+    rows = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["unit", "before", "toxic"])
 
 
 def hash_of(word: str) -> int:

@@ -188,3 +188,14 @@ def test_fast_search_splits_words_like_the_grammar():
     found = set(s.rows(pa.array(texts)).tolist())
     assert not [t for i, t in enumerate(texts) if s.clauses(t) and i not in found]
     assert s.scores(pa.array([*texts, None])).tolist() == [*map(s.score, texts), T.QUIET]
+
+
+def test_contexts_are_given_on_in_bounded_portions():
+    words = ["".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(12_000)]
+    texts = [" ".join(words[:9_000]), None, " ".join(words[6_000:])]
+    batch = pa.record_batch([pa.array(texts), pa.array([1, 0, 0], pa.int32())], names=["text", "toxic"])
+    out = list(T._contexts(iter([batch])))
+    assert max(x.num_rows for x in out) < (1 << 16) + len(T.STEM_LENGTHS) + 1
+    got = {r for x in out for r in zip(*(c.to_pylist() for c in x.columns))}
+    before = lambda own: [T.hash_of(w) for w in ["", *own[:-1]]]
+    assert got == {(u, b, toxic) for own, toxic in ((words[:9_000], 1), (words[6_000:], 0)) for w, b in zip(own, before(own)) for u in T.units(w)}
