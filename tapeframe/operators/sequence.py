@@ -380,11 +380,18 @@ def fit_segment(bits: list[list[int]], capacity: int, protected: set[int] = froz
 
 
 def fitted_segments(words: DataFrame, capacity: int = 120) -> DataFrame:
-    """(segment, words, dropped, bits) of segments whose blocks' words (segment, block, k, bits) are cut to a capacity."""
+    """(segment, words, dropped, bits) of segments whose blocks' words (segment, block, k, bits) are cut to a capacity.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        blocks = [x["bits"].tolist() for _, x in g.groupby("block")]
-        left, dropped = fit_segment(blocks, capacity)
-        return pd.DataFrame({"segment": [g["segment"].iloc[0]], "words": [sum(map(len, left))], "dropped": [dropped], "bits": [sum(map(sum, left))]})
-
-    return fold(words, "segment", ["block", "k"], "segment long, words long, dropped long, bits long", run)
+    ``fit_segment`` as one running sum: the block with the most words loses its last one, so words go by their place in
+    the block, last places first, and in one place by block.  From the other end, the words that stay are those up to
+    the last one at which the sum of bits is within the capacity.  A null block is a block, null bits are none.
+    """
+    place = F.row_number().over(W.partitionBy("segment", "block").orderBy("k"))
+    rows = words.select("segment", "block", F.coalesce(F.col("bits").cast("long"), F.lit(0)).alias("bits"), place.alias("place"))
+    order = W.partitionBy("segment").orderBy("place", F.desc("block"))
+    rows = rows.select("segment", F.row_number().over(order).alias("n"), F.sum("bits").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("total"))
+    fits = F.when(F.col("total") <= capacity, F.struct("n", "total"))
+    out = rows.groupBy("segment").agg(F.count("*").alias("all"), F.max(fits).alias("kept"))
+    left = F.coalesce(F.col("kept.n").cast("long"), F.lit(0))
+    dropped = F.when((left == 0) & F.lit(capacity < 0), F.lit(-1)).otherwise(F.col("all") - left)
+    return out.select(F.col("segment").cast("long").alias("segment"), left.alias("words"), dropped.cast("long").alias("dropped"), F.coalesce("kept.total", F.lit(0)).alias("bits"))

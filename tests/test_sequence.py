@@ -127,6 +127,21 @@ def test_segments_fit():
     assert S.fit_segment([[5]], -1) == ([[]], -1)
 
 
+def test_segments_fit_without_python_groups(spark):
+    r = random.Random(5)
+    rows = [(s, b, k, r.choice([0, 1, 5, 30, 50])) for s in range(60) for b in range(1, r.randint(1, 6)) for k in sorted(r.sample(range(20), r.randint(1, 7)))]
+    words = spark.createDataFrame(r.sample(rows, len(rows)), "segment long, block long, k long, bits long")
+    for capacity in (-1, 0, 60, 120, 10_000):
+        want = {}
+        for s in {x[0] for x in rows}:
+            own = [x for x in rows if x[0] == s]
+            left, dropped = S.fit_segment([[x[3] for x in own if x[1] == b] for b in sorted({x[1] for x in own})], capacity)
+            want[s] = (sum(map(len, left)), dropped, sum(map(sum, left)))
+        found = S.fitted_segments(words, capacity)
+        assert {x.segment: (x.words, x.dropped, x.bits) for x in found.collect()} == want
+        assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
