@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeframe.functions.tables import stored
+
 #: Fingerprints with more postings than this are no evidence.
 MAX_PER_KEY = 400
 
@@ -114,28 +116,74 @@ def lengths(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("cap").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
-def similarity_top(blocks: DataFrame, k: int = 10) -> DataFrame:
+def similarity_top(blocks: DataFrame, k: int = 10, limit: int = 200) -> DataFrame:
     """The k most similar frames of each frame: equal blocks at equal positions, over the smaller block count.
 
     All keys count, whatever their number of postings.  Frames with equal blocks throughout are one class: pairs are
     made between classes and given to their frames at the end, of which a frame needs k + 1 a class at most.
+
+    Pairs come from keys with ``limit`` postings at most, whose number grows with the postings, and are counted in all
+    keys.  What shares only more frequent keys is scored as the sets of those: frames with one such set and one size are
+    one group, and of what groups share a group needs its k + 1 best frames.  For a pair with rarer keys in common this
+    is too low a score, never too high, and the pair is also there with its own.
     """
-    own = blocks.where(healthy()).select("frame", F.struct("blk", F.xxhash64("data").alias("h")).alias("key"))
+    spark = blocks.sparkSession
+    own = blocks.where(healthy()).where("frame is not null").select("frame", F.struct("blk", F.xxhash64("data").alias("h")).alias("key"))
     frames = own.groupBy("frame").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    frames = frames.select("frame", F.xxhash64("keys").alias("class"), F.size("keys").alias("size"), "keys")
-    classes = frames.groupBy("class").agg(F.min(F.struct("frame", "size", "keys")).alias("s")).select("class", "s.size", "s.keys")
-    posted = classes.select("class", F.explode("keys").alias("key"))
-    pairs = posted.join(posted.withColumnRenamed("class", "class2"), "key").groupBy("class", "class2").agg(F.count("*").alias("same"))
+    frames = stored(spark, frames.select("frame", F.xxhash64("keys").alias("class"), F.size("keys").alias("size"), "keys"), "frames")
+    classes = frames.groupBy("class").agg(F.min(F.struct("frame", "size", "keys")).alias("s"), F.count("*").alias("copies"))
+    classes = stored(spark, classes.select("class", "s.size", "s.keys", "copies"), "classes")
     size = classes.select("class", "size")
-    scored = pairs.join(size, "class").join(size.select(F.col("class").alias("class2"), F.col("size").alias("size2")), "class2")
-    scored = scored.select("class", "class2", "same", (F.col("same") / F.least("size", "size2")).alias("similarity"))
+    posted = classes.select("class", F.explode("keys").alias("key")).select("class", "key.blk", "key.h")
+    postings = stored(spark, posted.groupBy("blk", "h").agg(F.count("*").alias("n")).where("n > 1"), "postings")
+    rare = posted.join(postings.where(F.col("n") <= limit).drop("n"), ["blk", "h"])
+    often = posted.join(postings.where(F.col("n") > limit).drop("n"), ["blk", "h"])
+
+    # Sets of frequent keys, and what they share.
+    held = often.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("blk", "h"))).alias("often"))
+    held = stored(spark, held.select("class", F.xxhash64("often").alias("set"), "often").join(size, "class"), "sets")
+    sets = held.groupBy("set").agg(F.min("often").alias("often")).select("set", F.explode("often").alias("key"))
+    shared = sets.join(sets.withColumnRenamed("set", "set2"), "key").groupBy("set", "set2").agg(F.count("*").alias("also"))
+    shared = stored(spark, shared, "shared")
+
+    # Pairs of classes by rarer keys, with all they share.
+    half = rare.join(rare.withColumnRenamed("class", "class2"), ["blk", "h"]).where("class < class2").groupBy("class", "class2").agg(F.count("*").alias("same"))
+    mine = classes.select("class", "size").join(held.select("class", "set"), "class", "left")
+    other = mine.select(*(F.col(c).alias(f"{c}2") for c in mine.columns))
+    half = half.join(mine, "class").join(other, "class2").join(shared, ["set", "set2"], "left").withColumn("same", F.col("same") + F.coalesce("also", F.lit(0)))
+    scored = half.select("class", "class2", "same", (F.col("same") / F.least("size", "size2")).alias("similarity"))
+    scored = scored.unionByName(scored.select(F.col("class2").alias("class"), F.col("class").alias("class2"), "same", "similarity"))
+    # A class with itself: a key that is m times in a frame (of several rows) counts m * m times.
+    again = lambda a, x: F.when(a["key"] == x, a["m"]).otherwise(F.lit(0).cast("long"))
+    runs = F.aggregate(
+        "keys",
+        F.struct(F.col("keys")[0].alias("key"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("same")),
+        lambda a, x: F.struct(x.alias("key"), (again(a, x) + 1).alias("m"), (a["same"] + 2 * again(a, x) + 1).alias("same")),
+    )
+    itself = classes.where("copies > 1").select("class", F.col("class").alias("class2"), runs["same"].alias("same"), "size")
+    scored = scored.unionByName(itself.withColumn("similarity", F.col("same") / F.col("size")).drop("size"))
     few = frames.select("class", "frame", F.row_number().over(W.partitionBy("class").orderBy("frame")).alias("n")).where(F.col("n") <= k + 1)
-    near = scored.join(few.select(F.col("class").alias("class2"), F.col("frame").alias("frame2")), "class2")
-    best = F.row_number().over(W.partitionBy("class").orderBy(F.desc("similarity"), F.desc("same"), "frame2"))
-    near = near.withColumn("rank", best).where(F.col("rank") <= k + 1).drop("rank", "class2")
-    rows = frames.select("frame", "class").join(near, "class").where("frame <> frame2")
-    rank = F.row_number().over(W.partitionBy("frame").orderBy(F.desc("similarity"), F.desc("same"), "frame2"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("frame", "frame2", "same", "similarity", "rank")
+    near = scored.join(few.select(F.col("class").alias("class2"), F.col("frame").alias("frame2")), "class2").drop("class2")
+
+    # The best frames of each group by frequent keys alone.
+    def best(rows: DataFrame, by: tuple[str, ...], last: str, n: int) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("similarity"), F.desc("same"), last))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+
+    number = F.row_number().over(W.partitionBy("set", "size").orderBy("frame"))
+    first = frames.select("frame", "class").join(held.select("class", "set", "size"), "class").select("set", "size", "frame", number.alias("n"))
+    first = stored(spark, first.where(F.col("n") <= k + 1), "first")
+    group = first.where("n = 1").select("set", "size", F.col("frame").alias("least"))
+    group2 = group.select(*(F.col(c).alias(f"{c}2") for c in group.columns))
+    met = shared.join(group.drop("least"), "set").join(group2, "set2").select("set", "size", "set2", "size2", "least2", F.col("also").alias("same"), (F.col("also") / F.least("size", "size2")).alias("similarity"))
+    met = best(met, ("set", "size"), "least2", k + 1).drop("rank", "least2")
+    met = met.join(first.select(F.col("set").alias("set2"), F.col("size").alias("size2"), F.col("frame").alias("frame2")), ["set2", "size2"])
+    met = best(met, ("set", "size"), "frame2", k + 1).select("set", "size", "frame2", "same", "similarity")
+    near = near.unionByName(held.select("class", "set", "size").join(met, ["set", "size"]).drop("set", "size"))
+
+    near = near.groupBy("class", "frame2").agg(F.max("same").alias("same"), F.max("similarity").alias("similarity"))
+    rows = frames.select("frame", "class").join(best(near, ("class",), "frame2", k + 1).drop("rank"), "class").where("frame <> frame2")
+    return best(rows, ("frame",), "frame2", k).select("frame", "frame2", "same", "similarity", "rank")
 
 
 def offset_vote(voted: DataFrame, least: int = 2) -> DataFrame:

@@ -1,5 +1,8 @@
 """Known cases of the DataFrame operators."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +117,19 @@ def test_all_frames_bad(spark):
     assert {r.source for r in fuse.nearest_source(t).collect()} == {None}
     assert {r.how for r in fuse.conceal(t).collect()} == {"none"}
     assert timeline.largest_run(t).count() == 0
+
+
+def test_similarity_top_makes_no_pairs_of_frequent_blocks(spark):
+    r = random.Random(11)
+    rows = [("A", f, b, f"line {int(r.paretovariate(0.7)) % 40}") for f in range(150) for b in range(r.randint(1, 4))]
+    rows += [("A", 200 + f, *x[2:]) for f in range(8) for x in rows if x[1] == 3] + [x for x in rows if x[1] in (4, 5)]
+    own = {f: Counter(x[2:] for x in rows if x[1] == f) for f in {x[1] for x in rows}}
+    want = set()
+    for a, keys in own.items():
+        found = [(b, sum(n * other[x] for x, n in keys.items()), min(keys.total(), other.total())) for b, other in own.items() if b != a]
+        found = sorted(((-same / size, -same, b) for b, same, size in found if same))[:5]
+        want |= {(a, b, -same, round(-x, 9), i + 1) for i, (x, same, b) in enumerate(found)}
+    blocks = spark.createDataFrame(rows, "cap string, frame long, blk int, data string")
+    for limit in (1, 3, 1000):
+        got = link.similarity_top(blocks, k=5, limit=limit)
+        assert {(x.frame, x.frame2, x.same, round(x.similarity, 9), x.rank) for x in got.collect()} == want
