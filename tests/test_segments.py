@@ -1,6 +1,7 @@
 """Reading and writing of segments against a plain bit-by-bit version."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -117,6 +118,22 @@ def test_levels_and_wrong_sizes():
     assert len(S.parse([], CODE)["damaged"]) == 0
 
 
+def test_reading_and_writing_take_little_time_and_memory():
+    # As many as are read together, most of whose blocks end in their own area; rows of bit places took 104 MB, ranges take 27 MB.
+    r = random.Random(7)
+    rows = [r.randbytes(400) for _ in range(S.TOGETHER)]
+    S.pack(S.parse(rows[:4], CODE), CODE, rows[:4])
+    tracemalloc.start()
+    got = S.parse(rows, CODE)
+    again, _ = S.pack(got, CODE, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(a == b for a, b, d in zip(again, rows, got["damaged"]) if not d)
+    assert peak < 50e6
+    none = S.parse([], CODE)
+    assert S.pack(none, CODE, [])[0] == [] and S.levels(none, CODE).shape == (0, 30, 64)
+
+
 def test_scan(spark):
     rows = [(i, bytearray(x)) for i, x in enumerate(draws(5))] + [(99, None)]
     got = {r.id: r for r in S.scan(spark.createDataFrame(rows, "id long, raw binary"), "id", "raw", CODE).collect()}
