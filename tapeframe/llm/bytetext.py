@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (at least)."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(n - 1, SLICE_BYTES >> 4).bit_length()  # few sizes, so that tables are seldom made anew
         inverse = pow(base, -1, 1 << 64)
         pair = []
         for b in (base, inverse):

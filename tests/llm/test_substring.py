@@ -144,3 +144,16 @@ def test_passage_repeated_inside_the_smallest_document(spark, batches):
     rows += [(None, rows[1][1]), (None, rows[2][1]), rows[1], (99, "la " * 300), (98, "la " * 60 + "le " + "la " * 200)]
     got = sorted(map(tuple, S.dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), batches=batches).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_slices_and_windows_come_in_small_portions():
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5_000)]
+    texts = [" ".join(r.choices(words, k=20_000)) for _ in range(20)]
+    batch = pa.record_batch([pa.array(range(20)), pa.array(range(20)), pa.array(texts)], names=["doc", "k", "text"])
+    S.B._powers.clear()
+    regions = list(S._regions(iter([batch])))
+    assert len(regions) > 8 and sum(a.nbytes + b.nbytes for a, b in S.B._powers.values()) < 20e6
+    whole = pa.Table.from_batches(regions).combine_chunks().to_batches()[0]
+    rows = list(S._windows({"fp": pa.int64(), "doc": pa.int64()})(iter([whole])))
+    assert max(x.nbytes for x in rows) < 5e6 and sum(x.num_rows for x in rows) == 20 * (20_000 - 49)
