@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import new_path, stored, texts
+from tapeframe.llm.common import lean, new_path, stored, texts
 
 WINDOW = 10
 #: Words beyond a window's length within which its words count as near.
@@ -104,7 +104,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Store the postings of every word of ``docs`` (doc_id, text) as a table in the shared folder."""
     path = path or new_path(spark, "postings")
-    texts(docs).mapInArrow(_index, INDEX_SCHEMA).write.parquet(path)
+    texts(docs).mapInArrow(lean(_index), INDEX_SCHEMA).write.parquet(path)
     return open_index(spark, path)
 
 
@@ -328,10 +328,10 @@ def phrase_matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame,
     found: list[DataFrame] = []
     while True:
         shared = spark.sparkContext.broadcast(Queries(turn, window, slack))
-        every = index.mapInArrow(_each_segment(lambda x, q=shared: search(x, q.value)), RESULT_SCHEMA)
+        every = index.mapInArrow(lean(_each_segment(lambda x, q=shared: search(x, q.value))), RESULT_SCHEMA)
         if following is None and not found:
-            parts = index.where("not whole").mapInArrow(_each_segment(lambda x, q=shared: search(x, q.value)), RESULT_SCHEMA)
-            return index.where("whole").mapInArrow(_each_segment(lambda x, q=shared: search(x, q.value)), RESULT_SCHEMA).unionByName(_united(parts))
+            parts = index.where("not whole").mapInArrow(lean(_each_segment(lambda x, q=shared: search(x, q.value))), RESULT_SCHEMA)
+            return index.where("whole").mapInArrow(lean(_each_segment(lambda x, q=shared: search(x, q.value))), RESULT_SCHEMA).unionByName(_united(parts))
         found.append(stored(spark, every.where("n_hit > 0 or size(near_items) > 0"), "hits"))
         shared.destroy()
         if following is None:
@@ -340,7 +340,7 @@ def phrase_matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame,
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
-    plain = index.mapInArrow(_each_segment(lambda x: search(x, Queries([], window, None))), RESULT_SCHEMA)
+    plain = index.mapInArrow(lean(_each_segment(lambda x: search(x, Queries([], window, None)))), RESULT_SCHEMA)
     sizes = plain.groupBy("rid", "doc_id").agg(F.sum("n_words").alias("n_words"))
     more = _united(hits).drop("doc_id", "n_words")
     none, no_items = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")
@@ -385,7 +385,7 @@ def proximity_matches(spark: SparkSession, index: DataFrame, queries: dict[str,
                 out.append({"doc_id": None if segment.ids[d] == NO_ID else int(segment.ids[d]), "query": name, "start": a + shift, "end": b + 1 + shift})
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return index.mapInArrow(_each_segment(answer), "doc_id long, query string, start long, end long")
+    return index.mapInArrow(lean(_each_segment(answer)), "doc_id long, query string, start long, end long")
 
 
 def digest(matches: DataFrame, near: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import bounded, stored
+from tapeframe.llm.common import HELD, bounded, lean, stored
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of a document that goes by chunks, of a chunk, and of a unit that goes by chunks inside its task.
@@ -561,7 +561,7 @@ def prepared(array, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
     return out, new
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[int, Encoder] = HELD.setdefault("pieces", {})
 
 
 def _encoder(shared) -> Encoder:
@@ -615,7 +615,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, ids, *[decoded] * len(more)])
 
     more = [f"`{decoded}` string"] if decoded else []
-    small = docs.where(F.col(text).isNull() | (F.octet_length(text) <= GIANT)).mapInArrow(run, _schema(docs, f"`{ids}` array<int>", *more))
+    small = docs.where(F.col(text).isNull() | (F.octet_length(text) <= GIANT)).mapInArrow(lean(run, "pieces"), _schema(docs, f"`{ids}` array<int>", *more))
     giant = _giant(spark, docs.where(F.octet_length(text) > GIANT), shared, text, ids)
     return small.unionByName(decode(spark, giant, model, ids, decoded) if decoded else giant)
 
@@ -637,7 +637,7 @@ def _giant(spark: SparkSession, docs: DataFrame, shared: _Shared, text: str, ids
 
     # Rows are stored, so that ids given to them hold in all later steps.
     rows = stored(spark, rows, "giant")
-    chunks = rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")).mapInArrow(split, "rid long, k int, view binary, start int, end int")
+    chunks = rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")).mapInArrow(lean(split, "pieces"), "rid long, k int, view binary, start int, end int")
     chunks = stored(spark, chunks.repartition("rid", "k"), "chunks")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -669,9 +669,9 @@ def _giant(spark: SparkSession, docs: DataFrame, shared: _Shared, text: str, ids
                 got = own.trace(*own._aligned(r["view"], r["start"], r["end"]), tuple(r["enter"]), tuple(r["leave"]))
                 yield pa.RecordBatch.from_pylist([{"rid": r["rid"], "k": r["k"], "part": got}], schema=pa.schema([("rid", pa.int64()), ("k", pa.int32()), ("part", pa.list_(pa.int32()))]))
 
-    cells = chunks.mapInArrow(matrix, "rid long, k int, cells binary, first array<int>")
+    cells = chunks.mapInArrow(lean(matrix, "pieces"), "rid long, k int, cells binary, first array<int>")
     path = cells.groupBy("rid").applyInArrow(states, "rid long, k int, enter array<int>, leave array<int>")
-    parts = chunks.join(path, ["rid", "k"]).mapInArrow(trace, "rid long, k int, part array<int>")
+    parts = chunks.join(path, ["rid", "k"]).mapInArrow(lean(trace, "pieces"), "rid long, k int, part array<int>")
     whole = parts.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("__ids"))
     return rows.join(whole, rows["__rid"] == whole["rid"]).select(*(rows[c] for c in names), F.col("__ids").alias(ids))
 
@@ -702,7 +702,7 @@ def decode(spark: SparkSession, rows: DataFrame, model: Model, ids: str = "ids",
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(m, part.column(ids))], names=[*part.schema.names, decoded])
 
-    return rows.mapInArrow(run, _schema(rows, f"`{decoded}` string"))
+    return rows.mapInArrow(lean(run, "pieces"), _schema(rows, f"`{decoded}` string"))
 
 
 def digest(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

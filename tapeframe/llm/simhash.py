@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import stored, texts
+from tapeframe.llm.common import lean, stored, texts
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SHARD = 4096
@@ -123,7 +123,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(fp, doc_id) of every row."""
-    return texts(docs).select("text", "doc_id").mapInArrow(_fingerprints, "fp long, doc_id long")
+    return texts(docs).select("text", "doc_id").mapInArrow(lean(_fingerprints), "fp long, doc_id long")
 
 
 # BK-trees
@@ -250,7 +250,7 @@ def links(spark: SparkSession, values: DataFrame) -> DataFrame:
     large = met.where(F.col("count") > SHARD).selectExpr("shard", "fp", f"{_rest_of('shard')} as rest")
     large = large.select("shard", F.explode(F.expr(_block_keys("rest", 8))).alias("part"), "fp")
     dealt_again = small.unionByName(large).repartition("shard", "part").sortWithinPartitions("shard", "part", "fp")
-    return stored(spark, dealt_again.mapInArrow(_link, "a long, b long").distinct(), "links")
+    return stored(spark, dealt_again.mapInArrow(lean(_link), "a long, b long").distinct(), "links")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -530,7 +530,7 @@ def spanning_pairs(spark: SparkSession, vertices: DataFrame) -> DataFrame:
     """(a, b): pairs of texts that connect all which may be similar, from (fp, s1, s2, n, t)."""
     answer = lambda group, fp, s1, s2, n, _: spanning(group, fp, s1, s2, n)
     rows = dealt(vertices.withColumn("centre", F.lit(0).cast("long")))
-    pairs = rows.mapInArrow(_met(answer, ("a", "b")), "a long, b long")
+    pairs = rows.mapInArrow(lean(_met(answer, ("a", "b"))), "a long, b long")
     return stored(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
 
 
@@ -623,19 +623,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     k1, k2 = row_key(docs)
     own = texts(docs, k1.alias("k1"), k2.alias("k2"))
-    rows = stored(spark, own.select("text", "doc_id", "k1", "k2").mapInArrow(_describe, "fp long, s1 long, s2 long, n long, t long, doc_id long, k1 long, k2 long"), "words")
+    rows = stored(spark, own.select("text", "doc_id", "k1", "k2").mapInArrow(lean(_describe), "fp long, s1 long, s2 long, n long, t long, doc_id long, k1 long, k2 long"), "words")
     vertex = rows.groupBy("t").agg(*(F.min(c).alias(c) for c in ("fp", "s1", "s2", "n")), F.min(F.struct("k1", "k2")).alias("k"))
     vertex = stored(spark, vertex.select("fp", "s1", "s2", "n", "t", "k.k1", "k.k2"), "texts")
     pairs = spanning_pairs(spark, vertex)
     used = pairs.select("a").union(pairs.select("b")).distinct()
     need = stored(spark, vertex.join(used.withColumnRenamed("a", "t"), "t").select(*vertex.columns), "used")
-    sets = own.join(need.select("t", "k1", "k2"), ["k1", "k2"]).select("t", "text").mapInArrow(_shingle_sets, "t long, s binary").dropDuplicates(["t"])
+    sets = own.join(need.select("t", "k1", "k2"), ["k1", "k2"]).select("t", "text").mapInArrow(lean(_shingle_sets), "t long, s binary").dropDuplicates(["t"])
     sets = stored(spark, sets, "shingles")
 
     def decided(p: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("t").alias(t), F.col("s").alias(s)) for t, s in (("a", "x"), ("b", "y")))
         columns = ", ".join(f"{c} long" for c in p.columns)
-        return stored(spark, p.join(x, "a").join(y, "b").select(*p.columns, "x", "y").mapInArrow(_similar, f"{columns}, ok boolean"), "similar")
+        return stored(spark, p.join(x, "a").join(y, "b").select(*p.columns, "x", "y").mapInArrow(lean(_similar), f"{columns}, ok boolean"), "similar")
 
     first = decided(pairs)
     centre = components(spark, first.where("ok").select("a", "b")).select(F.col("a").alias("t"), F.col("b").alias("centre"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import bytetext as B
-from tapeframe.llm.common import bounded, held_out, stored, texts
+from tapeframe.llm.common import bounded, held_out, lean, stored, texts
 
 SAMPLE = 10_000
 #: An entry needs this many different words before it in toxic texts, and this share of all of them.
@@ -224,13 +224,13 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int
     met = texts(docs).join(F.broadcast(known.withColumn("n", F.lit(1)).groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))), "doc_id")
     one = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n")).alias("s"))
     rows = stored(spark, one.select("doc_id", "toxic", F.col("s.text").alias("text"), F.col("s.n").alias("n")), "sample")
-    seen = rows.mapInArrow(_contexts, "unit string, before long, toxic int").distinct()
+    seen = rows.mapInArrow(lean(_contexts), "unit string, before long, toxic int").distinct()
     counts = seen.groupBy("unit").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
     share = (F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1)
     best = counts.where((F.col("pos") >= SUPPORT) & (share >= PRECISION)).collect()
     odds = {r.unit: min(LOUDEST, math.log((r.pos + 0.5) / (r.neg + 0.5))) for r in best}
     lexicon = Lexicon({u: w for u, w in odds.items() if u[-1] != "*"}, {u[:-1]: w for u, w in odds.items() if u[-1] == "*"})
-    found = rows.mapInArrow(_evidence(lexicon), "toxic int, n int, strongest double, loud double, length double").collect()
+    found = rows.mapInArrow(lean(_evidence(lexicon)), "toxic int, n int, strongest double, loud double, length double").collect()
     lexicon.coefficients = fit([(r.toxic, r.strongest, r.loud, r.length) for r in found for _ in range(r.n)])
     return lexicon
 
@@ -502,7 +502,7 @@ def scored(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, name: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{columns}, `{name}` double")
+    return docs.mapInArrow(lean(run), f"{columns}, `{name}` double")
 
 
 def matched_clauses(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -525,7 +525,7 @@ def matched_clauses(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> D
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 row, before = i, before + (len(part[0].as_py() or "") if len(part) == 1 else 0)
 
-    return texts(docs).mapInArrow(run, "doc_id long, start long, end long, clause string, log_odds double")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, start long, end long, clause string, log_odds double")
 
 
 def digest(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, modulus: int = 3) -> DataFrame:

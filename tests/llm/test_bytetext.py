@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tapeframe.llm import bytetext as B
+from tapeframe.llm import common
 
 TEXTS = ["The  cat\tsat", "", None, "é1-2 Ab", " lead", "trail ", "x" * 300, "a b " * 90, "日本 語"]
 
@@ -49,3 +50,17 @@ def test_rows_are_cut_by_bytes():
     offsets = np.array([0, 5, 5, 50, 52, 60])
     assert list(B.row_slices(offsets, 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(B.row_slices(np.array([0]))) == []
+
+
+def test_a_process_gives_back_what_a_task_held():
+    def step(batches):
+        B.powers(B.BYTE_BASE, 1 << 16)
+        yield from batches
+
+    other, own = common.HELD.setdefault("other", {1: 2}), common.HELD.setdefault("own", {3: 4})
+    try:
+        assert list(common.lean(step, "own")(iter([1, 2]))) == [1, 2]
+        assert not B._powers and not other and own == {3: 4}
+        assert next(common.lean(step)(iter([1, 2]))) == 1 and not own
+    finally:
+        del common.HELD["other"], common.HELD["own"]
